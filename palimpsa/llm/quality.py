@@ -158,7 +158,11 @@ def judge(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RUL
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that no rule rejects, with their own columns."""
     judged, c = judge(docs, text_col)
-    return judged.filter(F.col(c["rejected_by"]).isNull()).drop(*c.values())
+    # A row number that the filter reads keeps the optimizer from copying the
+    # counts into the filter, where it would compute them once per word.
+    (row,) = _fresh(judged, "quality_row")
+    judged = judged.select("*", F.monotonically_increasing_id().alias(row))
+    return judged.filter(F.col(c["rejected_by"]).isNull() & (F.col(row) >= 0)).drop(*c.values(), row)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
