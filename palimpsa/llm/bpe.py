@@ -21,115 +21,156 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import blocks, id_and_bytes
-from .tokens import tokenizer_path
+from .tokens import spaced_pieces, tokenizer_path
 
 #: The public pattern that splits texts before the merges (a fixed value). White
 #: space is the Unicode property, as in the tokenizer's own regular expressions.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of text whose distinct words are merged together.
+BLOCK_BYTES = 12 << 20
 _SPACE = r"\p{White_Space}"
 
 
 class MergeReplay:
     """Encoder and decoder for a table of ranked byte strings."""
 
-    #: Distinct words whose ids are held at most.
-    CACHE = 300_000
+    #: Distinct pieces whose ids are held at most.
+    CACHE = 500_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex
 
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.byte_ids = [ranks[bytes([b])] for b in range(256)]
+        self.texts_of = {r: str(r) for r in self.bytes_of}
         spaced = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", rf"[^{_SPACE}]").replace(r"\s", _SPACE)
         self.words = regex.compile(spaced, regex.V1).findall
-        self.pairs: dict[int, int] = {}
-        self.cache: dict[str, tuple[int, bytes, str]] = {}
-
-    def _rank(self, a: int, b: int) -> int:
-        """Rank of the merge of two tokens, -1 if there is none."""
+        self.cache: dict[bytes, bytes] = {}
+        # All pairs of tokens that join to a token, as sorted keys.
+        joined = sorted(
+            (a << 32 | b, r)
+            for whole, r in ranks.items()
+            for k in range(1, len(whole))
+            if (a := ranks.get(whole[:k])) is not None and (b := ranks.get(whole[k:])) is not None
+        )
+        self.keys = np.array([k for k, _ in joined], np.int64)
+        self.joins = np.array([r for _, r in joined], np.int64)
+        self.first_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of token pairs, -1 where there is none."""
         key = a << 32 | b
-        found = self.pairs.get(key)
-        if found is None:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
-        return found
-
-    def replay(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word, merged lowest rank first and leftmost first."""
-        tokens: list[int] = []
-        starts = []
-        for w in words:
-            starts.append(len(tokens))
-            tokens += map(self.byte_ids.__getitem__, w)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.joins[at], -1)
+
+    def replay(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (packed, 32 bits), merged lowest rank first and leftmost first.
+
+        All places of a rank are merged at once. Where a merge opens a pair of no
+        higher rank within a word that has further places, those wait for it.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        tokens = self.first_ids[np.frombuffer(b"".join(words), np.uint8)]
         n = len(tokens)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s, w in zip(starts, words, strict=True):
-            if w:
-                before[s], after[s + len(w) - 1] = -1, -1
-        index: dict[int, list[int]] = {}
-        rank = self._rank
-        for i in range(n):
-            j = after[i]
-            if j >= 0 and (r := rank(tokens[i], tokens[j])) >= 0:
-                index.setdefault(r, []).append(i)
-        heap = sorted(index)
+        starts = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        # One slot past the end stands for no neighbour.
+        tokens = np.append(tokens, -1)
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        full = sizes > 0
+        after[(starts + sizes - 1)[full]] = n
+        before[starts[full]] = n
+        after[n] = before[n] = n
+        index: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def enter(places: np.ndarray, ranks: np.ndarray) -> None:
+            if not len(places):
+                return
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+            heads = [0, *cuts.tolist()]
+            for r, part in zip(ranks[heads].tolist(), np.split(places, cuts) if len(cuts) else [places], strict=True):
+                if (held := index.get(r)) is None:
+                    index[r] = [part]
+                    heappush(heap, r)
+                else:
+                    held.append(part)
+
+        left = np.flatnonzero(after[:n] < n)
+        found = self._ranks(tokens[left], tokens[after[left]])
+        enter(left[found >= 0], found[found >= 0])
         while heap:
             r = heappop(heap)
-            places = index.pop(r, None)
-            if places is None:
+            parts = index.pop(r, None)
+            if parts is None:
                 continue
-            places.sort()
-            for k, i in enumerate(places):
-                j = after[i]
-                if tokens[i] < 0 or j < 0 or rank(tokens[i], tokens[j]) != r:
-                    continue  # an earlier merge took part of the pair
-                tokens[i], tokens[j] = r, -1
-                right = after[i] = after[j]
-                left, lower = before[i], False
-                if right >= 0:
-                    before[right] = i
-                    if (x := rank(r, tokens[right])) >= 0:
-                        if (held := index.get(x)) is None:
-                            index[x] = [i]
-                            heappush(heap, x)
-                        else:
-                            held.append(i)
-                        lower = x <= r
-                if left >= 0 and (x := rank(tokens[left], r)) >= 0:
-                    if (held := index.get(x)) is None:
-                        index[x] = [left]
-                        heappush(heap, x)
-                    else:
-                        held.append(left)
-                    lower = lower or x <= r
-                if lower and k + 1 < len(places):  # a lower rank comes first; the others wait
-                    index.setdefault(r, []).extend(places[k + 1 :])
-                    heappush(heap, r)
-                    break
-        return [
-            [t for t in tokens[s : s + len(w)] if t >= 0] for s, w in zip(starts, words, strict=True)
-        ]
-
-    def encode(self, texts: list[str]) -> list[tuple[int, np.ndarray, str]]:
-        """Per text: number of ids, the ids, and the ids as decimals with commas."""
-        split = [self.words(t) for t in texts]
+            i = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            j = after[i]
+            good = (tokens[i] >= 0) & (j < n)
+            i, j = i[good], j[good]
+            good = self._ranks(tokens[i], tokens[j]) == r
+            i, j = i[good], j[good]
+            if not len(i):
+                continue
+            if len(i) > 1:
+                # Places that share a token: every second of such a run is taken.
+                new_run = np.append(True, j[:-1] != i[1:])
+                if not new_run.all():
+                    place = np.arange(len(i))
+                    take = (place - np.maximum.accumulate(np.where(new_run, place, 0))) % 2 == 0
+                    i, j = i[take], j[take]
+            one = np.full(len(i), r)
+            right, prev = after[j], before[i]
+            open_r = np.where(right < n, self._ranks(one, tokens[right]), -1)
+            open_l = np.where(prev < n, self._ranks(tokens[prev], one), -1)
+            same = word[i[1:]] == word[i[:-1]] if len(i) > 1 else np.zeros(0, bool)
+            if same.any():
+                low = ((open_r >= 0) & (open_r <= r)) | ((open_l >= 0) & (open_l <= r))
+                twin = int(self._ranks(one[:1], one[:1])[0])
+                bad = np.isin(word[i], word[i][low]) if not 0 <= twin <= r else np.ones(len(i), bool)
+                later = np.append(False, same) & bad
+                if later.any():
+                    enter(i[later], one[later])
+                    i, j, right, one = i[~later], j[~later], right[~later], one[~later]
+            tokens[i], tokens[j] = r, -1
+            after[i] = right
+            inner = right < n
+            before[right[inner]] = i[inner]
+            prev = before[i]
+            # Neighbours may have merged too, so the pairs are read anew.
+            right = after[i]
+            open_r = np.where(right < n, self._ranks(one, tokens[right]), -1)
+            open_l = np.where(prev < n, self._ranks(tokens[prev], one), -1)
+            on_r, on_l = open_r >= 0, open_l >= 0
+            enter(np.concatenate([i[on_r], prev[on_l]]), np.concatenate([open_r[on_r], open_l[on_l]]))
+        kept = tokens[:n] >= 0
+        counts = np.add.reduceat(np.append(kept, False), np.minimum(starts, n), dtype=np.int64) if len(words) else np.zeros(0, int)
+        counts = np.where(full, counts, 0)
+        data, ends = tokens[:n][kept].astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def _learn(self, new: set[bytes]) -> None:
+        split = [(p, self.words(p.decode("utf-8", "replace"))) for p in new]
+        words = list({w for _, ws in split for w in ws})
+        ids = dict(zip(words, self.replay([w.encode() for w in words]), strict=True))
+        for p, ws in split:
+            self.cache[p] = ids[ws[0]] if len(ws) == 1 else b"".join([ids[w] for w in ws])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [spaced_pieces(t) for t in texts]
         new = set().union(*split).difference(self.cache)
         if len(self.cache) + len(new) > self.CACHE:
             self.cache = {}
             new = set().union(*split)
-        todo = sorted(new)
-        for lo in range(0, len(todo), 50_000):
-            part = todo[lo : lo + 50_000]
-            for w, ids in zip(part, self.replay([w.encode() for w in part]), strict=True):
-                self.cache[w] = (np.array(ids, "<u4").tobytes(), ",".join(map(str, ids)))
-        out = []
-        for words in split:
-            found = [self.cache[w] for w in words]
-            ids = np.frombuffer(b"".join([f[0] for f in found]), "<u4")
-            out.append((len(ids), ids, ",".join([f[1] for f in found])))
-        return out
+        self._learn(new)
+        known = self.cache
+        return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
+
+    def decimals(self, ids: np.ndarray) -> str:
+        return ",".join(map(self.texts_of.__getitem__, ids.tolist()))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -162,18 +203,18 @@ def _mapped(docs: DataFrame, ranks: str, id_col: str, text_col: str, digests: bo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = replayer(path)
-        for ids, texts in blocks(batches):
-            coded = bpe.encode([t.decode("utf-8", "replace") for t in texts])
-            decoded = [bpe.decode(x[1]) for x in coded]
-            columns = [pa.array(ids, pa.int64()), pa.array([x[0] for x in coded], pa.int64())]
+        for ids, texts in blocks(batches, BLOCK_BYTES):
+            coded = bpe.encode(texts)
+            decoded = [bpe.decode(x) for x in coded]
+            columns = [pa.array(ids, pa.int64()), pa.array([len(x) for x in coded], pa.int64())]
             if digests:
                 columns += [
-                    pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in coded]),
+                    pa.array([hashlib.sha256(bpe.decimals(x).encode()).hexdigest() for x in coded]),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded]),
                 ]
             else:
                 columns += [
-                    pa.array([x[1].astype(np.int32) for x in coded], pa.list_(pa.int32())),
+                    pa.array([x.astype(np.int32) for x in coded], pa.list_(pa.int32())),
                     pa.array(decoded, pa.binary()),
                 ]
             yield pa.RecordBatch.from_arrays(columns, names=names)

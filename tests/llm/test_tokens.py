@@ -46,13 +46,14 @@ def test_replay_equals_the_library():
     @settings(max_examples=400, deadline=None)
     @given(ODD)
     def check(text):
-        ids = own.encode([text])[0][1]
+        ids = own.encode([text.encode()])[0]
         assert ids.tolist() == lib.encode_ordinary(text) and own.decode(ids) == text.encode()
 
     check()
     rng = random.Random(3)
     words = ["".join(rng.choice("abeinrst") for _ in range(rng.randrange(1, 40))) for _ in range(500)] + ["a" * 300]
-    assert own.replay([w.encode() for w in words]) == [lib.encode_ordinary(w) for w in words]
+    words += ['', 'abab' * 20, 'eses' * 9, '']
+    assert [np.frombuffer(x, '<u4').tolist() for x in own.replay([w.encode() for w in words])] == [lib.encode_ordinary(w) for w in words]
 
 
 def test_bpe_query(spark):
