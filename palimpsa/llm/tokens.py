@@ -45,8 +45,8 @@ def spaced_pieces(text: bytes) -> list[bytes]:
 
 
 def dropped_space_pieces(text: bytes) -> list[bytes]:
-    """Cuts at ASCII white space, for tokenizers that drop it."""
-    return text.split()
+    """Cuts at ASCII white space and before lone marks, for tokenizers that drop space and case."""
+    return _STOP.sub(rb" \1", text).lower().split()
 
 
 class PieceEncoder:
