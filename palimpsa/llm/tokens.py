@@ -17,18 +17,16 @@ from .common import TOKENIZER_DIR
 #: A single space between two characters that are no white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Where one of these occurs, only the expression above finds the cuts.
-_ODD = (
-    *(b"  ", b" \n", b"\n ", b"\n\n", b"\0", b"\t", b"\r", b"\x0b", b"\x0c", b"\x1c", b"\x1d", b"\x1e", b"\x1f"),
-    *(b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80"),
-)
-
-
-#: A lone mark after a word; marks in a row, and apostrophes, are left alone.
-_STOP = re.compile(rb"(?<=[0-9A-Za-z])([.,])(?=[ \n])")
+_CONTROL = b"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_DOUBLE = (b"  ", b" \n", b"\n ", b"\n\n")
+_WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+#: A lone full stop or comma after a word; marks in a row are left alone.
+_STOP = re.compile(rb"\.(?=[ \n])(?<=[0-9A-Za-z]\.)")
+_COMMA = re.compile(rb",(?=[ \n])(?<=[0-9A-Za-z],)")
 
 
 #: Pieces that begin or end with white space, but for one space in front.
-_NOT_TOGETHER = re.compile(rb"[\t-\r\x1c-\x1f]|^ *$|^  | $|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
+_NOT_TOGETHER = re.compile(rb"[\t-\r\x1c-\x1f]|\0 *\0|\0  | \0|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
 
 def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
@@ -37,23 +35,29 @@ def tokenizer_path(name: str, folder: str = TOKENIZER_DIR) -> str:
 
 def spaced_pieces(text: bytes) -> list[bytes]:
     """Cuts before lone spaces, which byte-level patterns attach to the word after it, and around lone line ends."""
-    if text[:1] in b" \n" or text[-1:] in b" \n" or any(x in text for x in _ODD):
+    if (
+        text[:1] in b" \n"
+        or text[-1:] in b" \n"
+        or len(text.translate(None, _CONTROL)) != len(text)
+        or any(x in text for x in _DOUBLE)
+        or (not text.isascii() and any(x in text for x in _WIDE))
+    ):
         pieces = [p.encode() for p in _LONE_SPACE.split(text.decode("utf-8", "replace"))]
         return [pieces[0], *[b" " + p for p in pieces[1:]]]
-    text = _STOP.sub(rb"\0\1", text)
+    text = _COMMA.sub(b"\0,", _STOP.sub(b"\0.", text))
     return text.replace(b" ", b"\0 ").replace(b"\n", b"\0\n\0").split(b"\0")
 
 
 def dropped_space_pieces(text: bytes) -> list[bytes]:
     """Cuts at ASCII white space and before lone marks, for tokenizers that drop space and case."""
-    return _STOP.sub(rb" \1", text).lower().split()
+    return _COMMA.sub(b" ,", _STOP.sub(b" .", text)).lower().split()
 
 
 class PieceEncoder:
     """Ids of whole texts as packed little-endian numbers."""
 
     #: Pieces held at most; then the cache is filled anew.
-    CACHE = 800_000
+    CACHE = 400_000
 
     def __init__(self, path: str, spaces_dropped: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -73,13 +77,14 @@ class PieceEncoder:
 
     def _learn(self, new: set[bytes]) -> None:
         mark, width, odd = self.mark.encode(), self.dtype.itemsize, _NOT_TOGETHER.search
-        alone = [p for p in new if mark in p or odd(p)]
+        every = b"\0%b\0" % b"\0".join(new)
+        alone = [p for p in new if mark in p or odd(b"\0%b\0" % p)] if mark in every or odd(every) else []
         together = list(new.difference(alone))
         for p, ids in zip(alone, self._ids([p.decode("utf-8", "replace") for p in alone]), strict=True):
             self.cache[p] = np.array(ids, self.dtype).tobytes()
         for lo in range(0, len(together), 2000):
             part = together[lo : lo + 2000]
-            ids = np.array(self._ids([self.glue.join([p.decode("utf-8", "replace") for p in part])])[0], self.dtype)
+            ids = np.array(self._ids([self.glue.encode().join(part).decode("utf-8", "replace")])[0], self.dtype)
             ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
             data, at = ids.tobytes(), 0
             for p, end in zip(part, ends, strict=True):
