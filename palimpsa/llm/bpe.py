@@ -35,7 +35,7 @@ class MergeReplay:
     """Encoder and decoder for a table of ranked byte strings."""
 
     #: Distinct pieces whose ids are held at most.
-    CACHE = 500_000
+    CACHE = 400_000
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
         import regex

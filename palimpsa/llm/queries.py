@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, records, simhash, toxicity
+from . import bpe, chat, packing, quality, records, simhash, toxicity
 from .common import table
 
 
@@ -34,5 +34,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op7_packing": op7_packing, "op1_simhash": op1_simhash, "op2_records": op2_records, "op3_quality": op3_quality, "op4_bpe": op4_bpe}
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL}
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_records": op2_records,
+    "op3_quality": op3_quality,
+    "op4_bpe": op4_bpe,
+    "op6_toxicity": op6_toxicity,
+    "op7_packing": op7_packing,
+    "op9_chat": op9_chat,
+}
+ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL, "op9_chat": chat.SQL}
