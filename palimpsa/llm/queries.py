@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality, records, simhash, toxicity
+from . import bpe, chat, hmm, packing, quality, records, simhash, toxicity
 from .common import table
 
 
@@ -38,6 +38,10 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scores(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_records": op2_records,
@@ -46,5 +50,6 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op9_chat": op9_chat,
+    "op10_hmm": op10_hmm,
 }
 ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL, "op9_chat": chat.SQL}
