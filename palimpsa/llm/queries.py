@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, hmm, packing, quality, records, simhash, toxicity
+from . import ann, bpe, chat, hmm, packing, quality, records, simhash, toxicity
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_bpe": op4_bpe,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
+    "op8_ann": op8_ann,
     "op9_chat": op9_chat,
     "op10_hmm": op10_hmm,
 }
