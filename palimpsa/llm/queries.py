@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hmm, packing, quality, records, simhash, toxicity
+from . import ann, bpe, chat, hmm, packing, quality, records, simhash, suffix, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_records": op2_records,
     "op3_quality": op3_quality,
     "op4_bpe": op4_bpe,
+    "op5_repeats": op5_repeats,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_ann": op8_ann,
