@@ -108,12 +108,12 @@ def pieces(plan: list[Phase], q: int, x: int, n: int, size: int = LENGTH) -> Ite
             window += 1
 
 
-def _sources(rows: DataFrame) -> list[str]:
-    """Sources with a queue of their own."""
+def _sources(rows: DataFrame) -> tuple[list[str], int]:
+    """Sources with a queue of their own, and the bytes of all."""
     sums = cut(rows.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n")))
     total = sums.agg(F.sum("n")).first()[0] or 0
     kept = sums.filter(F.col("source").isNotNull() & (F.col("n") >= F.lit(OWN_QUEUE * total)))
-    return sorted(r["source"] for r in kept.select("source").collect())
+    return sorted(r["source"] for r in kept.select("source").collect()), total
 
 
 def pack(
@@ -126,6 +126,7 @@ def pack(
     text_col: str = "text",
     source_col: str = "source",
     size: int = LENGTH,
+    with_ids: bool = True,
 ) -> DataFrame:
     """One row per piece: ``doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
@@ -138,8 +139,7 @@ def pack(
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    own = _sources(rows)
-    size_all = rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    own, size_all = _sources(rows)
     at = F.array_position(F.array(*[F.lit(s) for s in own]), F.col("source")) if own else F.lit(0)
     queue = F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(len(own)).cast("int")
     ordered = rows.withColumn("queue", queue)
@@ -191,12 +191,12 @@ def pack(
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for doc_id, source, q, x, n, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 ids = np.frombuffer(data, width).astype("<u4")
                 for start, length, sequence, offset in pieces(plan, q, x, n, size):
                     part = ids[start : start + length]
-                    out.append((doc_id, source, start, length, zlib.crc32(part), n, sequence, offset, part.tobytes()))
+                    out.append((doc_id, source, start, length, zlib.crc32(part), n, sequence, offset, part.tobytes() if with_ids else None))
                 if len(out) >= 20_000:
                     yield _batch(out)
                     out = []
@@ -225,7 +225,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def packed(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, **columns: str) -> DataFrame:
     """Pieces without their ids, kept in the shared folder when the encoded table has gone."""
     folder = scratch_dir(docs.sparkSession, "packing")
-    out = cut(pack(docs, folder, tokenizer_path(tokenizer), end_id, **columns).drop("ids"))
+    out = cut(pack(docs, folder, tokenizer_path(tokenizer), end_id, with_ids=False, **columns).drop("ids"))
     remove_path(docs.sparkSession, folder)
     return out
 
