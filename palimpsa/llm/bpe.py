@@ -161,12 +161,12 @@ class MergeReplay:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         split = [spaced_pieces(t) for t in texts]
-        new = set().union(*split).difference(self.cache)
-        if len(self.cache) + len(new) > self.CACHE:
-            self.cache = {}
-            new = set().union(*split)
-        self._learn(new)
+        every = set().union(*split)
         known = self.cache
+        new = every.difference(known)
+        if len(known) + len(new) > self.CACHE:  # what these texts use stays, which holds the frequent pieces
+            known = self.cache = {p: known[p] for p in every.difference(new)}
+        self._learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), "<u4") for pieces in split]
 
     def decimals(self, ids: np.ndarray) -> str:

@@ -53,9 +53,11 @@ SHARD_BYTES = 2 << 20
 #: Bytes of text for one range of hash.
 RANGE_BYTES = 8 << 20
 HOT = 50_000
-_SLICE = 2 << 20
+_SLICE = 1 << 17  # its arrays fit a core's cache
 _BASE = 0x9E3779B97F4A7C15 | 1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Anchors are least hashes, so small numbers; times an odd number they are even again.
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
 _LAST_ID = np.iinfo(np.int64).max
 
 
@@ -101,23 +103,29 @@ def _sliding(a: np.ndarray, width: int, least: bool) -> np.ndarray:
     return op(r[:n], r[rest : n + rest])
 
 
-def window_anchors(data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+def window_anchors(
+    data: np.ndarray, ends: np.ndarray, with_anchors: bool
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
     """In slices: ``(first place, gram hashes, least hash of each window or 0, is an anchor)``.
 
-    ``ends``: where the document of each slice place ends is found in it.
+    ``ends``: where each document ends; windows lie within one.
     """
+    tails = np.arange(1, WIDTH)
     for lo in range(0, len(data), _SLICE):
         hi = min(len(data), lo + _SLICE)
         a, b = max(0, lo - 2 * WIDTH), min(len(data), hi + 2 * WIDTH)
         h = gram_hashes(data[a:b])
         least = _sliding(h, SPAN, True)
-        place = np.arange(a, b)
-        limit = ends[np.minimum(np.searchsorted(ends, place, side="right"), len(ends) - 1)]
-        least[place + WIDTH > limit] = 0
-        # A place is an anchor if one of the windows over it has it as least.
-        back = np.concatenate([np.zeros(SPAN - 1, np.uint64), least])
-        anchor = (_sliding(back, SPAN, False)[: len(h)] == h) & (h != _TOP)
-        yield lo, h[lo - a : hi - a], least[lo - a : hi - a], anchor[lo - a : hi - a]
+        near = ends[np.searchsorted(ends, a) : np.searchsorted(ends, b + WIDTH, side="right")]
+        last = (near[:, None] - tails).ravel() - a
+        least[last[(last >= 0) & (last < len(least))]] = 0
+        anchor = None
+        if with_anchors:
+            # A place is an anchor if one of the windows over it has it as least.
+            back = np.concatenate([np.zeros(SPAN - 1, np.uint64), least])
+            anchor = (_sliding(back, SPAN, False)[: len(h)] == h) & (h != _TOP)
+            anchor = anchor[lo - a : hi - a]
+        yield lo, h[lo - a : hi - a], least[lo - a : hi - a], anchor
 
 
 def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
@@ -130,7 +138,7 @@ def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def distinct_anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct anchor hashes of a block and how often each occurs."""
-    found = [h[anchor] for _, h, _, anchor in window_anchors(data, ends)]
+    found = [h[anchor] * _SPREAD for _, h, _, anchor in window_anchors(data, ends, True)]
     return np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
 
 
@@ -139,14 +147,19 @@ def segments(
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(start, length, hash)`` of the segments: runs of windows with one shared anchor, hot ones single."""
     starts, lengths, keys = [], [], []
-    for lo, _, least, _ in window_anchors(data, ends):
+    for lo, _, least, _ in window_anchors(data, ends, False):
         spot = np.flatnonzero(least)
         if not len(spot):
             continue
         m = least[spot]
-        at = np.minimum(np.searchsorted(shared, m), max(len(shared) - 1, 0))
-        take = shared[at] == m if len(shared) else np.zeros(len(m), bool)
-        spot, m = spot[take], m[take]
+        # Windows in a row mostly have the same anchor, which is looked up once.
+        change = np.append(True, m[1:] != m[:-1])
+        some = m[change] * _SPREAD
+        at = np.minimum(np.searchsorted(shared, some), max(len(shared) - 1, 0))
+        good = shared[at] == some if len(shared) else np.zeros(len(some), bool)
+        run = np.cumsum(change) - 1
+        take = good[run]
+        spot, m = spot[take], some[run[take]]
         if not len(spot):
             continue
         cutting = np.append(True, (np.diff(spot) != 1) | (m[1:] != m[:-1]))

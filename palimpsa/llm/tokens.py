@@ -56,8 +56,8 @@ def dropped_space_pieces(text: bytes) -> list[bytes]:
 class PieceEncoder:
     """Ids of whole texts as packed little-endian numbers."""
 
-    #: Pieces held at most; then the cache is filled anew.
-    CACHE = 400_000
+    #: Pieces held at most; then those not in use are dropped.
+    CACHE = 450_000
 
     def __init__(self, path: str, spaces_dropped: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -93,12 +93,12 @@ class PieceEncoder:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         cut = [self.split(t) for t in texts]
-        new = set().union(*cut).difference(self.cache)
-        if len(self.cache) + len(new) > self.CACHE:
-            self.cache = {}
-            new = set().union(*cut)
-        self._learn(new)
+        every = set().union(*cut)
         known = self.cache
+        new = every.difference(known)
+        if len(known) + len(new) > self.CACHE:  # what these texts use stays, which holds the frequent pieces
+            known = self.cache = {p: known[p] for p in every.difference(new)}
+        self._learn(new)
         return [np.frombuffer(b"".join(map(known.__getitem__, pieces)), self.dtype) for pieces in cut]
 
 
