@@ -533,9 +533,10 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     mine = leaders[order[cuts[r] : cuts[r + 1]]]
                     counts = lengths[mine] - WIDTH + 1
                     flags = np.unpackbits(np.frombuffer(packed, np.uint8), count=int(counts.sum())).astype(bool)
-                    some = np.add.reduceat(flags, np.cumsum(counts) - counts, dtype=np.int64) if len(mine) else []
-                    for i, f in zip(np.flatnonzero(some).tolist(), (np.split(flags, np.cumsum(counts)[:-1])[j] for j in np.flatnonzero(some)), strict=True):
-                        verdict[int(mine[i])] = f
+                    ends_of = np.cumsum(counts)
+                    some = np.add.reduceat(flags, ends_of - counts, dtype=np.int64) if len(mine) else np.zeros(0, int)
+                    for j in np.flatnonzero(some).tolist():
+                        verdict[int(mine[j])] = flags[ends_of[j] - counts[j] : ends_of[j]]
                 for i in same.tolist():
                     f = verdict.get(int(leader[i]))
                     if f is not None:
