@@ -1 +1 @@
-"""See the package docstring."""
+"""Change streams: ordered outbox, contiguous prefixes, folded state, windows."""
