@@ -17,6 +17,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,32 +48,23 @@ def _byte_table() -> np.ndarray:
 _T0 = _byte_table()
 
 
-def _shift_tables(last: int = 48) -> list[np.ndarray]:
-    """Item k appends 2**k zero bytes to a register, one byte of it per row."""
-    one = np.zeros((4, 256), np.uint32)
-    for row in range(4):
-        c = np.arange(256, dtype=np.uint32) << np.uint32(8 * row)
-        one[row] = _T0[c & np.uint32(255)] ^ (c >> np.uint32(8))
-    tables = [one]
-    for _ in range(last):
-        tables.append(np.stack([_shift(tables[-1], row) for row in tables[-1]]))
-    return tables
+def _shift(table: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Registers after the zero bytes of a table, which has their low and high halves."""
+    return table[0][c & np.uint32(65535)] ^ table[1][c >> np.uint32(16)]
 
 
-def _shift(table: np.ndarray, c: np.ndarray) -> np.ndarray:
-    m = np.uint32(255)
-    return (
-        table[0][c & m]
-        ^ table[1][(c >> np.uint32(8)) & m]
-        ^ table[2][(c >> np.uint32(16)) & m]
-        ^ table[3][c >> np.uint32(24)]
-    )
+@lru_cache(maxsize=None)
+def _zeros(k: int) -> np.ndarray:
+    """The table that appends 2**k zero bytes to a register."""
+    halves = np.stack([np.arange(65536, dtype=np.uint32), np.arange(65536, dtype=np.uint32) << np.uint32(16)])
+    if not k:
+        return _T0[halves & np.uint32(255)] ^ (halves >> np.uint32(8))
+    return np.stack([_shift(_zeros(k - 1), _shift(_zeros(k - 1), h)) for h in halves])
 
 
-_SHIFT = _shift_tables()
-#: Registers after two bytes, by those bytes as a little-endian number.
-_T16 = _shift(_SHIFT[0], _T0[np.arange(65536) & 255]) ^ _T0[np.arange(65536) >> 8]
 _HIGH = np.uint32(0xFFFFFFFF)
+#: Registers after two bytes, by those bytes as a little-endian number.
+_T16 = _shift(_zeros(0), _T0[np.arange(65536) & 255]) ^ _T0[np.arange(65536) >> 8]
 
 
 def crc32c(chunks: list[bytes]) -> np.ndarray:
@@ -91,11 +83,11 @@ def crc32c(chunks: list[bytes]) -> np.ndarray:
                     grid[i, width - lengths[r] :] = np.frombuffer(chunks[r], np.uint8)
             c = _T16[grid.view("<u2")]
             for k in range(1, p):
-                c = _shift(_SHIFT[k], c[:, 0::2]) ^ c[:, 1::2]
+                c = _shift(_zeros(k), c[:, 0::2]) ^ c[:, 1::2]
             start = np.full(len(own), _HIGH)
             for k in range(p + 1):
                 on = (lengths[own] >> k & 1).astype(bool)
-                start[on] = _shift(_SHIFT[k], start[on])
+                start[on] = _shift(_zeros(k), start[on])
             out[own] = c[:, 0] ^ start ^ _HIGH
     return out
 

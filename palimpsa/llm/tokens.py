@@ -57,7 +57,7 @@ class PieceEncoder:
     """Ids of whole texts as packed little-endian numbers."""
 
     #: Pieces held at most; then those not in use are dropped.
-    CACHE = 450_000
+    CACHE = 600_000
 
     def __init__(self, path: str, spaces_dropped: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
