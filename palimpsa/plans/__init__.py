@@ -1 +1 @@
-"""See the package docstring."""
+"""Registered queries over the driver's tables."""

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsa.plans import catalogue
+from palimpsa.plans import catalogue, more  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
 
