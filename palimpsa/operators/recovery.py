@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,3 +44,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of frames that are no longer used."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
