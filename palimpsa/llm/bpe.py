@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import blocks, id_and_bytes
+from .common import blocks, claim, held_by, id_and_bytes
 from .tokens import spaced_pieces, tokenizer_path
 
 #: The public pattern that splits texts before the merges (a fixed value). White
@@ -186,6 +186,9 @@ def replayer(path: str) -> MergeReplay:
     return MergeReplay(read_ranks(path))
 
 
+held_by("bpe", replayer.cache_clear)
+
+
 def encode_and_decode(
     docs: DataFrame, ranks: str = "byte_bpe_multi_50k.tiktoken", id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -202,6 +205,7 @@ def _mapped(docs: DataFrame, ranks: str, id_col: str, text_col: str, digests: bo
     path = tokenizer_path(ranks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe")
         bpe = replayer(path)
         for ids, texts in blocks(batches, BLOCK_BYTES):
             coded = bpe.encode(texts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,40 @@ WORD_CLASS = "[^\\x20\\x09-\\x0D]"
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
+_HELD: dict[str, list[Callable[[], object]]] = {}
+_OWNER = ""
+
+
+def held_by(owner: str, release: Callable[[], object]) -> None:
+    """Names what frees an operator's caches in a worker process."""
+    _HELD.setdefault(owner, []).append(release)
+
+
+def claim(owner: str) -> None:
+    """A worker begins a task of ``owner``: what other operators left in it is freed.
+
+    Workers serve many tasks; caches are worth keeping between tasks of one
+    operator, not beyond.
+    """
+    global _OWNER
+    if _OWNER != owner:
+        for name, releases in _HELD.items():
+            if name != owner:
+                for release in releases:
+                    release()
+        _OWNER = owner
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,6 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, remove_path, scratch_dir
+from .common import claim
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -150,6 +151,7 @@ def pack(
     schema = "part int, queue int, at long, n long, doc_id long, source string, ids binary"
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         enc = encoder(tokenizer, True)
         end, part = np.array([end_id], enc.dtype), TaskContext.get().partitionId()
         sofar: dict[int, int] = {}

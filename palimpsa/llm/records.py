@@ -27,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, remove_path, scratch_dir
-from .common import blocks, id_and_bytes
+from .common import blocks, claim, id_and_bytes
 from .tokens import encoder, tokenizer_path
 
 #: Fixed values of the format: reflected Castagnoli polynomial and mask addend.
@@ -165,6 +165,7 @@ def write_records(
     schema = "doc_id long, part int, file string, offset long, length long, n_tokens long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         enc = encoder(tokenizer, spaces_dropped)
         end = np.array([end_id], enc.dtype)
         part, out, at = TaskContext.get().partitionId(), None, 0

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.recovery import cut
-from .common import blocks, id_and_bytes
+from .common import blocks, claim, id_and_bytes
 
 #: Buckets above this size are split again before any task holds them.
 BUCKET_LIMIT = 4096
@@ -91,6 +91,7 @@ def fingerprints(
     """``(doc_id, fp array<bigint>)`` over whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for ids, texts in blocks(batches):
             fps = fingerprint_block(texts, shingle, words).view(np.int64)
             lists = pa.ListArray.from_arrays(
@@ -159,6 +160,7 @@ def link_bucket(fps: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple
 
 def _linker(distance: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("simhash")
         for batch in batches:
             out = []
             for bucket in batch.column(0):

@@ -42,16 +42,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.recovery import cut, remove_path, scratch_dir
+from ..operators.recovery import cut, forget, remove_path, scratch_dir
+from .common import claim, held_by, trim
 from .records import _make_dir, _open
 
 WIDTH, GRAM = 50, 24
 SPAN = WIDTH - GRAM + 1  # grams that start in a window
 BLOCK_BYTES = 3 << 20
 #: Bytes of segments in one suffix array.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Bytes of text for one range of hash.
-RANGE_BYTES = 8 << 20
+RANGE_BYTES = 4 << 20
 HOT = 50_000
 _SLICE = 1 << 17  # its arrays fit a core's cache
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -72,6 +73,9 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return both[0], both[1]
 
 
+held_by("suffix", lambda: _powers.cache_clear())
+
+
 def gram_hashes(data: np.ndarray, size: int = GRAM) -> np.ndarray:
     """Mixed hashes of the strings of ``size`` bytes that start at each place; the end has the top value."""
     n = len(data)
@@ -132,6 +136,17 @@ def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
+def _pack(h: np.ndarray) -> bytes:
+    """The low 40 bits of hashes; their range tells the rest apart, as it holds some 300 000."""
+    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    grid = np.zeros((len(data) // 5, 8), np.uint8)
+    grid[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return grid.view("<u8").ravel()
+
+
 def _join(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
 
@@ -385,6 +400,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     uri = folder if "://" in folder else ("file://" + folder if folder.startswith("/") else folder.replace("file:/", "file:///", 1))
 
     def store(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         part = TaskContext.get().partitionId()
         held, size, number = [], 0, 0
 
@@ -399,7 +415,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
             out = [(zlib.crc32(name.encode()) % ranges, name, b"", b"")]  # a block without anchors is known as well
             for r in np.flatnonzero(np.diff(cuts)).tolist():
                 a, b = cuts[r], cuts[r + 1]
-                out.append((r, name, hashes[a:b].tobytes(), np.minimum(counts[a:b], 65535).astype("<u2").tobytes()))
+                out.append((r, name, _pack(hashes[a:b]), np.minimum(counts[a:b], 65535).astype("<u2").tobytes()))
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
@@ -428,7 +444,8 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     sent = rows.mapInArrow(store, "range long, block string, hashes binary, counts binary")
 
     def common(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        lists = [np.frombuffer(x, np.uint64) for x in group["hashes"]]
+        claim("suffix")
+        lists = [_unpack(x) for x in group["hashes"]]
         every = np.concatenate(lists)
         counts = np.concatenate([np.frombuffer(x, "<u2") for x in group["counts"]]).astype(np.int64)
         order = np.argsort(every)
@@ -442,13 +459,14 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         return pd.DataFrame({"block": group["block"], "range": key[0], "bits": answers})
 
     HOT_NOW = HOT
-    bits = (
+    asked = cut(
         sent.repartition(int(ranges), "range")
         .groupBy("range")
         .applyInPandas(common, "block string, range long, bits binary")
+        .groupBy("block")
+        .agg(F.collect_list(F.struct("range", "bits")).alias("answers"))
     )
-    asked = cut(bits.groupBy("block").agg(F.collect_list(F.struct("range", "bits")).alias("answers")))
-
+    forget(spark)
     def needed(block: str, answers: list | None) -> tuple:
         table = _read(f"{uri}/{block}")
         texts = table.column(names["kept"]).to_pylist()
@@ -470,6 +488,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
         return table, data, ends, starts, lengths, keys, owner, leader, leaders
 
     def send(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         for batch in batches:
             for block, answers in zip(*_pairs(batch), strict=True):
                 _, data, _, starts, lengths, keys, owner, _, leaders = needed(block, answers)
@@ -480,7 +499,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 for r in np.flatnonzero(np.diff(cuts)).tolist():
                     mine = leaders[order[cuts[r] : cuts[r + 1]]]
                     text = b"".join([raw[a : a + n] for a, n in zip(starts[mine].tolist(), lengths[mine].tolist(), strict=True)])
-                    out.append((r, block, lengths[mine].astype("<u2").tobytes(), keys[mine].tobytes(), owner[mine].tobytes(), text))
+                    out.append((r, block, lengths[mine].astype("<u2").tobytes(), _pack(keys[mine]), owner[mine].tobytes(), text))
                 if out:
                     kinds = [pa.int64(), pa.string(), *[pa.binary()] * 4]
                     yield pa.RecordBatch.from_arrays(
@@ -493,10 +512,11 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     ).repartition(int(ranges), "range")
 
     def judge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        claim("suffix")
         lengths = [np.frombuffer(x, "<u2") for x in group["lengths"]]
         flags = answer_range(
             np.concatenate(lengths).astype(np.int64),
-            np.concatenate([np.frombuffer(x, np.uint64) for x in group["hashes"]]),
+            np.concatenate([_unpack(x) for x in group["hashes"]]),
             np.concatenate([np.frombuffer(x, np.int64) for x in group["owners"]]),
             b"".join(group["text"]),
         )
@@ -505,6 +525,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
             own = flags[at : at + len(x)]
             out.append(np.packbits(np.concatenate(own)).tobytes() if own else b"")
             at += len(x)
+        trim()
         return pd.DataFrame({"block": group["block"], "range": key[0], "bits": out})
 
     judged = sent_segments.groupBy("range").applyInPandas(judge, "block string, range long, bits binary")
@@ -513,6 +534,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     )
 
     def finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("suffix")
         for batch in batches:
             for block, answers, verdicts in zip(*_pairs(batch), _list(batch.column(2)), strict=True):
                 table, data, ends, starts, lengths, keys, _, leader, leaders = needed(block, answers)

@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import TOKENIZER_DIR
+from .common import TOKENIZER_DIR, held_by
 
 #: A single space between two characters that are no white space.
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
@@ -106,3 +106,6 @@ class PieceEncoder:
 def encoder(path: str, spaces_dropped: bool) -> PieceEncoder:
     """One encoder for each worker process and file."""
     return PieceEncoder(path, spaces_dropped)
+
+
+held_by("tokens", encoder.cache_clear)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, training_fold
+from .common import blocks, claim, training_fold
 
 #: Labelled rows used for fitting, about half of them toxic.
 SAMPLE_ROWS = 12_000
@@ -110,7 +110,7 @@ class Model:
             words = text.split()
             row[-1] = len(words)
             for w in set(words).difference(seen):
-                if len(seen) > 500_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 seen[w] = self.voter(plain_word(w))
             for w in words:
@@ -281,6 +281,7 @@ def score_column(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("toxicity")
         seen: dict[bytes, int | None] = {}
         for texts in batches:
             yield pd.Series(model.score(model.counts(texts, seen)), dtype="float64")
