@@ -51,7 +51,7 @@ def version_manifest(records: DataFrame, group: str) -> DataFrame:
 
     Ids are digested in slices first, so no task gathers all ids of a group.
     """
-    slot = F.substring(F.md5(F.col("id")), 1, 2)
+    slot = F.substring(F.md5(F.col("id")), 1, 4)
     part = records.groupBy(group, slot.alias("slot")).agg(
         F.count(F.lit(1)).alias("n"),
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "version", "version_id"))), lambda x: x["version_id"]), "")).alias("d"),

@@ -88,7 +88,7 @@ def timeline_events(spark, sf):
 
 @query(
     "version_manifest_digest",
-    f"""WITH {model.VERSIONS_SQL}, p AS (SELECT event_type, substr(md5(id), 1, 2) AS slot, count(*) AS n,
+    f"""WITH {model.VERSIONS_SQL}, p AS (SELECT event_type, substr(md5(id), 1, 4) AS slot, count(*) AS n,
       md5(string_agg(id || '#' || version, '' ORDER BY id, version)) AS d FROM v GROUP BY 1, 2)
     SELECT event_type, sum(n)::BIGINT AS n, md5(string_agg(d, '' ORDER BY slot)) AS digest FROM p GROUP BY 1""",
 )

@@ -1 +1 @@
-"""See the package docstring."""
+"""Readers and writers: snapshots of record tables, texts and binary sources."""
