@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, remove_path, scratch_dir
-from .common import claim
+from .common import claim, small_batches
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
@@ -135,6 +135,7 @@ def pack(
     result reads the encoded table below ``folder``, which the caller removes.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),

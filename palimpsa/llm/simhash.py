@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..operators.recovery import cut
-from .common import blocks, claim, id_and_bytes
+from .common import blocks, claim, id_and_bytes, trim
 
 #: Buckets above this size are split again before any task holds them.
 BUCKET_LIMIT = 4096
@@ -98,6 +98,7 @@ def fingerprints(
                 pa.array(np.arange(0, fps.size + 1, words), pa.int32()), pa.array(fps.ravel())
             )
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], names=["doc_id", "fp"])
+        trim()
 
     return id_and_bytes(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp array<bigint>")
 
@@ -158,7 +159,27 @@ def link_bucket(fps: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple
     return out
 
 
-def _linker(distance: int, words: int):
+def nearest_links(fps: np.ndarray, nodes: np.ndarray, distance: int, most: int = 4) -> list[tuple[int, int]]:
+    """Links of each member to its nearest ones within the distance, ``most`` at most.
+
+    A looser test comes before the exact one here, and a tree could hang on a pair
+    that fails later; the nearest pairs are those that pass.
+    """
+    out: set[tuple[int, int]] = set()
+    step = max(1, (1 << 22) // max(1, len(nodes) * fps.shape[1]))
+    for lo in range(0, len(nodes), step):
+        part = fps[lo : lo + step]
+        d = np.bitwise_count(part[:, None, :] ^ fps[None, :, :]).sum(axis=2, dtype=np.int16)
+        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = 32767
+        k = min(most, len(nodes) - 1)
+        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(nodes) - 1 else np.argsort(d, axis=1)[:, :k]
+        row, col = np.nonzero(np.take_along_axis(d, near, axis=1) <= distance)
+        for i, j in zip(nodes[lo + row].tolist(), nodes[near[row, col]].tolist(), strict=True):
+            out.add((min(i, j), max(i, j)))
+    return sorted(out)
+
+
+def _linker(distance: int, words: int, loose: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in batches:
@@ -168,6 +189,8 @@ def _linker(distance: int, words: int):
                 nodes = flat[0].to_numpy(zero_copy_only=False)
                 fps = flat[1].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
                 out += link_bucket(fps, nodes, distance)
+                if loose and len(nodes) > 2:
+                    out += nearest_links(fps, nodes, distance)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
             )
@@ -175,13 +198,13 @@ def _linker(distance: int, words: int):
     return run
 
 
-def _links_of(groups: DataFrame, distance: int, words: int, keys: list[str]) -> DataFrame:
+def _links_of(groups: DataFrame, distance: int, words: int, keys: list[str], loose: bool = False) -> DataFrame:
     return (
         groups.groupBy(*keys)
         .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
-        .mapInArrow(_linker(distance, words), "a long, b long")
+        .mapInArrow(_linker(distance, words, loose), "a long, b long")
     )
 
 
@@ -252,7 +275,8 @@ def band_links(nodes: DataFrame, words: int, distance: int, carried: int = 2) ->
     )
     loose = int(64 * carried * (distance / (64 * words)) + 3.5 * (64 * carried * 0.16 * 0.84) ** 0.5)
     dealt = small.select("node", "fp", "t", "k", F.col("tile").cast("long")).union(large)
-    pairs = _links_of(dealt, loose, carried, ["t", "k", "tile"]).distinct()
+    pairs = _links_of(dealt, loose, carried, ["t", "k", "tile"], True)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     full = nodes.select("node", "fp")
     bits = F.aggregate(
         F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
@@ -266,9 +290,9 @@ def band_links(nodes: DataFrame, words: int, distance: int, carried: int = 2) ->
 
 
 def angular_distance(similarity: float, bits: int) -> int:
-    """Differing bits expected of two sets with a Jaccard similarity, rounded up."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.ceil(np.arccos(cosine) / np.pi * bits))
+    """Differing bits of two sets with a Jaccard similarity: what is expected and a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(share * bits + (bits * share * (1 - share)) ** 0.5))
 
 
 def near_duplicates_wide(

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, forget, remove_path, scratch_dir
-from .common import claim, held_by, trim
+from .common import claim, held_by, small_batches, trim
 from .records import _make_dir, _open
 
 WIDTH, GRAM = 50, 24
@@ -391,6 +391,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
     Returns the frame and the names those columns got. It reads files below
     ``folder``, which the caller removes when the result is stored.
     """
+    small_batches(docs.sparkSession)
     names = {k: _fresh(docs, f"dedup_{k}") for k in ("id", "kept", "n_bytes", "n_removed", "n_spans")}
     rows = docs.withColumn(names["id"], F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))).withColumn(
         names["kept"], F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -438,6 +439,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                     held, size, number = [], 0, number + 1
         if held:
             yield block(held)
+        trim()
 
     spark = docs.sparkSession
     _make_dir(uri)
@@ -506,6 +508,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                         [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
                         names=["range", "block", "lengths", "hashes", "owners", "text"],
                     )
+        trim()
 
     sent_segments = asked.mapInArrow(
         send, "range long, block string, lengths binary, hashes binary, owners binary, text binary"
@@ -569,6 +572,7 @@ def remove_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_co
                 np.add.at(spans, at + WIDTH, -1)
                 gone = np.cumsum(spans)[: len(data)] > 0
                 yield from _cut_rows(table, data, ends, gone, names)
+        trim()
 
     kept = [f for f in rows.schema.fields if f.name not in (names["id"], names["kept"])]
     from pyspark.sql.types import BinaryType, LongType, StructField, StructType

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, claim, training_fold
+from .common import blocks, claim, small_batches, training_fold, trim
 
 #: Labelled rows used for fitting, about half of them toxic.
 SAMPLE_ROWS = 12_000
@@ -285,12 +285,14 @@ def score_column(model: Model, text: Column) -> Column:
         seen: dict[bytes, int | None] = {}
         for texts in batches:
             yield pd.Series(model.score(model.counts(texts, seen)), dtype="float64")
+        trim()
 
     return run(F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
 def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), score_column(model, F.col(text_col)).alias("score"))
     return out.select(
@@ -303,5 +305,6 @@ def scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, id_col, text_col)
     return docs.filter(score_column(model, F.col(text_col)) < THRESHOLD)
