@@ -159,7 +159,7 @@ def link_bucket(fps: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple
     return out
 
 
-def nearest_links(fps: np.ndarray, nodes: np.ndarray, distance: int, most: int = 4) -> list[tuple[int, int]]:
+def nearest_links(fps: np.ndarray, nodes: np.ndarray, distance: int, most: int = 1) -> list[tuple[int, int]]:
     """Links of each member to its nearest ones within the distance, ``most`` at most.
 
     A looser test comes before the exact one here, and a tree could hang on a pair

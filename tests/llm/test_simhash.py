@@ -71,7 +71,9 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-def test_wide_fingerprints_find_near_copies(spark):
+@pytest.mark.parametrize("limit", [4096, 2])
+def test_wide_fingerprints_find_near_copies(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(500)]
     rows = []
