@@ -33,6 +33,8 @@ from .common import blocks, claim, id_and_bytes, trim
 
 #: Buckets above this size are split again before any task holds them.
 BUCKET_LIMIT = 4096
+#: Up to so many large buckets are broadcast (20 bytes each).
+LARGE_BUCKETS = 10_000
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -142,15 +144,19 @@ def link_bucket(fps: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple
     """A spanning forest of the bucket's links, found breadth first.
 
     Every pair within the distance ends up in one tree, and no more than one
-    link per member is returned.
+    link per member is returned. Half of the words are compared first: a pair
+    that differs in more bits there already can not be within the distance.
     """
+    half = np.ascontiguousarray(fps[:, : max(1, fps.shape[1] // 2)])
     rest = np.arange(len(nodes))
     out = []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(fps[rest] ^ fps[at]).sum(axis=1) <= distance
+            near = np.bitwise_count(half[rest] ^ half[at]).sum(axis=1) <= distance
+            if near.any() and half.shape[1] < fps.shape[1]:
+                near[near] = np.bitwise_count(fps[rest[near]] ^ fps[at]).sum(axis=1) <= distance
             if near.any():
                 found = rest[near]
                 out += [(int(nodes[at]), int(x)) for x in nodes[found]]
@@ -159,27 +165,7 @@ def link_bucket(fps: np.ndarray, nodes: np.ndarray, distance: int) -> list[tuple
     return out
 
 
-def nearest_links(fps: np.ndarray, nodes: np.ndarray, distance: int, most: int = 1) -> list[tuple[int, int]]:
-    """Links of each member to its nearest ones within the distance, ``most`` at most.
-
-    A looser test comes before the exact one here, and a tree could hang on a pair
-    that fails later; the nearest pairs are those that pass.
-    """
-    out: set[tuple[int, int]] = set()
-    step = max(1, (1 << 22) // max(1, len(nodes) * fps.shape[1]))
-    for lo in range(0, len(nodes), step):
-        part = fps[lo : lo + step]
-        d = np.bitwise_count(part[:, None, :] ^ fps[None, :, :]).sum(axis=2, dtype=np.int16)
-        d[np.arange(len(part)), np.arange(lo, lo + len(part))] = 32767
-        k = min(most, len(nodes) - 1)
-        near = np.argpartition(d, k - 1, axis=1)[:, :k] if k < len(nodes) - 1 else np.argsort(d, axis=1)[:, :k]
-        row, col = np.nonzero(np.take_along_axis(d, near, axis=1) <= distance)
-        for i, j in zip(nodes[lo + row].tolist(), nodes[near[row, col]].tolist(), strict=True):
-            out.add((min(i, j), max(i, j)))
-    return sorted(out)
-
-
-def _linker(distance: int, words: int, loose: bool):
+def _linker(distance: int, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("simhash")
         for batch in batches:
@@ -189,8 +175,6 @@ def _linker(distance: int, words: int, loose: bool):
                 nodes = flat[0].to_numpy(zero_copy_only=False)
                 fps = flat[1].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, words)
                 out += link_bucket(fps, nodes, distance)
-                if loose and len(nodes) > 2:
-                    out += nearest_links(fps, nodes, distance)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"]
             )
@@ -198,13 +182,13 @@ def _linker(distance: int, words: int, loose: bool):
     return run
 
 
-def _links_of(groups: DataFrame, distance: int, words: int, keys: list[str], loose: bool = False) -> DataFrame:
+def _links_of(groups: DataFrame, distance: int, words: int, keys: list[str]) -> DataFrame:
     return (
         groups.groupBy(*keys)
         .agg(F.collect_list(F.struct("node", "fp")).alias("members"))
         .filter(F.size("members") > 1)
         .select("members")
-        .mapInArrow(_linker(distance, words, loose), "a long, b long")
+        .mapInArrow(_linker(distance, words), "a long, b long")
     )
 
 
@@ -242,13 +226,12 @@ def near_duplicates(
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def band_links(nodes: DataFrame, words: int, distance: int, carried: int = 2) -> DataFrame:
-    """Links between wide fingerprints that share a 16-bit band.
+def band_links(nodes: DataFrame, words: int, distance: int) -> DataFrame:
+    """Links ``(a, b)`` that connect all wide fingerprints that share a 16-bit band and are within ``distance``.
 
-    Rows carry ``carried`` words of the fingerprint; pairs that pass a loose
-    test on those are verified on all of them.
+    Rows carry the whole fingerprint, so buckets are answered by the final test,
+    and are shuffled once: only large buckets are counted out beforehand.
     """
-    part = F.slice("fp", 1, carried)
     bands = F.array(
         *[
             F.struct(
@@ -259,34 +242,21 @@ def band_links(nodes: DataFrame, words: int, distance: int, carried: int = 2) ->
             for i in range(4)
         ]
     )
-    rows = nodes.select("node", part.alias("part"), F.explode(bands).alias("key"))
-    rows = rows.select("node", F.col("part").alias("fp"), "key.t", "key.k")
-    rows = cut(rows.join(rows.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), ["t", "k"]))
-    small = rows.filter(F.col("n") <= BUCKET_LIMIT).withColumn("tile", F.lit(0))
+    rows = nodes.select("node", "fp", F.explode(bands).alias("key")).select("node", "fp", "key.t", "key.k")
+    sizes = nodes.select(F.explode(bands).alias("key")).groupBy("key.t", "key.k").agg(F.count(F.lit(1)).alias("n"))
     # A large bucket is cut into g chunks; every pair of chunks is a tile of its own.
+    large = cut(sizes.filter(F.col("n") > BUCKET_LIMIT).select("t", "k", F.ceil(F.col("n") / BUCKET_LIMIT).alias("g")))
+    if large.count() <= LARGE_BUCKETS:
+        large = F.broadcast(large)
     chunk = F.pmod(F.xxhash64("node"), F.col("g"))
     tiles = F.transform(
         F.sequence(F.lit(0).cast("long"), F.col("g") - 1), lambda o: F.least(chunk, o) * F.col("g") + F.greatest(chunk, o)
     )
-    large = (
-        rows.filter(F.col("n") > BUCKET_LIMIT)
-        .withColumn("g", F.ceil(F.col("n") / BUCKET_LIMIT))
-        .select("node", "fp", "t", "k", F.explode(tiles).alias("tile"))
-    )
-    loose = int(64 * carried * (distance / (64 * words)) + 3.5 * (64 * carried * 0.16 * 0.84) ** 0.5)
-    dealt = small.select("node", "fp", "t", "k", F.col("tile").cast("long")).union(large)
-    pairs = _links_of(dealt, loose, carried, ["t", "k", "tile"], True)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    full = nodes.select("node", "fp")
-    bits = F.aggregate(
-        F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    return (
-        pairs.join(full.select(F.col("node").alias("a"), F.col("fp").alias("fa")), "a")
-        .join(full.select(F.col("node").alias("b"), F.col("fp").alias("fb")), "b")
-        .filter(bits <= distance)
-        .select("a", "b")
+    none = F.array(F.lit(0).cast("long"))
+    dealt = rows.join(large, ["t", "k"], "left").select(
+        "node", "fp", "t", "k", F.explode(F.when(F.col("g").isNull(), none).otherwise(tiles)).alias("tile")
     )
+    return _links_of(dealt, distance, words, ["t", "k", "tile"])
 
 
 def angular_distance(similarity: float, bits: int) -> int:

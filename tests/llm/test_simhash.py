@@ -89,6 +89,34 @@ def test_wide_fingerprints_find_near_copies(spark, monkeypatch, limit):
     assert found == {d: d - d % 10 for d, _ in rows}
 
 
+@pytest.mark.parametrize("limit", [4096, 60])
+def test_wide_links_are_exact_in_a_family_of_unlike_documents(spark, monkeypatch, limit):
+    """All members pass a test on a part of the bits, few pairs the one on all of them."""
+    monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
+    rng = random.Random(3)
+    flipped = lambda x, n: x ^ sum(1 << b for b in rng.sample(range(768), n))
+    base = rng.getrandbits(768)
+    fps = []
+    for _ in range(60):
+        one = flipped(base, 85)
+        fps += [one, flipped(one, 115)]
+    fps += [flipped(base, 85) for _ in range(180)]
+    words = lambda x, size: [x >> i & (1 << size) - 1 for i in range(0, 768, size)]
+    bands = [words(x, 16) for x in fps]
+    links = {
+        (i, j)
+        for i in range(len(fps))
+        for j in range(i)
+        if (fps[i] ^ fps[j]).bit_count() <= 127 and any(a == b for a, b in zip(bands[i], bands[j], strict=True))
+    }
+    assert len(links) >= 50
+    rows = [(n, [simhash._signed(w) for w in words(x, 64)]) for n, x in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node long, fp array<bigint>")
+    expected = spark.createDataFrame(sorted(links), "a long, b long")
+    part = lambda frame: {r.node: r.component for r in connected_components(frame, "a", "b").collect()}
+    assert part(simhash.band_links(nodes, 12, 127)) == part(expected)
+
+
 def test_long_text_lanes():
     text = b"a b c " * 3000
     got = int(simhash.fingerprint_block([text, b"", text], 3, 1)[0, 0])
