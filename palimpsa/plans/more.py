@@ -325,3 +325,55 @@ def source_scope_inheritance(spark, sf):
 def turn_adjacency(spark, sf):
     own = W.partitionBy("conv_id").orderBy("turn")
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", F.lead("role").over(own).alias("next_role"))
+
+
+# ---- over whole tables -----------------------------------------------------
+# The queries of these names without _whole have a subset of ids or edge types in
+# their SQL too; these have no SQL and are tested against brute force.
+
+
+@query("provenance_trace_whole")
+def provenance_trace_whole(spark, sf):
+    at = lambda prefix, c: F.concat(F.lit(f"{prefix}:"), F.col(c).cast("string"))
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    used = orders.join(lines, "o_orderkey").select(at("order", "o_orderkey").alias("src"), at("part", "l_partkey").alias("dst"), F.lit("used").alias("relation"))
+    cites = orders.select(at("order", "o_orderkey").alias("src"), at("customer", "o_custkey").alias("dst"), F.lit("cites").alias("relation"))
+    return used.union(cites).distinct()
+
+
+@query("timeline_validation_whole")
+def timeline_validation_whole(spark, sf):
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", F.col("l_shipdate").alias("s"), (F.col("l_shipdate") + F.expr("interval 90 days")).alias("t"))
+    return extras.held_at_boundaries(rows, "l_suppkey", "l_partkey", "s", "t").filter("held > 5")
+
+
+@query("projection_fan_out_whole")
+def projection_fan_out_whole(spark, sf):
+    return documents.fixed_chunks(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "ordinal")
+
+
+@query("hierarchy_cycles_whole")
+def hierarchy_cycles_whole(spark, sf):
+    edges = table(spark, sf, "part").select(F.col("p_partkey").alias("c"), F.expr("(p_partkey * 7 + 3) % 50").alias("p"))
+    return graph.on_cycles(graph.closure(edges, "c", "p"))
+
+
+@query("reasoning_paths_whole")
+def reasoning_paths_whole(spark, sf):
+    edges = model.relations(spark, sf).select("src", "dst").distinct()
+    return extras.paths(edges, model.entities(spark, sf).select("id"), 3)
+
+
+@query("bfs_hops_whole")
+def bfs_hops_whole(spark, sf):
+    seeds = spark.createDataFrame([("nation:1",)], "node string")
+    edges = model.relations(spark, sf).select("edge", "src", "dst")
+    return graph.bounded_search(edges, seeds, 3, 10**9, 10**9)[0].select("node", "hop")
+
+
+@query("incident_entities_whole")
+def incident_entities_whole(spark, sf):
+    from ..operators.qualify import incident_entities
+
+    return incident_entities(model.relations(spark, sf), "src", "dst")
