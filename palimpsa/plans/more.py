@@ -140,8 +140,8 @@ def trigram_similarity(spark, sf):
 def keyword_rerank(spark, sf):
     rows = table(spark, sf, "embeddings")
     wanted = rows.filter("vec_id = 0").first()["embedding"]
-    pool = rows.filter("label in (1, 2, 3)").orderBy("vec_id").limit(1000)
-    out = ranking.top(ranking.cosine_rank(pool, "embedding", list(wanted)), "score", "vec_id", 10)
+    hits = rows.filter("label in (1, 2, 3)")
+    out = ranking.top(ranking.cosine_rank(hits, "embedding", list(wanted)), "score", "vec_id", 10)
     return out.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 

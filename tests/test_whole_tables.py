@@ -84,3 +84,10 @@ def test_graph_queries(spark, edges):
         paths = [(*p, b) for p in paths for b in after.get(p[-1], ()) if b not in p]
         expected |= {(p[0], p[-1], ">".join(p), hop) for p in paths}
     assert run(spark, "reasoning_paths_whole") == expected
+
+
+def test_keyword_rerank_has_no_pool_limit(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i in (0, 1900) else [1.0, 1.0 + i / 1000], 1 if i else 0) for i in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = catalogue.QUERIES["keyword_rerank"](spark, str(tmp_path)).collect()
+    assert len(found) == 10 and (found[0]["vec_id"], found[0]["rank"]) == (1900, 1)
