@@ -5,7 +5,8 @@ An inverted index leads from a rank to the positions of the pairs that it
 merges; ranks are taken in order and a merge updates only the two pairs it touches.
 
 Defined results: null texts are empty and have no ids; bytes that are not UTF-8
-are read as U+FFFD; repeated rows, null ids and empty tables pass through.
+are read as U+FFFD; texts of any length are encoded whole, in one block if they
+are longer than a block; repeated rows, null ids and empty tables pass through.
 """
 
 from __future__ import annotations
@@ -18,16 +19,15 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame
 
 from .common import blocks, claim, held_by, id_and_bytes
-from .tokens import spaced_pieces, tokenizer_path
+from .tokens import spaced_cuts, tokenizer_path
 
-#: The public pattern that splits texts before the merges (a fixed value). White
-#: space is the Unicode property, as in the tokenizer's own regular expressions.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Bytes of text whose distinct words are merged together.
 BLOCK_BYTES = 12 << 20
+#: White space of the pattern is the Unicode property, as in the tokenizer's own regular expressions.
 _SPACE = r"\p{White_Space}"
 
 
@@ -160,7 +160,7 @@ class MergeReplay:
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [spaced_pieces(t) for t in texts]
+        split = [[t] if b"\0" in t else spaced_cuts(t).split(b"\0") for t in texts]
         every = set().union(*split)
         known = self.cache
         new = every.difference(known)

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]"
-TOKENIZER_DIR = "/opt/tokenizers"
 
 
 _HELD: dict[str, list[Callable[[], object]]] = {}

@@ -15,7 +15,6 @@ PATH = "/root/testdata/sf0.001"
 
 def whole_ids(text):
     t = Tokenizer.from_file(tokens.tokenizer_path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
 
 

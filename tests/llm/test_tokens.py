@@ -14,21 +14,23 @@ from tokenizers import Tokenizer
 from palimpsa.llm import bpe, records, tokens
 from palimpsa.llm.queries import op2_records, op4_bpe
 
-ODD = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\r's'llAéß́\x1c\x85 　")), max_size=60)
+ODD = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n\r\0#.'s'llAéß́\x1c\x85 　")), max_size=60)
 
 
-def whole(name):
+def whole(name, special_as_text=False):
     t = Tokenizer.from_file(tokens.tokenizer_path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return t
 
 
+@pytest.mark.parametrize("as_text", [False, True])
 @pytest.mark.parametrize(("name", "dropped"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
-def test_pieces_give_the_ids_of_the_whole(name, dropped):
-    t, enc = whole(name), tokens.encoder(tokens.tokenizer_path(name), dropped)
+def test_pieces_give_the_ids_of_the_whole(name, dropped, as_text):
+    t, enc = whole(name, as_text), tokens.PieceEncoder(tokens.tokenizer_path(name), dropped, as_text)
+    special = st.sampled_from(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", " ", ". ", "words", "Ñandú", "ὈΔΟΣ", "страна", "中文"])
 
     @settings(max_examples=400, deadline=None)
-    @given(ODD)
+    @given(st.one_of(ODD, st.lists(special, max_size=12).map("".join)))
     def check(text):
         assert enc.encode([text.encode()])[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
@@ -37,6 +39,18 @@ def test_pieces_give_the_ids_of_the_whole(name, dropped):
         assert enc.encode([r["text"].encode()])[0].tolist() == t.encode(r["text"], add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize(("name", "dropped"), [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+def test_words_of_letters_and_both_halves_of_the_cache(name, dropped, monkeypatch):
+    monkeypatch.setattr(tokens.PieceEncoder, "CACHE", 50)
+    t, enc, rng = whole(name), tokens.PieceEncoder(tokens.tokenizer_path(name), dropped), random.Random(5)
+    letters = [chr(c) for a, b in ((65, 91), (97, 123), (0xC0, 0xD7), (0xD8, 0xF7), (0xF8, 0x100), (0x391, 0x3A2), (0x3A3, 0x3AA), (0x3B1, 0x3CA), (0x400, 0x460), (0x4E00, 0x4E20), (0xAC00, 0xAC20)) for c in range(a, b)]
+    texts = [" ".join("".join(rng.choices(letters if rng.random() < 0.5 else letters[:52], k=rng.randrange(1, 9))) for _ in range(30)) for _ in range(60)]
+    for _ in range(2):
+        for lo in range(0, 60, 7):
+            part = texts[lo : lo + 7]
+            assert [x.tolist() for x in enc.encode([x.encode() for x in part])] == [t.encode(x, add_special_tokens=False).ids for x in part]
+
+
 def test_replay_equals_the_library():
     path = tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
@@ -72,6 +86,23 @@ def test_bpe_query(spark):
     assert bpe.digests(odd.limit(0)).count() == 0
 
 
+def test_very_long_texts_are_encoded_whole(spark):
+    """A text of many blocks, without and with places to cut, by both encoders."""
+    rng = random.Random(9)
+    text = " ".join("".join(rng.choices("abcdeéß.", k=rng.randrange(1, 9))) for _ in range(400_000))
+    path = tokens.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    lib = tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    docs = spark.createDataFrame([(1, text), (2, "word\0" * 5000), (3, "x " * 3)], "doc_id long, text string")
+    for r in bpe.digests(docs).collect():
+        t = {1: text, 2: "word\0" * 5000, 3: "x " * 3}[r.doc_id]
+        ids = lib.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+    ids = whole("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    (found,) = [r for r in records.round_trip(docs).collect() if r.doc_id == 1]
+    assert (found.n_tokens, found.ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes()))
+
+
 def test_checksums():
     assert records.crc32c([b"123456789", b"", b"a"]).tolist() == [0xE3069283, 0, 0xC1D04330]
     rng = np.random.default_rng(1)
