@@ -10,8 +10,8 @@ role, text), so it depends on the order and needs no more than one pass.
 
 Defined results: rows that repeat a turn entirely count once; different rows of
 one turn follow one another by role and text; turns without a number come first;
-null roles and texts are empty; rows with a null conversation id form one
-conversation; conversations are compared by order, role and text, not by turn
+null roles and texts are empty; every different row without a conversation id is a
+conversation of one turn; conversations are compared by order, role and text, not by turn
 numbers. An empty table gives no rows. Other columns are ignored.
 """
 
@@ -30,24 +30,25 @@ def turns_of(conversations: DataFrame) -> DataFrame:
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
+    ).withColumn("own", F.when(F.col("conv_id").isNull(), F.md5(F.to_json(F.struct("turn", "role", "text")))).otherwise(""))
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
     """``conv_id, pos, n, h1, h2``: a row per turn, texts left behind as hashes."""
     marked = turns.select(
-        "conv_id", "turn", "role", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit("second"), "text", "role").alias("b"),
+        "conv_id", "own", "turn", "role", F.xxhash64("role", "text").alias("a"), F.xxhash64(F.lit("second"), "text", "role").alias("b"),
         F.md5("text").alias("digest"),
     ).distinct()
-    order = W.partitionBy("conv_id").orderBy("turn", "role", "digest")
-    placed = marked.select("conv_id", "a", "b", F.row_number().over(order).alias("pos"))
-    upto = W.partitionBy("conv_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("conv_id", "own").orderBy("turn", "role", "digest")
+    placed = marked.select("conv_id", "own", "a", "b", F.row_number().over(order).alias("pos"))
+    upto = W.partitionBy("conv_id", "own").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     return placed.select(
         "conv_id",
+        "own",
         "pos",
         F.bit_xor(F.xxhash64("pos", "a", "b")).over(upto).alias("h1"),
         F.bit_xor(F.xxhash64("b", "pos", "a")).over(upto).alias("h2"),
-        (F.lead("pos").over(W.partitionBy("conv_id").orderBy("pos")).isNull()).alias("last"),
+        (F.lead("pos").over(W.partitionBy("conv_id", "own").orderBy("pos")).isNull()).alias("last"),
     )
 
 
@@ -57,10 +58,10 @@ def maximal(turns: DataFrame) -> DataFrame:
     whole = (
         hashes.filter("last")
         .groupBy("h1", "h2", F.col("pos").alias("n_turns"))
-        .agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+        .agg(F.min_by(F.struct("conv_id", "own"), F.struct(F.col("conv_id").isNull(), "conv_id", "own")).alias("first"), F.count(F.lit(1)).alias("n_copies"))
     )
     inner = hashes.filter("not last").select("h1", "h2", F.col("pos").alias("n_turns")).distinct()
-    return whole.join(inner, ["h1", "h2", "n_turns"], "left_anti").select("conv_id", "n_turns", "n_copies")
+    return whole.join(inner, ["h1", "h2", "n_turns"], "left_anti").select("first.conv_id", "first.own", "n_turns", "n_copies")
 
 
 def harmless(text: Column) -> Column:
@@ -73,10 +74,10 @@ def render(conversations: DataFrame) -> DataFrame:
     turns = turns_of(conversations)
     kept = maximal(turns)
     turn = F.struct("turn", "role", F.md5("text").alias("digest"), "text")
-    named = kept.withColumnRenamed("conv_id", "kept_id")
+    named = kept.withColumnsRenamed({"conv_id": "kept_id", "own": "kept_own"})
     rows = (
-        turns.join(named, F.col("conv_id").eqNullSafe(F.col("kept_id")))
-        .groupBy("conv_id", "n_turns", "n_copies")
+        turns.join(named, (F.col("own") == F.col("kept_own")) & F.col("conv_id").eqNullSafe(F.col("kept_id")))
+        .groupBy("conv_id", "own", "n_turns", "n_copies")
         .agg(F.array_sort(F.collect_set(turn)).alias("turns"))
     )
     # array_sort has nulls last within a struct; turns without a number come first.
@@ -89,9 +90,10 @@ def render(conversations: DataFrame) -> DataFrame:
 
 SQL = r"""
 WITH t AS (
-  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         CASE WHEN conv_id IS NULL THEN coalesce(turn::VARCHAR, '-') || ':' || md5(coalesce(role, '')) || md5(coalesce(text, '')) END AS own FROM conversations
 ), l AS (
-  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, md5(text)) AS ts FROM t GROUP BY conv_id
+  SELECT conv_id, list(struct_pack(role := role, text := text) ORDER BY turn NULLS FIRST, role, md5(text)) AS ts FROM t GROUP BY conv_id, own
 ), inner_prefix AS (
   SELECT DISTINCT ts[1:k] AS p FROM (SELECT ts, unnest(range(1, len(ts))) AS k FROM l)
 ), whole AS (

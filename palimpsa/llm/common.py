@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words: space and 0x09 to 0x0D.
@@ -95,3 +96,29 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
 def training_fold(id_col: str, modulus: int) -> F.Column:
     """True where crc32 of the id as text, modulo ``modulus``, is not 1."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus) != 1
+
+
+#: Most partitions of a stage; beyond it they grow instead.
+MAX_PARTS = 100_000
+
+
+def part_count(size: int, each: int) -> int:
+    """Partitions for ``size`` bytes at about ``each`` bytes."""
+    return max(1, min(-(-size // each), MAX_PARTS))
+
+
+def bases(parts: DataFrame, group: list[str], block: int = 1024) -> DataFrame:
+    """``parts`` (one row per group and ``part``, with ``n``) with ``base``: the sum of n of earlier parts.
+
+    Sums are taken within blocks of parts and then over blocks, so a task holds
+    ``block`` rows, or the rows of all blocks, a thousandth of the parts.
+    """
+    rows = parts.withColumn("block", F.floor(F.col("part") / block))
+    before = lambda *by: W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
+    span = (W.unboundedPreceding, -1)
+    inner = before(*group, "block").orderBy("part").rowsBetween(*span)
+    outer = before(*group).orderBy("block").rowsBetween(*span)
+    sums = rows.groupBy(*group, "block").agg(F.sum("n").alias("of_block"))
+    sums = sums.select(*group, "block", F.coalesce(F.sum("of_block").over(outer), F.lit(0)).alias("earlier"))
+    rows = rows.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return rows.join(sums, [*group, "block"]).withColumn("base", F.col("within") + F.col("earlier")).drop("block", "within", "earlier")

@@ -1,8 +1,13 @@
 """Mixture-controlled packing of documents into sequences of equal length.
 
-Every source with at least 1/64 of the bytes has a queue of its own, in id order;
-the others share one queue in an order that mixes them. Deficit round-robin
-serves the queues: a queue's quantum per window is its target share, and what a
+Deficit round-robin serves queues of sources. A source has a queue of its own if its
+share of the mixture (its weight, or its bytes where no weights are given) is 1/64
+or more; others share a queue, whose weight is the sum of theirs. Its documents
+are taken in the order of a virtual time, a hash of the id stretched by the bytes
+a source has per weight, so that every source has its part of that queue in
+expectation. Sources without a weight come last, in a queue of their own.
+
+Round-robin serves the queues: a queue's quantum per window is its target share, and what a
 window rounds off is carried to the next as its deficit. With quanta kept as
 whole fractions the served amount has a closed form, floor(y A / L) for the
 first y of L tokens and the cumulated amounts A of the queues, so any task can
@@ -11,7 +16,7 @@ windows and partitions alike. Where target weights differ from what there is, a
 queue runs dry; then a new phase begins with the weights of the remaining ones.
 
 Defined results: null texts are empty (they hold the end id alone); null sources
-are in the shared queue; null ids come first; repeated rows are packed repeatedly;
+have no weight and share a queue; null ids come first in a queue of one source; repeated rows are packed repeatedly;
 an empty table gives no pieces; other columns are ignored.
 """
 
@@ -26,17 +31,18 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, remove_path, scratch_dir
-from .common import claim, small_batches
+from .common import bases, claim, part_count, small_batches
 from .tokens import encoder, tokenizer_path
 
 LENGTH = 2048
-#: Least share of the bytes for a queue of its own, so there are 64 of these at most.
+#: Least share of the mixture for a queue of its own, so there are 64 of these at most.
 OWN_QUEUE = 1 / 64
+#: Up to so many rows of part offsets (some 30 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of text a task encodes.
 PART_BYTES = 24 << 20
 
@@ -109,12 +115,62 @@ def pieces(plan: list[Phase], q: int, x: int, n: int, size: int = LENGTH) -> Ite
             window += 1
 
 
-def _sources(rows: DataFrame) -> tuple[list[str], int]:
-    """Sources with a queue of their own, and the bytes of all."""
+@dataclass(frozen=True)
+class Queues:
+    """Queue 0 is shared, then come those of ``own`` sources, and last that of sources without a weight."""
+
+    own: list[str]
+    shared: dict[str, float]  # with weights: how far a source's virtual time is stretched, at most 1
+    weights: list[float] | None
+
+    @property
+    def last(self) -> int:
+        return len(self.own) + 1
+
+    def queue(self) -> Column:
+        at = F.array_position(F.array(*[F.lit(s) for s in self.own]), F.col("source")) if self.own else F.lit(0)
+        other = F.lit(0)
+        if self.weights:
+            other = F.when(F.col("source").isin(list(self.shared)), 0).otherwise(self.last) if self.shared else F.lit(self.last)
+        return F.when(F.coalesce(at, F.lit(0)) > 0, at).otherwise(other).cast("int")
+
+    def place(self) -> Column:
+        """Order within a queue."""
+        mixed = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)  # 53 bits
+        if self.shared:
+            stretch = F.create_map(*[F.lit(x) for pair in self.shared.items() for x in pair])
+            mixed = F.floor(mixed * F.coalesce(stretch[F.col("source")], F.lit(1.0)))
+        return F.when(F.col("queue").between(1, len(self.own)), F.col("doc_id")).otherwise(mixed)
+
+
+def _queues(rows: DataFrame, weights: dict[str, float] | None) -> tuple[Queues, int]:
+    """The queues of the sources, and the bytes of all."""
     sums = cut(rows.groupBy("source").agg(F.sum(F.octet_length("text") + 1).alias("n")))
     total = sums.agg(F.sum("n")).first()[0] or 0
-    kept = sums.filter(F.col("source").isNotNull() & (F.col("n") >= F.lit(OWN_QUEUE * total)))
-    return sorted(r["source"] for r in kept.select("source").collect()), total
+    if weights is None:
+        kept = sums.filter(F.col("source").isNotNull() & (F.col("n") >= F.lit(OWN_QUEUE * total)))
+        return Queues(sorted(r["source"] for r in kept.select("source").collect()), {}, None), total
+    asked = [s for s, w in weights.items() if w > 0]
+    have = {r["source"]: r["n"] for r in sums.filter(F.col("source").isin(asked)).collect()}
+    every = sum(weights[s] for s in have)
+    own = sorted(s for s in have if weights[s] >= OWN_QUEUE * every)
+    slow = {s: n / weights[s] for s, n in have.items() if s not in own}
+    shared = {s: x / max(slow.values()) for s, x in slow.items()}
+    return Queues(own, shared, [sum(weights[s] for s in shared), *(weights[s] for s in own), 0]), total
+
+
+def _plan(amounts: list[int], weights: list[float] | None, size: int) -> tuple[list[Phase], list[tuple[int, int]]]:
+    """The schedule, and for each queue the one of the schedule that it is part of and where it begins there.
+
+    A queue with under two tokens to a window joins queue 0, behind what that holds:
+    shares are rounded one after the other, which needs a token a window but for the first and the last queue.
+    """
+    share = lambda q: (weights[q] / (sum(weights) or 1)) if weights else amounts[q] / (sum(amounts) or 1)
+    merged, at = list(amounts), [(q, 0) for q in range(len(amounts))]
+    for q in range(1, len(amounts) - 1):
+        if share(q) * size < 2:
+            at[q], merged[0], merged[q] = (0, merged[0]), merged[0] + merged[q], 0
+    return phases(merged, weights), at
 
 
 def pack(
@@ -131,7 +187,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: ``doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
-    ``weights`` gives target shares by source; sources without one come last. The
+    ``weights`` gives target shares by source; sources without one come last, and
+    where a source runs dry the others of its queue, then the other queues, take its part. The
     result reads the encoded table below ``folder``, which the caller removes.
     """
     spark = docs.sparkSession
@@ -141,13 +198,10 @@ def pack(
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"),
     )
-    own, size_all = _sources(rows)
-    at = F.array_position(F.array(*[F.lit(s) for s in own]), F.col("source")) if own else F.lit(0)
-    queue = F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(len(own)).cast("int")
-    ordered = rows.withColumn("queue", queue)
-    ordered = ordered.withColumn("place", F.when(F.col("queue") == len(own), F.xxhash64("doc_id")).otherwise(F.col("doc_id")))
+    queues, size_all = _queues(rows, weights)
+    ordered = rows.withColumn("queue", queues.queue()).withColumn("place", queues.place())
     ordered = ordered.repartitionByRange(
-        max(1, -(-size_all // PART_BYTES)), "queue", "place", F.xxhash64("text")
+        part_count(size_all, PART_BYTES), "queue", "place", F.xxhash64("text")
     ).sortWithinPartitions("queue", "place", "doc_id", "text")
     schema = "part int, queue int, at long, n long, doc_id long, source string, ids binary"
 
@@ -183,13 +237,11 @@ def pack(
     table = spark.read.schema(schema).parquet(path)
     totals = cut(table.groupBy("part", "queue").agg(F.sum("n").alias("n")))
     amounts = {r["queue"]: r["n"] for r in totals.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
-    plan = phases(
-        [amounts.get(q, 0) for q in range(len(own) + 1)],
-        [*(weights.get(s, 0) for s in own), 0] if weights else None,
-    )
-    before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    plan, begins = _plan([amounts.get(q, 0) for q in range(queues.last + 1)], queues.weights, size)
+    offsets = bases(totals, ["queue"]).select("part", "queue", "base")
     # The rows are ordered by queue, so there is one row per part and one more per queue.
-    bases = totals.select("part", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    if totals.count() <= BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
     width = encoder(tokenizer, True).dtype
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +249,8 @@ def pack(
             out: list[tuple] = []
             for doc_id, source, q, x, n, data in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 ids = np.frombuffer(data, width).astype("<u4")
-                for start, length, sequence, offset in pieces(plan, q, x, n, size):
+                own, begin = begins[q]
+                for start, length, sequence, offset in pieces(plan, own, x + begin, n, size):
                     part = ids[start : start + length]
                     out.append((doc_id, source, start, length, zlib.crc32(part), n, sequence, offset, part.tobytes() if with_ids else None))
                 if len(out) >= 20_000:
@@ -206,7 +259,7 @@ def pack(
             if out:
                 yield _batch(out)
 
-    placed = table.join(F.broadcast(bases), ["part", "queue"]).select(
+    placed = table.join(offsets, ["part", "queue"]).select(
         "doc_id", "source", "queue", (F.col("at") + F.col("base")).alias("x"), "n", "ids"
     )
     return placed.mapInArrow(

@@ -23,11 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.recovery import cut, remove_path, scratch_dir
-from .common import blocks, claim, id_and_bytes
+from .common import bases, blocks, claim, id_and_bytes, part_count
 from .tokens import encoder, tokenizer_path
 
 #: Fixed values of the format: reflected Castagnoli polynomial and mask addend.
@@ -160,7 +159,7 @@ def write_records(
     rows = id_and_bytes(docs, id_col, text_col)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ordered = rows.repartitionByRange(
-        max(1, -(-size // FILE_BYTES)), F.col("doc_id"), F.xxhash64("text")
+        part_count(size, FILE_BYTES), F.col("doc_id"), F.xxhash64("text")
     ).sortWithinPartitions("doc_id", "text")
     schema = "doc_id long, part int, file string, offset long, length long, n_tokens long"
 
@@ -201,9 +200,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     index = spark.read.parquet(f"{path}/index")
     files = index.groupBy("part", "file").agg(F.sum("n_tokens").alias("n"))
-    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
-    # One row a file: a range of texts of FILE_BYTES, so these rows are few.
-    files = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    files = bases(files, []).select("file", "base")
     files = files.repartition(max(1, files.count()), "file")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

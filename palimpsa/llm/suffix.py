@@ -656,5 +656,12 @@ def without_repeats(docs: DataFrame, folder: str, id_col: str = "doc_id", text_c
     """``docs`` with repeated strings cut out of the texts; broken characters at the cuts go."""
     found, c = remove_repeats(docs, folder, id_col, text_col)
     whole = F.col(c["n_removed"]) == 0
-    text = F.when(whole, F.col(text_col)).otherwise(F.replace(F.make_valid_utf8(F.col(c["kept"]).cast("string")), F.lit("\ufffd"), F.lit("")))
+    text = F.col(c["kept"]).cast("string")
+    # U+FFFD of the text itself is escaped by way of a noncharacter, so only broken characters become that and go.
+    for a, b in (("\ufdd0", "\ufdd0a"), ("\ufffd", "\ufdd0b")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    for a, b in (("\ufdd0b", "\ufffd"), ("\ufdd0a", "\ufdd0")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    text = F.when(whole, F.col(text_col)).otherwise(text)
     return found.withColumn(text_col, text).select(*docs.columns)

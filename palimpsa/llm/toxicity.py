@@ -11,12 +11,15 @@
 3. Classifier. A logistic regression on the voters' counts is fitted to the
    posteriors; its probability is the score.
 
-Bounds: SAMPLE_ROWS labelled rows and MAX_VOTERS voters reach the driver, whatever
-the input; all texts are scored whole.
+Bounds: SAMPLE_ROWS labelled rows, CANDIDATES terms (those of the most toxic texts,
+of which the voters are chosen) and MAX_VOTERS voters reach the driver, whatever the
+input; all texts are scored whole.
 
 Defined results: null and empty texts get the score of a text without any voter's
 word; repeated rows and null ids are scored like any other; without labels there
-are no voters and every score is 0. Extra columns are ignored.
+are no voters and every score is 0. An id with several labels is toxic if one of
+them says so, and so is a text that several labelled rows have; of several texts of
+a labelled id the smallest is the one to learn from. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +40,7 @@ from .common import blocks, claim, small_batches, training_fold, trim
 #: Labelled rows used for fitting, about half of them toxic.
 SAMPLE_ROWS = 12_000
 MAX_VOTERS = 96
+CANDIDATES = 100 * MAX_VOTERS
 #: Evidence (nats of likelihood ratio against chance) that a voter needs at least ...
 EVIDENCE = 16.0
 #: ... and the share of the texts it fires on that are toxic.
@@ -217,16 +221,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         share = F.when(F.col("toxic") == kind, F.lit(rows / 2 / n)).otherwise(share)
     picked = gold.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share * (1 << 30))
     # SAMPLE_ROWS ids bound what is broadcast.
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(
-        F.broadcast(picked), "doc_id"
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    found = rows.join(F.broadcast(picked), "doc_id")  # an id that many rows have is one labelled text
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS
 ) -> Model:
-    sample = labelled_sample(docs, labels, id_col, text_col, rows).select("toxic", F.coalesce("text", F.lit(b"")).alias("text"))
-    sample = sample.dropDuplicates(["text"]).persist()  # copies are no further evidence
+    sample = labelled_sample(docs, labels, id_col, text_col, rows)
+    sample = sample.groupBy("text").agg(F.max("toxic").alias("toxic")).select("toxic", "text").persist()  # copies are no further evidence
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for marks, texts in blocks(batches):
@@ -241,7 +245,7 @@ def fit(
 
     terms = sample.mapInArrow(count, "term string, p long, n long").groupBy("term").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     good = terms.filter((F.col("p") >= 4) & (F.col("p") >= PRECISION * (F.col("p") + F.col("n"))))
-    top = good.orderBy(F.desc("p"), "term").limit(100 * MAX_VOTERS).collect()
+    top = good.orderBy(F.desc("p"), "term").limit(CANDIDATES).collect()
     have = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = min(0.99, max(have.get(1, 0), 1) / max(sum(have.values()), 1))
     words, beginnings = choose_voters([(r["term"], r["p"], r["n"]) for r in top], share)

@@ -85,6 +85,35 @@ def test_schedule_against_simulation(weights):
         assert abs(got - 64 * 5 / 6) <= 1
 
 
+def test_small_sources_keep_their_weights(spark, tmp_path):
+    """Sources of a thousandth of the tokens, with large, equal and small weights, and some without."""
+    sizes = {"big": 3000, "tiny": 20, "late": 50, **{f"s{i}": 12 for i in range(80)}}
+    weights = {"big": 1.0, "tiny": 3.0, **{f"s{i}": 0.01 for i in range(80)}}
+    rows = [(n, f"{s} some words {n} " * 5, s) for n, s in enumerate(s for s, k in sizes.items() for _ in range(k))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    found = packing.pack(docs, f"{tmp_path}/p", tokens.tokenizer_path("word_bpe_49k.json"), 1, weights, size=256).collect()
+    check_cover(found, 256)
+    part, last = defaultdict(int), {}
+    for r in found:
+        part[r.sequence_id, r.source] += r.length
+        last[r.source] = max(last.get(r.source, 0), r.sequence_id)
+    total = 1 + 3 + 0.8
+    assert abs(part[0, "tiny"] - 256 * 3 / total) <= 2 and abs(part[0, "big"] - 256 / total) <= 2
+    small = sum(n for (s, source), n in part.items() if s == 0 and source.startswith("s"))
+    assert abs(small - 256 * 0.8 / total) <= 2
+    assert len({source for (s, source), n in part.items() if s < 60 and source.startswith("s")}) > 40
+    assert min(s for s, source in part if source == "late") >= max(x for s, x in last.items() if s != "late")
+
+
+def test_queues_of_almost_no_tokens(spark, tmp_path):
+    """Half the bytes are white space, so a source with a queue has a few tokens in all."""
+    rows = [(i, " " * 4000, "blank") for i in range(3)] + [(i, "words " * 200, f"src{i % 2}") for i in range(3, 90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = packing.pack(docs, f"{tmp_path}/p", tokens.tokenizer_path("word_bpe_49k.json"), 1, size=64).collect()
+    check_cover(found, 64)
+    assert sum(r.length for r in found if r.source == "blank") == 3
+
+
 def test_odd_rows(spark, tmp_path):
     rows = [(1, None, "a"), (2, "", None), (None, "some text", "b"), (3, "same", "a"), (3, "same", "a"), (4, "word " * 9000, "a")]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, part int, ids int")
@@ -94,3 +123,5 @@ def test_odd_rows(spark, tmp_path):
     made = packing.sequences(spark.createDataFrame(found), 0).collect()
     assert all(len(r.tokens) == 2048 for r in made)
     assert packing.packed(docs.limit(0)).count() == 0
+    again = packing.pack(docs, f"{tmp_path}/q", tokens.tokenizer_path("word_bpe_49k.json"), 1, {"a": 1.0, "none such": 2.0}).collect()
+    check_cover(again, 2048)

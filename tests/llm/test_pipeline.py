@@ -53,8 +53,10 @@ def test_odd_tables(spark):
     rows = [(None, None, "en", None, 0), (1, None, None, "s", 0), (2, "", "en", "s", 0)]
     good = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
     rows += [(3, good, "en", "s", 9), (3, good, "en", "s", 9), (4, good, "en", "t", 9), (None, good + " more", "en", "t", 9)]
+    other = " ".join(f"thing{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows += [(3, other, "en", "s", 9), (None, other[::-1], "en", "s", 9), (None, other[::-1], "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame, ids in ((docs, [3, None]), (docs.limit(0), [])):
+    for frame, ids in ((docs, [3, 3, None]), (docs.limit(0), [])):
         path = "/root/testdata/sf0.001"
         for _, stage in corpus_pipeline.STAGES[:4]:
             frame = stage(spark, frame.cache(), path)

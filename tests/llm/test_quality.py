@@ -35,4 +35,13 @@ def test_cascade_orders_by_rejection_per_cost(spark):
     never = quality.Rule("never", lambda text, words, n: F.length(text) < 0)
     order = quality.plan_cascade(docs, rules=(never, *quality.RULES))
     assert order[-1].rejected == 0 and order[0].rejected > 0
-    assert [m.rank for m in order] == sorted((m.rank for m in order), reverse=True)
+    assert {m.rule.name for m in order} == {"never", *(r.name for r in quality.RULES)} and all(m.seconds > 0 for m in order)
+
+
+def test_order_is_greedy_on_what_is_left():
+    rules = [quality.Rule(n, None) for n in "abc"]
+    # b rejects most a second; a only rejects what b does; c adds one that no other has.
+    left = [([True, True, False], 6), ([False, True, False], 2), ([False, False, True], 1), ([False, False, False], 11)]
+    order = quality.greedy_order(rules, [1.0, 1.0, 2.0], left)
+    assert [(m.rule.name, m.rejected) for m in order] == [("b", 8 / 20), ("c", 1 / 12), ("a", 0.0)]
+    assert [m.rule.name for m in quality.greedy_order(rules, [1.0, 20.0, 2.0], left)] == ["a", "c", "b"]

@@ -86,3 +86,12 @@ def test_shards_agree_with_one_array(monkeypatch):
     whole = suffix.earlier_windows(parts, owners)
     monkeypatch.setattr(suffix, "SHARD_BYTES", 700)
     assert all((a == b).all() for a, b in zip(whole, suffix.earlier_windows(parts, owners), strict=True))
+
+
+def test_only_broken_characters_go(spark, tmp_path):
+    """A cut within a character takes that one; U+FFFD and U+FDD0 of the text stay."""
+    same = "é" * 40 + "x" * 30
+    texts = ["a" + same, "\ufffd\ufdd0z" + same + "\ufffd\ufdd0b\ufdd0", "\ufffd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.text for r in suffix.without_repeats(docs, f"file://{tmp_path}/s").collect()}
+    assert found == {0: texts[0], 1: "\ufffd\ufdd0z\ufffd\ufdd0b\ufdd0", 2: "\ufffd"}

@@ -58,3 +58,39 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == 202
     assert {r.score for r in toxicity.scores(docs, labels.limit(0)).collect()} == {0.0}
     assert toxicity.scores(docs.limit(0), labels).count() == 0
+
+
+def test_scores_against_a_plain_recomputation(spark):
+    """Hits, features and probability of every document, from the fitted voters and weights alone."""
+    import math
+
+    path = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels)
+    assert model.n
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in op6_toxicity(spark, path).collect():
+        hits, words = [0] * model.n, texts[r.doc_id].encode().split()
+        for raw in words:
+            w = raw.decode().lower()
+            while w and not w[0].isalnum():
+                w = w[1:]
+            while w and not w[-1].isalnum():
+                w = w[:-1]
+            own = [model.words[w]] if w in model.words else [model.beginnings[w[:k]] for k in range(4, 9) if len(w) >= k and w[:k] in model.beginnings]
+            if own:
+                hits[own[0]] += 1
+        for v in model.beginnings.values():
+            if hits[v] < 2 or hits[v] < 0.005 * len(words):
+                hits[v] = 0
+        total = sum(hits)
+        x = [1, *[math.log1p(h) for h in hits], math.log1p(total), total > 0, total > 1, 100 * total / max(len(words), 100)]
+        z = sum(a * b for a, b in zip(x, model.weights, strict=True))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+
+
+def test_an_id_of_many_rows_is_one_labelled_text(spark):
+    docs = spark.createDataFrame([(7, f"text {i % 7}") for i in range(500)] + [(0, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 1), (7, 0), (0, 0)], "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, "doc_id", "text", 100).collect()
+    assert [(r.doc_id, bytes(r.text), r.toxic) for r in sorted(sample)] == [(0, b"", 0), (7, b"text 0", 1)]
