@@ -6,8 +6,9 @@ earlier document has are cut out of the texts; what is left is packed into
 sequences. Every stage works on all rows that the one before kept, and all but
 the last return the columns of ``documents``.
 
-Rows with a null id can not be told from each other and pass the near-copy stage;
-of rows with one id a single one stays there. Null texts are rejected by quality.
+Rows that share an id, or have none, are told apart by their texts; of rows with
+the same id and text one stays in the near-copy stage. Null texts are rejected by
+quality.
 """
 
 from __future__ import annotations
@@ -29,9 +30,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates_wide(docs, shingle=5, similarity=0.8)
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    first = groups.filter("first").select(F.col("doc_id").alias("first_id"), "text_hash").distinct()
+    mark = "near_copy_text_hash"
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    kept = marked.join(first, (F.col(mark) == F.col("text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
+    return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
