@@ -32,32 +32,31 @@ def top_per_group(rows: DataFrame, keys: list[str], order: list[Column | str], l
     return ranked.filter(F.col("place") <= limit)
 
 
-def metadata_facets(rows: DataFrame, json_col: str, type_col: str, depth: int = 5, values: int = 50) -> DataFrame:
+def _leaves(v: Column, path: Column | None, depth: int) -> Column:
+    """``array<struct<path, value>>`` of an object's fields, objects within it opened down to ``depth``."""
+    fields = F.filter(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: ~F.startswith(e["key"], F.lit("_")))
+
+    def one(e: Column) -> Column:
+        name = e["key"] if path is None else F.concat_ws(".", path, e["key"])
+        leaf = F.array(F.struct(name.alias("path"), F.to_json(e["value"]).alias("value")))
+        inner = F.slice(leaf, 1, 0) if depth == 1 else _leaves(e["value"], name, depth - 1)
+        return F.when(F.schema_of_variant(e["value"]).startswith("OBJECT"), inner).otherwise(leaf)
+
+    return F.flatten(F.transform(fields, one))
+
+
+def metadata_facets(rows: DataFrame, json_col: str, type_col: str, depth: int = 5) -> DataFrame:
     """``path, records, types, distinct_values``: what metadata fields there are.
 
-    Objects are opened level by level; fields that begin with _ are left out.
+    Equal metadata is opened once and weighed by its records; fields that begin with _ are left out.
     """
-    level = rows.select(
-        F.monotonically_increasing_id().alias("row"), F.col(type_col).alias("type"), F.lit("").alias("path"), F.try_parse_json(F.col(json_col)).alias("v")
-    ).filter("v is not null")
-    found = None
-    for _ in range(depth):
-        text = F.to_json("v")
-        opened = level.filter(F.schema_of_variant("v").startswith("OBJECT")).select(
-            "row", "type", "path", F.explode(F.json_object_keys(text)).alias("key"), "v"
-        )
-        opened = opened.filter(~F.col("key").startswith("_")).select(
-            "row", "type",
-            F.when(F.col("path") == "", F.col("key")).otherwise(F.concat_ws(".", "path", "key")).alias("path"),
-            F.try_variant_get("v", "$", "map<string,variant>")[F.col("key")].alias("v"),
-        )
-        leaves = opened.filter(~F.schema_of_variant("v").startswith("OBJECT")).select("row", "type", "path", F.to_json("v").alias("value"))
-        found = leaves if found is None else found.unionByName(leaves)
-        level = opened
-    return found.groupBy("path").agg(
-        F.count_distinct("row").alias("records"),
+    weighed = rows.filter(F.col(json_col).isNotNull()).groupBy(F.col(type_col).alias("type"), F.col(json_col).alias("j")).agg(F.count(F.lit(1)).alias("n"))
+    v = F.try_parse_json("j")
+    opened = weighed.filter(F.schema_of_variant(v).startswith("OBJECT")).select("type", "n", F.explode(_leaves(v, None, depth)).alias("x"))
+    return opened.groupBy(F.col("x.path").alias("path")).agg(
+        F.sum("n").alias("records"),
         F.array_join(F.sort_array(F.collect_set("type")), ",").alias("types"),
-        F.count_distinct("value").alias("distinct_values"),
+        F.count_distinct("x.value").alias("distinct_values"),
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import windows
+from .identity import held_values
 
 
 def search_projection(docs: DataFrame, id_col: str, text_col: str, size: int = 6000, overlap: int = 400) -> DataFrame:
@@ -75,12 +76,20 @@ def progressive(docs: DataFrame, steps: list[Callable[[DataFrame], DataFrame]],
 
 
 def maximal_sets(sets: DataFrame, column: str) -> DataFrame:
-    """Distinct sets that are no proper subset of another; joined on a shared member."""
+    """Distinct sets that are no proper subset of another.
+
+    A set meets the sets that have its rarest member, so a member that most sets
+    have brings no pairs. The empty set stays only where there is no other.
+    """
     d = sets.select(F.col(column).alias("v")).distinct()
     a = d.select("v", F.explode("v").alias("m"))
+    a = a.join(a.groupBy("m").agg(F.count(F.lit(1)).alias("n")), "m").groupBy("v").agg(F.min_by("m", F.struct("n", "m")).alias("m"))
     b = d.select(F.col("v").alias("w"), F.explode("v").alias("m"))
     covered = a.join(b, "m").filter((F.size("w") > F.size("v")) & (F.size(F.array_except("v", "w")) == 0)).select("v").distinct()
-    return d.join(covered, "v", "left_anti").select(F.col("v").alias(column))
+    kept = d.join(covered, "v", "left_anti")
+    others = kept.filter(F.size("v") > 0)
+    empty = kept.filter(F.size("v") == 0).join(others.limit(1).select(F.lit(True).alias("other")), F.lit(True), "left_anti")
+    return others.unionByName(empty).select(F.col("v").alias(column))
 
 
 def paths(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
@@ -113,12 +122,18 @@ def combined_state(rows: DataFrame, key: str, state: str) -> DataFrame:
     )
 
 
-def expand_queries(queries: DataFrame, id_col: str, text_col: str, terms: DataFrame, most_terms: int = 10_000) -> DataFrame:
-    """Vocabulary terms that occur in each query; the vocabulary is bounded, so it is sent to the queries."""
-    if terms.count() > most_terms:
-        raise ValueError("the vocabulary is too large")
-    t = F.broadcast(terms.select("term"))
-    return queries.join(t, F.contains(F.lower(F.col(text_col)), F.lower("term"))).select(id_col, "term").distinct()
+def expand_queries(queries: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
+    """Vocabulary terms that occur in each query.
+
+    A term is looked for only in texts that have its first three characters
+    (shorter terms: all of them), by a join, so no side is sent or paired whole.
+    """
+    low = F.lower(F.col(text_col))
+    gram = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*[gram(low, n) for n in (1, 2, 3)])))
+    texts = queries.filter(F.char_length(low) > 0).select(id_col, low.alias("low"), F.explode(grams).alias("gram"))
+    words = terms.select("term", F.lower("term").alias("t")).filter(F.col("t") != "").distinct().withColumn("gram", F.left("t", F.lit(3)))
+    return texts.join(words, "gram").filter(F.contains("low", F.col("t"))).select(id_col, "term").distinct()
 
 
 def max_count_violations(rows: DataFrame, owner: list[str], predicate: str, most: int) -> DataFrame:
@@ -129,9 +144,7 @@ def max_count_violations(rows: DataFrame, owner: list[str], predicate: str, most
 
 def held_at_boundaries(rows: DataFrame, owner: str, value: str, start: str, end: str) -> DataFrame:
     """Per owner and boundary instant the number of values that hold there."""
-    points = rows.select(owner, F.col(start).alias("at")).union(rows.select(owner, F.col(end).alias("at"))).distinct()
-    held = points.join(rows, owner).filter((F.col(start) <= F.col("at")) & (F.col(end).isNull() | (F.col(end) > F.col("at"))))
-    return held.groupBy(owner, "at").agg(F.count_distinct(value).alias("held"))
+    return held_values(rows, [owner], value, start, end, ends_too=True).filter("held > 0")
 
 
 def redirect(rows: DataFrame, mapping: DataFrame, column: str, name: str) -> DataFrame:

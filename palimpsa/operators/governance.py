@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Status changes that a decision may make (fixed values).
+#: Status changes that a decision may make (fixed values); rejected and superseded are final.
 TRANSITIONS = [
-    ("proposed", "accepted"), ("proposed", "rejected"), ("accepted", "retired"),
-    ("accepted", "superseded"), ("rejected", "proposed"), ("retired", "accepted"),
+    ("pending", "accepted"), ("pending", "rejected"), ("pending", "contradicting"), ("pending", "superseded"),
+    ("accepted", "contradicting"), ("accepted", "rejected"), ("accepted", "superseded"),
+    ("contradicting", "accepted"), ("contradicting", "rejected"), ("contradicting", "superseded"),
 ]
 
 
@@ -22,7 +23,7 @@ def stale_writes(changes: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return changes.join(have, key, "left").filter(F.coalesce("have", F.lit(0)) != F.col("expected_version"))
 
 
-def illegal_transitions(log: DataFrame, key: str, order: str, status: str, start: str = "proposed") -> DataFrame:
+def illegal_transitions(log: DataFrame, key: str, order: str, status: str, start: str = "pending") -> DataFrame:
     """Decisions that no transition allows, given the status before them."""
     own = W.partitionBy(key).orderBy(order)
     rows = log.withColumn("from_status", F.coalesce(F.lag(status).over(own), F.lit(start)))
@@ -54,8 +55,8 @@ def undo_parity(ledger: DataFrame, most: int = 64) -> DataFrame:
         same = new.join(state.select("operation", F.col("active").alias("was")), "operation").filter("active <> was").limit(1).count() == 0
         state = new
         if same:
-            break
-    return state.select("operation", "active")
+            return state.select("operation", "active")
+    raise ValueError(f"chains of more than {most} reversals, or a cycle of them")
 
 
 def triple_diff(before: DataFrame, after: DataFrame) -> DataFrame:

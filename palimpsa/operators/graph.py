@@ -50,10 +50,10 @@ def bounded_search(
         n = found.count()
         if n > room:
             truncated, n = True, room
-            found = found.orderBy("via", "node").limit(room)
+            found = cut(found.orderBy("via", "node").limit(room))
         if not n:
             break
-        seen = cut(seen.unionByName(found))
+        seen = seen.unionByName(found)  # every level is stored, so nothing is computed again
         nodes_left, edges_left = nodes_left - n, edges_left - n
     return seen, truncated
 
@@ -73,7 +73,7 @@ def closure(edges: DataFrame, child: str, parent: str, most: int = 100) -> DataF
         if now == size:
             return paths
         size = now
-    return paths
+    raise ValueError(f"not settled after {most} rounds")
 
 
 def on_cycles(closed: DataFrame) -> DataFrame:
@@ -81,23 +81,36 @@ def on_cycles(closed: DataFrame) -> DataFrame:
     return closed.filter("child = parent").select(F.col("child").alias("node")).distinct()
 
 
-def chain_ends(links: DataFrame, most: int = 64) -> DataFrame:
-    """``node, target, steps``: the end of each replacement chain by pointer jumping.
+def chain_ends(links: DataFrame) -> DataFrame:
+    """``node, target, steps, issue``: the end of each replacement chain by pointer jumping.
 
-    Ends of cycles and of ambiguous links are null.
+    ``target`` is null where ``issue`` says cycle (the chain runs into one) or
+    ambiguous (a node on it has several successors). A chain of n nodes is at its
+    end after log2(n) rounds; what still moves then is on its way round a cycle.
     """
     unique = links.groupBy("src").agg(F.count_distinct("dst").alias("n"), F.min("dst").alias("dst"))
-    state = cut(unique.select(F.col("src").alias("node"), F.when(F.col("n") == 1, F.col("dst")).alias("target"), F.lit(1).alias("steps")))
-    for _ in range(most):
-        after = state.select(F.col("node").alias("target"), F.col("target").alias("t2"), F.col("steps").alias("s2"), F.lit(True).alias("more"))
+    state = cut(
+        unique.select(
+            F.col("src").alias("node"), F.when(F.col("n") == 1, F.col("dst")).alias("target"), F.lit(1).cast("long").alias("steps"),
+            F.when(F.col("n") > 1, "ambiguous").alias("issue"),
+        )
+    )
+    for _ in range(state.count().bit_length() + 1):
+        after = state.select(F.col("node").alias("target"), F.col("target").alias("t2"), F.col("steps").alias("s2"), F.col("issue").alias("i2"), F.lit(True).alias("more"))
         moved = state.join(after, "target", "left")
         state = cut(
             moved.select(
                 "node",
-                F.when(F.col("more").isNotNull(), F.when(F.col("t2") == F.col("node"), F.lit(None)).otherwise(F.col("t2"))).otherwise(F.col("target")).alias("target"),
-                F.when(F.col("more").isNotNull(), F.col("steps") + F.col("s2")).otherwise(F.col("steps")).alias("steps"),
+                F.when(F.col("more"), F.col("t2")).otherwise(F.col("target")).alias("target"),
+                F.when(F.col("more"), F.col("steps") + F.col("s2")).otherwise(F.col("steps")).alias("steps"),
+                F.coalesce("issue", "i2").alias("issue"),
             )
         )
-        if not moved.filter("more").limit(1).count():
-            break
-    return state
+    moving = state.join(state.select(F.col("node").alias("target"), F.lit(True).alias("more")), "target", "left")
+    cyclic = F.col("issue").isNull() & F.coalesce("more", F.lit(False))
+    return moving.select(
+        "node",
+        F.when(~cyclic, F.col("target")).alias("target"),
+        F.when(~cyclic & F.col("issue").isNull(), F.col("steps")).alias("steps"),
+        F.when(cyclic, "cycle").otherwise(F.col("issue")).alias("issue"),
+    )

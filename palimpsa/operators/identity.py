@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import overlaps
@@ -33,15 +34,37 @@ def band(score, review: float = 0.72, merge: float = 0.88):
     return F.when(score >= merge, "aligned").when(score >= review, "review").otherwise("separate")
 
 
-def value_conflicts(rows: DataFrame, owner: list[str], value: str, start: str, end: str) -> DataFrame:
-    """Owners with several values at one instant, found by a sweep over interval starts.
+def held_values(rows: DataFrame, owner: list[str], value: str, start: str, end: str, ends_too: bool = False) -> DataFrame:
+    """``owner, at, held``: distinct values that hold at each start (and end) of an owner's half-open intervals.
 
-    Two values conflict at an instant if both hold there, and any true overlap holds
-    at one of the starts; so starts are joined to the intervals that hold them.
+    Intervals of one value are merged; then a running sum over starts (+1) and
+    ends (-1) counts them, so the work grows with the intervals, not their pairs.
+    Rows without a start, and empty intervals, hold nowhere; without an end they hold on.
     """
-    starts = rows.select(*owner, F.col(start).alias("at")).distinct()
-    held = starts.join(rows, owner).filter((F.col(start) <= F.col("at")) & (F.col(end).isNull() | (F.col(end) > F.col("at"))))
-    return held.groupBy(*owner, "at").agg(F.count_distinct(value).alias("values")).filter("values > 1")
+    i = rows.select(*owner, F.col(value).alias("v"), F.col(start).alias("s"), F.col(end).alias("t"))
+    points = i.select(*owner, F.col("s").alias("at"))
+    if ends_too:
+        points = points.union(i.select(*owner, F.col("t").alias("at")))
+    i = i.filter(F.col("s").isNotNull() & (F.col("t").isNull() | (F.col("t") > F.col("s"))))
+    own = W.partitionBy(*owner, "v").orderBy("s", F.col("t").asc_nulls_last())
+    before = own.rowsBetween(W.unboundedPreceding, -1)
+    reach, opened = F.max("t").over(before), F.max(F.col("t").isNull()).over(before)
+    i = i.withColumn("new", F.coalesce(~opened & (reach < F.col("s")), opened.isNull()))
+    i = i.withColumn("island", F.count_if("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    merged = i.groupBy(*owner, "v", "island").agg(F.min("s").alias("s"), F.when(~F.bool_or(F.col("t").isNull()), F.max("t")).alias("t"))
+    steps = (
+        merged.select(*owner, F.col("s").alias("at"), F.lit(1).alias("d"), F.lit(False).alias("point"))
+        .union(merged.filter("t is not null").select(*owner, "t", F.lit(-1), F.lit(False)))
+        .union(points.filter("at is not null").select(*owner, "at", F.lit(0), F.lit(True)))
+    )
+    steps = steps.groupBy(*owner, "at").agg(F.sum("d").alias("d"), F.max("point").alias("point"))
+    along = W.partitionBy(*owner).orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    return steps.withColumn("held", F.sum("d").over(along)).filter("point").select(*owner, "at", "held")
+
+
+def value_conflicts(rows: DataFrame, owner: list[str], value: str, start: str, end: str) -> DataFrame:
+    """Owners with several values at one instant; any true overlap holds at one of the starts."""
+    return held_values(rows, owner, value, start, end).filter("held > 1").withColumnRenamed("held", "values")
 
 
 def candidate_conflicts(rows: DataFrame, candidates: DataFrame, owner: list[str], value: str, start: str, end: str) -> DataFrame:

@@ -26,21 +26,27 @@ def cosine_rank(vectors: DataFrame, vector: str, query: list[float], least: floa
     return scored if least is None else scored.filter(F.col("score") >= least)
 
 
+def cosine_to(vectors: DataFrame, vector: str, query: DataFrame, query_vector: str) -> DataFrame:
+    """Rows with the cosine to the one vector of ``query``, a single row, which is sent to all tasks."""
+    one = F.broadcast(query.select(F.col(query_vector).cast("array<double>").alias("query_vector")).limit(1))
+    return vectors.join(one).withColumn("score", cosine(F.col(vector), F.col("query_vector"))).drop("query_vector")
+
+
 def bm25(docs: DataFrame, id_col: str, text_col: str, queries: DataFrame, query_id: str, query_text: str) -> DataFrame:
     """``query_id, id, score``: BM25 of every document that shares a term with a query.
 
     Postings are counted once; only those of terms that a query has are joined.
     """
-    words = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col))).alias("term"))
-    lengths = docs.select(F.col(id_col).alias("id"), F.size(tokens(F.col(text_col))).alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    split = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms"))
+    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("term"))
+    words = split.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     wanted = words.join(asked.select("term").distinct(), "term", "left_semi")
-    tf = wanted.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = wanted.groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = tf.join(df, "term").join(lengths, "id").join(F.broadcast(stats)).select("id", "term", part.alias("s"))  # stats is one row
+    scored = tf.join(df, "term").join(F.broadcast(stats)).select("id", "term", part.alias("s"))  # stats is one row
     return asked.join(scored, "term").groupBy("query_id", "id").agg(F.sum("s").alias("score"))
 
 
@@ -85,6 +91,7 @@ def protected_merge(direct: DataFrame, extra: DataFrame, id_col: str, k: int) ->
     """k rows, of which max(1, k // 3) places are kept for extras; direct rows come first."""
     kept = max(1, k // 3)
     fresh = extra.join(direct.select(id_col), id_col, "left_anti").orderBy("rank").limit(kept)
-    room = k - fresh.count()
-    a = direct.filter(F.col("rank") <= room).select(id_col, "rank", F.lit(0).alias("group"))
-    return a.unionByName(fresh.select(id_col, "rank", F.lit(1).alias("group")))
+    a = direct.filter(F.col("rank") <= k).select(id_col, "rank", F.lit(0).alias("group"))
+    both = a.unionByName(fresh.select(id_col, "rank", F.lit(1).alias("group")))  # some k rows
+    room = k - F.count_if(F.col("group") == 1).over(W.partitionBy(F.lit(0)))
+    return both.withColumn("room", room).filter((F.col("group") == 1) | (F.col("rank") <= F.col("room"))).drop("room")

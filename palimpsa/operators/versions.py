@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,7 +50,7 @@ def timeline(records: DataFrame, at: Column, last: int | None = None) -> DataFra
     return out if last is None else out.orderBy(F.desc("at")).limit(last)
 
 
-def version_manifest(records: DataFrame, group: str) -> DataFrame:
+def sliced_manifest(records: DataFrame, group: str) -> DataFrame:
     """Count and digest of the ordered version ids of each group.
 
     Ids are digested in slices first, so no task gathers all ids of a group.
@@ -62,6 +66,33 @@ def version_manifest(records: DataFrame, group: str) -> DataFrame:
     )
 
 
+def version_manifest(records: DataFrame, group: str) -> DataFrame:
+    """``group, total, version_digest``: MD5 of each group's version ids in id and version order, joined by commas.
+
+    A digest of one string can only be taken in order; it is fed row by row from
+    sorted partitions, so a task holds no more than a batch. ``sliced_manifest``
+    is the form that scales with a group's size.
+    """
+    kind = dict(records.dtypes)[group]
+    rows = records.select(F.col(group).alias("g"), "id", "version", F.col("version_id").cast("string").alias("v"))
+    ordered = rows.repartition("g").sortWithinPartitions("g", "id", "version")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, total, digest = None, 0, None
+        for pdf in batches:
+            for g, v in zip(pdf["g"], pdf["v"], strict=True):
+                if digest is None or g != at:
+                    if digest is not None:
+                        yield pd.DataFrame({"g": [at], "total": [total], "version_digest": [digest.hexdigest()]})
+                    at, total, digest = g, 0, hashlib.md5()
+                digest.update(("," * (total > 0) + v).encode())
+                total += 1
+        if digest is not None:
+            yield pd.DataFrame({"g": [at], "total": [total], "version_digest": [digest.hexdigest()]})
+
+    return ordered.mapInPandas(run, f"g {kind}, total long, version_digest string").withColumnRenamed("g", group)
+
+
 def keyset_page(records: DataFrame, keys: list[str], after: tuple | None, limit: int) -> DataFrame:
     """The next ``limit`` rows in key order after a cursor."""
     if after is not None:

@@ -93,6 +93,14 @@ def timeline_events(spark, sf):
     SELECT event_type, sum(n)::BIGINT AS n, md5(string_agg(d, '' ORDER BY slot)) AS digest FROM p GROUP BY 1""",
 )
 def version_manifest_digest(spark, sf):
+    return versions.sliced_manifest(model.versions(spark, sf), "event_type")
+
+
+@query(
+    "version_manifest",
+    f"""WITH {model.VERSIONS_SQL} SELECT event_type, count(*) AS total, md5(string_agg(id || '#' || version, ',' ORDER BY id, version)) AS version_digest FROM v GROUP BY 1""",
+)
+def version_manifest(spark, sf):
     return versions.version_manifest(model.versions(spark, sf), "event_type")
 
 
@@ -238,10 +246,10 @@ def as_of_decision(spark, sf):
 
 @query(
     "incident_entities",
-    f"WITH {model.RELATIONS_SQL} SELECT src AS id FROM r WHERE type <> 'supplies' UNION SELECT dst FROM r WHERE type <> 'supplies'",
+    f"WITH {model.RELATIONS_SQL} SELECT src AS id FROM r UNION SELECT dst FROM r",
 )
 def incident_entities(spark, sf):
-    return qualify.incident_entities(model.relations(spark, sf).filter("type <> 'supplies'"), "src", "dst")
+    return qualify.incident_entities(model.relations(spark, sf), "src", "dst")
 
 
 @query(
@@ -496,12 +504,12 @@ def bigram_hash_embedding(spark, sf):
 
 @query(
     "bfs_hops",
-    f"""WITH RECURSIVE {model.RELATIONS_SQL}, b AS (SELECT src AS a, dst AS b FROM r WHERE type <> 'supplies' UNION ALL SELECT dst, src FROM r WHERE type <> 'supplies'),
+    f"""WITH RECURSIVE {model.RELATIONS_SQL}, b AS (SELECT src AS a, dst AS b FROM r UNION SELECT dst, src FROM r),
     w AS (SELECT 'nation:1' AS node, 0 AS hop UNION SELECT b.b, w.hop + 1 FROM w JOIN b ON b.a = w.node WHERE w.hop < 3)
     SELECT node, min(hop)::INTEGER AS hop FROM w GROUP BY node""",
 )
 def bfs_hops(spark, sf):
-    edges = model.relations(spark, sf).filter("type <> 'supplies'").select("edge", "src", "dst")
+    edges = model.relations(spark, sf).select("edge", "src", "dst")
     seeds = spark.createDataFrame([("nation:1",)], "node string")
     return graph.bounded_search(edges, seeds, 3, 10**9, 10**9)[0].select("node", "hop")
 
@@ -520,7 +528,7 @@ def class_closure(spark, sf):
     "replacement_chain",
     """WITH RECURSIVE l AS (SELECT p_partkey AS src, p_partkey // 2 AS dst FROM part WHERE p_partkey > 3),
     w AS (SELECT src AS node, dst AS target, 1 AS steps FROM l UNION ALL SELECT node, l.dst, steps + 1 FROM w JOIN l ON l.src = w.target)
-    SELECT node, arg_max(target, steps) AS target, max(steps)::INTEGER AS steps FROM w GROUP BY node""",
+    SELECT node, arg_max(target, steps) AS target, max(steps) AS steps, NULL::VARCHAR AS issue FROM w GROUP BY node""",
 )
 def replacement_chain(spark, sf):
     links = table(spark, sf, "part").filter("p_partkey > 3").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 2").alias("dst"))
@@ -560,8 +568,7 @@ def entity_resolution_exact(spark, sf):
 )
 def semantic_bands(spark, sf):
     rows = table(spark, sf, "embeddings")
-    wanted = rows.filter("vec_id = 0").first()["embedding"]
-    scored = ranking.cosine_rank(rows, "embedding", list(wanted))
+    scored = ranking.cosine_to(rows, "embedding", rows.filter("vec_id = 0"), "embedding")
     return scored.select("vec_id", identity.band(F.col("score"), 0.1, 0.88).alias("band"))
 
 

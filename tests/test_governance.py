@@ -51,8 +51,10 @@ def test_writes_and_transitions(spark):
     current = spark.createDataFrame([("a", 2)], "id string, version int")
     changes = spark.createDataFrame([("a", 2), ("a", 1), ("b", 0), ("c", 1)], "id string, expected_version int")
     assert sorted((r.id, r.expected_version) for r in governance.stale_writes(changes, current, "id").collect()) == [("a", 1), ("c", 1)]
-    log = spark.createDataFrame([("x", 1, "accepted"), ("x", 2, "retired"), ("y", 1, "retired")], "id string, seq int, status string")
-    assert [r.id for r in governance.illegal_transitions(log, "id", "seq", "status").collect()] == ["y"]
+    log = spark.createDataFrame([("x", 1, "accepted"), ("x", 2, "superseded"), ("y", 1, "rejected"), ("y", 2, "accepted"), ("z", 1, "contradicting"), ("z", 2, "pending")], "id string, seq int, status string")
+    assert [r.id for r in governance.illegal_transitions(log, "id", "seq", "status").orderBy("id").collect()] == ["y", "z"]
+    with pytest.raises(ValueError):
+        governance.undo_parity(spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "operation int, reversal_of int"), 8)
 
 
 def test_merge_and_undo(spark):

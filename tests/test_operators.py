@@ -79,12 +79,14 @@ def test_bounded_search(spark):
 
 
 def test_closure_cycles_and_chains(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("m", "n"), ("m", "o")], "src string, dst string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("m", "n"), ("m", "o"), ("p", "q"), ("q", "r"), ("r", "p"), ("s", "p"), ("l", "m")] + [(f"k{i}", f"k{(i + 1) % 5}") for i in range(5)], "src string, dst string")
     closed = graph.closure(edges, "src", "dst")
     assert {(r.child, r.parent): r.depth for r in closed.collect()}[("a", "d")] == 3
-    assert {r.node for r in graph.on_cycles(closed).collect()} == {"x", "y"}
-    ends = {r.node: (r.target, r.steps) for r in graph.chain_ends(edges).collect()}
-    assert ends["a"] == ("d", 3) and ends["c"] == ("d", 1) and ends["x"][0] is None and ends["m"][0] is None
+    assert {r.node for r in graph.on_cycles(closed).collect()} == {"x", "y", "p", "q", "r", "k0", "k1", "k2", "k3", "k4"}
+    ends = {r.node: (r.target, r.steps, r.issue) for r in graph.chain_ends(edges).collect()}
+    assert ends["a"] == ("d", 3, None) and ends["c"] == ("d", 1, None)
+    assert {n for n, e in ends.items() if e == (None, None, "cycle")} == {"x", "y", "p", "q", "r", "s", "k0", "k1", "k2", "k3", "k4"}
+    assert ends["m"] == ends["l"] == (None, None, "ambiguous")
 
 
 def test_components(spark):

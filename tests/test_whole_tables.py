@@ -33,7 +33,7 @@ def test_provenance_trace(spark, t):
     orders = {r["o_orderkey"]: r["o_custkey"] for r in t("orders")}
     expected = {(f"order:{o}", f"customer:{c}", "cites") for o, c in orders.items()}
     expected |= {(f"order:{r['l_orderkey']}", f"part:{r['l_partkey']}", "used") for r in t("lineitem") if r["l_orderkey"] in orders}
-    assert run(spark, "provenance_trace_whole") == expected
+    assert run(spark, "provenance_trace") == expected
 
 
 def test_timeline_validation(spark, t):
@@ -46,12 +46,12 @@ def test_timeline_validation(spark, t):
             held = len({p for a, b, p in rows if a <= at < b})
             if held > 5:
                 expected.add((s, at, held))
-    assert run(spark, "timeline_validation_whole") == expected
+    assert run(spark, "timeline_validation") == expected
 
 
 def test_projection_fan_out(spark, t):
     count = lambda n: 0 if not n else max(0, -(-(n - 1800) // 1600)) + 1
-    assert run(spark, "projection_fan_out_whole") == {(r["doc_id"], i) for r in t("documents") for i in range(count(len(r["text"])))}
+    assert run(spark, "projection_fan_out") == {(r["doc_id"], i) for r in t("documents") for i in range(count(len(r["text"])))}
 
 
 def test_hierarchy_cycles(spark, t):
@@ -64,7 +64,7 @@ def test_hierarchy_cycles(spark, t):
             at = up[at]
         if at == start:
             expected.add((start,))
-    assert run(spark, "hierarchy_cycles_whole") == expected
+    assert run(spark, "hierarchy_cycles") == expected
 
 
 def test_graph_queries(spark, edges):
@@ -73,17 +73,17 @@ def test_graph_queries(spark, edges):
         after.setdefault(a, set()).add(b)
         both.setdefault(a, set()).add(b)
         both.setdefault(b, set()).add(a)
-    assert run(spark, "incident_entities_whole") == {(x,) for e in edges for x in e}
+    assert run(spark, "incident_entities") == {(x,) for e in edges for x in e}
     hops, level = {"nation:1": 0}, ["nation:1"]
     for hop in (1, 2, 3):
         level = [x for x in {b for a in level for b in both[a]} if x not in hops]
         hops |= dict.fromkeys(level, hop)
-    assert run(spark, "bfs_hops_whole") == set(hops.items())
+    assert run(spark, "bfs_hops") == set(hops.items())
     expected, paths = set(), [(a,) for a in after]
     for hop in (1, 2, 3):
         paths = [(*p, b) for p in paths for b in after.get(p[-1], ()) if b not in p]
         expected |= {(p[0], p[-1], ">".join(p), hop) for p in paths}
-    assert run(spark, "reasoning_paths_whole") == expected
+    assert run(spark, "reasoning_paths") == expected
 
 
 def test_keyword_rerank_has_no_pool_limit(spark, tmp_path):
