@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from datetime import datetime
 from decimal import Decimal
 
 from pyspark.sql import Column
@@ -17,31 +18,66 @@ from pyspark.sql import functions as F
 OPS = ("eq", "ne", "in", "contains", "gt", "gte", "lt", "lte", "exists")
 FIELDS = ("id", "kind", "type", "source_id", "valid_from", "valid_until", "recorded_at")
 MAX_DEPTH, MAX_CHILDREN = 16, 100
-_FIELD = re.compile(r"^[^\W\d][\w-]*(\.[^\W\d][\w-]*)*$")
+_FIELD = re.compile(r"[^\W\d][\w-]*(\.[^\W\d][\w-]*)*")
 _MISSING = object()
-#: Digits that columns compare exactly.
-_NUMBER = "decimal(38,12)"
+TIME_FIELDS = ("valid_from", "valid_until", "recorded_at")
 
 
-def validate(ast: dict, depth: int = 1) -> dict:
+def validate(ast: dict, depth: int = 0) -> dict:
     """The filter itself, or ValueError."""
     if not isinstance(ast, dict) or depth > MAX_DEPTH:
-        raise ValueError("a filter is an object, sixteen levels deep at most")
-    if len(ast) == 1 and (key := next(iter(ast))) in ("and", "or"):
-        if not isinstance(ast[key], list) or not 1 <= len(ast[key]) <= MAX_CHILDREN:
-            raise ValueError(f"{key} has one to {MAX_CHILDREN} children")
-        for child in ast[key]:
+        raise ValueError("a filter is an object, below sixteen groups at most")
+    if ast.keys() & {"and", "or"}:
+        ((key, children),) = ast.items() if len(ast) == 1 else ((None, None),)
+        if not isinstance(children, list) or not 1 <= len(children) <= MAX_CHILDREN:
+            raise ValueError(f"a group is one of and, or, with one to {MAX_CHILDREN} children")
+        for child in children:
             validate(child, depth + 1)
         return ast
-    if set(ast) != {"field", "op", "value"} or ast["op"] not in OPS:
+    if set(ast) != {"field", "op", "value"}:
         raise ValueError("a leaf has field, op and value")
-    if not isinstance(ast["field"], str) or not _FIELD.match(ast["field"]):
+    field, op, value = ast["field"], ast["op"], ast["value"]
+    if not isinstance(op, str) or op not in OPS:
+        raise ValueError("not an operator")
+    if not isinstance(field, str) or len(field) > 256 or not _FIELD.fullmatch(field):
         raise ValueError("not a field name")
-    if ast["op"] == "in" and not isinstance(ast["value"], list) or ast["op"] == "exists" and not isinstance(ast["value"], bool):
-        raise ValueError(f"{ast['op']} has another kind of value")
+    _check_json(value)
+    allowed = {"in": list, "exists": bool} | dict.fromkeys(("gt", "gte", "lt", "lte"), (str, int, float, Decimal))
+    if op in allowed and (not isinstance(value, allowed[op]) or isinstance(value, bool) != (op == "exists")):
+        raise ValueError(f"{op} has another kind of value")
+    if field in TIME_FIELDS and op != "exists":
+        for x in value if op == "in" else [value]:
+            if x is not None and not _zoned(x):
+                raise ValueError("a time has a zone")
     return ast
 
 
+def _check_json(value: object) -> None:
+    if isinstance(value, list):
+        for x in value:
+            _check_json(x)
+    elif isinstance(value, dict):
+        if not all(isinstance(k, str) for k in value):
+            raise ValueError("keys are strings")
+        _check_json(list(value.values()))
+    elif value is not None and not isinstance(value, (str, bool, int)) and not (
+        isinstance(value, (float, Decimal)) and Decimal(value).is_finite()
+    ):
+        raise ValueError("not a JSON value")
+
+
+def _zoned(x: object) -> bool:
+    """An instant with a zone, or a bare date, which is midnight UTC."""
+    if not isinstance(x, str):
+        return False
+    if re.fullmatch(r"\d{4}-\d\d-\d\d", x):
+        return True
+    try:
+        return datetime.fromisoformat(x).tzinfo is not None
+    except ValueError:
+        return False
+
+
 def _number(x: object) -> bool:
     return isinstance(x, (int, float, Decimal)) and not isinstance(x, bool)
 
@@ -100,14 +136,29 @@ def _is_number(v: Column) -> Column:
     return _type(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
 
 
+def number_key(text: Column) -> Column:
+    """A struct that orders decimal numbers of any size exactly as their values: sign, exponent, digits.
+
+    Digits of negative numbers are complemented, with a mark behind them, so that larger ones come first.
+    """
+    form = r"^(-?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
+    part = lambda i: F.regexp_extract(text, form, i)
+    every = F.concat(part(2), part(3))
+    lead = F.ltrim(every, F.lit("0"))
+    digits = F.rtrim(lead, F.lit("0"))
+    exponent = F.char_length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.char_length(every) + F.char_length(lead)
+    sign = F.when(digits == "", 0).when(part(1) == "-", -1).otherwise(1)
+    key = F.when(sign < 0, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit(":"))).otherwise(digits)
+    return F.struct(sign.alias("sign"), F.when(sign == 0, 0).otherwise(sign * exponent).alias("exponent"), key.alias("digits"))
+
+
 def _variant_equals(v: Column, wanted: object) -> Column:
     if wanted is None:
         return F.is_variant_null(v)
     if isinstance(wanted, bool):
         return (_type(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(wanted))
     if _number(wanted):
-        text = F.try_variant_get(v, "$", "string")
-        return _is_number(v) & (text.try_cast(_NUMBER) == F.lit(str(_decimal(wanted))).try_cast(_NUMBER))
+        return _is_number(v) & (number_key(F.try_variant_get(v, "$", "string")) == number_key(F.lit(str(_decimal(wanted)))))
     if isinstance(wanted, str):
         return (_type(v) == "STRING") & (F.try_variant_get(v, "$", "string") == F.lit(wanted))
     return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(wanted, sort_keys=True))))
@@ -133,8 +184,8 @@ def _variant_leaf(v: Column, op: str, wanted: object) -> Column:
             inside = F.coalesce(inside, F.lit(False)) | F.coalesce(F.contains(text, F.lit(wanted)), F.lit(False))
         return inside
     if _number(wanted):
-        left = F.when(_is_number(v), F.try_variant_get(v, "$", "string").try_cast(_NUMBER))
-        right = F.lit(str(_decimal(wanted))).try_cast(_NUMBER)
+        left = F.when(_is_number(v), number_key(F.try_variant_get(v, "$", "string")))
+        right = number_key(F.lit(str(_decimal(wanted))))
     elif isinstance(wanted, str):
         left, right = F.when(_type(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit(wanted)
     else:

@@ -105,11 +105,19 @@ def test_value_conflicts(spark):
 @pytest.mark.parametrize(
     ("body", "expected"),
     [
-        ("发布日期：2026-09-25\n生效时间：2026-10-29", {"published": utc(2026, 9, 24, 16), "valid_from": utc(2026, 10, 28, 16)}),
+        ("发布日期：2026-09-25\n生效时间：2026-10-29", {"published_at": utc(2026, 9, 24, 16), "valid_from": utc(2026, 10, 28, 16)}),
         ("本表于2023年3月12日00：00：00首次生效，于2026年9月23日00：00：00最新修订生效。", {"valid_from": utc(2026, 9, 22, 16)}),
         ("本规则自2025年10月1日起失效。", {"valid_until": utc(2025, 9, 30, 16)}),
         ("本规范有效至2025年10月1日。", {"valid_until": utc(2025, 10, 1, 16)}),
         ("本规则有效期为2025年1月1日至2025年12月31日。", {"valid_from": utc(2024, 12, 31, 16), "valid_until": utc(2025, 12, 31, 16)}),
+        ("失效日期：2026/1/2 08:30\n**发布时间**：2026-01-02T00:00:00Z", {"valid_until": utc(2026, 1, 2, 0, 30), "published_at": utc(2026, 1, 2)}),
+        ("修订时间: 2026-02-30", {"revised_at": None}),
+        ("本细则自2025年1月1日起施行，于2025年6月1日修订。", {"valid_from": utc(2024, 12, 31, 16), "revised_at": utc(2025, 5, 31, 16)}),
+        ("生效日期：2026-01-02\n生效时间：2026-01-03", {"valid_from": None}),
+        ("生效日期：2026-01-02\n失效日期：2026-01-01", {"valid_from": None, "valid_until": None}),
+        ("# 关于《旧规则》的通知\n本规则自2025年10月1日起失效。本通知自2025年2月1日起执行", {"valid_from": utc(2025, 1, 31, 16)}),
+        ("# 旧规则【2024年1月1日已失效】\n正文", {"valid_until": utc(2023, 12, 31, 16)}),
+        ("本办法与《他办法》自2025年10月1日起失效。\n## 一\n发布日期：2026-01-01", {}),
         ("> 本规则自2025年10月1日起失效。\n“本规范有效至2025年10月1日”", {}),
     ],
 )
@@ -122,7 +130,10 @@ def test_chunks(spark):
     rows = sorted((r.id, r.ordinal, r.start, r.stop) for r in documents.fixed_chunks(docs, "id", "t", 20, 5).collect())
     assert rows == [(1, 0, 0, 20), (1, 1, 15, 35), (1, 2, 30, 50), (3, 0, 0, 5)]
     assert documents.cut_points("一二三。四五六。七八", 6, 1, "paragraph") == [(0, 4), (3, 8), (7, 10)]
+    assert documents.cut_points("一句话。   xxxxxxxxxx", 10, 2, "paragraph")[0] == (0, 7)
     assert documents.cut_points("# A\nx\n# B\ny", 100, 0, "structural") == [(0, 6), (6, 11)]
+    assert documents.cut_points("序\n一、甲\n（一）乙\n第二条 丙", 100, 0, "structural") == [(0, 2), (2, 11), (11, 16)]
+    assert documents.cut_points("序\n（一）乙\n2. 丙丁戊", 5, 1, "structural") == [(0, 2), (2, 7), (7, 12), (11, 13)]
     blocks = documents.markdown_blocks("# T\n\npara\n\n|a|b|\n|-|-|\n\n```\ncode\n```\n## U\nend")
     assert [(b[0], b[3]) for b in blocks] == [("heading", "T"), ("paragraph", "T"), ("table", "T"), ("code", "T"), ("heading", "T / U"), ("paragraph", "T / U")]
     assert documents.located("a b  c", "b c") == (2, 6, "whitespace")
