@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import applicability, cursors, filters
-from .operators import aggregates, graph, identity, qualify, ranking, versions
+from .operators import aggregates, context, graph, identity, ontology, qualify, ranking, resolve, versions
 
 
 @dataclass(frozen=True)
@@ -60,6 +60,77 @@ class Engine:
         rows = self.qualified(scope).withColumn("score", ranking.lexical_score(F.col("text"), query))
         return ranking.top(rows.filter("score > 0"), "score", "id", k)
 
+    def keyword(self, scope: Scope, query: str, k: int = 10) -> DataFrame:
+        """BM25 over the best text of each record: ``id, score, rank``, scores above zero only."""
+        asked = self.records.sparkSession.createDataFrame([(0, query)], "query int, query_text string")
+        scored = ranking.bm25(self.qualified(scope), "id", "text", asked, "query", "query_text").filter("score > 0")
+        return ranking.top(scored.groupBy("id").agg(F.max("score").alias("score")), "score", "id", k)
+
+    def semantic(self, scope: Scope, vectors: DataFrame, vector: list[float], k: int = 10, least: float = 0.35) -> DataFrame:
+        """Cosine over ``vectors`` (``id, version, vector``): hits count only for versions in scope; the best of an id stays."""
+        scored = ranking.cosine_rank(vectors, "vector", vector, least)
+        live = self.qualified(scope).select("id", "version")
+        hits = scored.join(live, ["id", "version"]).groupBy("id").agg(F.max("score").alias("score"))
+        return ranking.top(hits, "score", "id", k)
+
+    def hybrid(
+        self, scope: Scope, query: str, vectors: DataFrame, vector: list[float], k: int = 10, types: tuple[str, ...] = (), constant: int = 60
+    ) -> DataFrame:
+        """Fused ranking of the keyword and semantic channels, each to a depth of min(1000, max(50, 5 k)), with the records.
+
+        With ``types``, entities of these types are a third channel, in the order of their ids.
+        """
+        depth = min(1000, max(50, 5 * k))
+        channels = [("keyword", self.keyword(scope, query, depth)), ("semantic", self.semantic(scope, vectors, vector, depth))]
+        if types:
+            own = self.qualified(scope).filter(F.col("kind") == "entity").filter(F.col("type").isin(*types)).withColumn("score", F.lit(0.0))
+            channels.append(("type", ranking.top(own.select("id", "score").distinct(), "score", "id", depth)))
+        fused = ranking.rrf(channels, "id", k, constant)  # k rows
+        return self.qualified(scope).join(F.broadcast(fused), "id").orderBy(F.desc("score"), "best_rank", "id")
+
+    def dashboard(self, scope: Scope) -> DataFrame:
+        return aggregates.counts_by(self.qualified(scope), ["kind"], unknown_start=F.col("valid_from").isNull())
+
+    def explore(self, scope: Scope, query: str, types: tuple[str, ...] = ()) -> DataFrame:
+        """Relations at the entities whose text has the query, between entities of the types."""
+        rows = self.qualified(scope)
+        entities = rows.filter("kind = 'entity'")
+        hits = entities.filter(qualify.keyword_predicate(query, F.col("text"))).select("id")
+        allowed = entities.filter(F.col("type").isin(*types)) if types else entities
+        return graph.around(rows.filter("kind = 'relation'").select(F.col("id").alias("edge"), "src", "dst"), hits, allowed.select("id"))
+
+    def select(self, scope: Scope, patterns: list[tuple[str, str, str]], limit: int = 1000) -> DataFrame:
+        """Solutions of a graph pattern over the triples in scope."""
+        rows = self.qualified(scope)
+        types = rows.filter("kind = 'entity'").select(F.col("id").alias("s"), F.lit("rdf:type").alias("p"), F.col("type").alias("o"))
+        facts = rows.filter("kind = 'relation'").select(F.col("src").alias("s"), F.col("type").alias("p"), F.col("dst").alias("o"))
+        return ontology.select_pattern(types.union(facts), patterns, limit)
+
+    def resolve(self, scope: Scope, name: str, least: float = 0.7, most: int = 12) -> DataFrame:
+        return resolve.near_names(self.qualified(scope).filter("kind = 'entity'"), "text", name, least, most)
+
+    def merge_preview(self, scope: Scope, keep: str, drop: str) -> DataFrame:
+        """What a merge would write: a tombstone and redirected relations."""
+        from .operators import governance
+
+        rows = self.qualified(scope)
+        facts = rows.filter("kind = 'relation'").select(F.col("id").alias("edge"), "src", "dst")
+        return governance.merge_entity(rows.filter("kind = 'entity'"), facts, keep, drop)
+
+    def conflicts(self, scope: Scope, value: str = "text") -> DataFrame:
+        """Attributes (``src``, ``type``) with several values at one instant, within the platforms that they share."""
+        rows = self.qualified(scope).filter("kind = 'attribute'")
+        return resolve.conflicts_in_contexts(rows, ["src", "type"], "platform_values", value, "valid_from", "valid_until")
+
+    def manifest(self, scope: Scope) -> DataFrame:
+        rows = self.qualified(scope)
+        return versions.version_manifest(rows.withColumn("version_id", F.concat_ws("#", "id", "version")), "kind")
+
+    def graph_rows(self, scope: Scope) -> DataFrame:
+        rows = self.qualified(scope)
+        relations = rows.filter("kind = 'relation'").select(F.col("id").alias("edge"), "type", "src", "dst")
+        return context.compact_rows(rows.filter("kind = 'entity'"), relations)
+
     def counts(self, scope: Scope) -> DataFrame:
         return aggregates.counts_by(self.qualified(scope), ["kind", "type"], unknown_start=F.col("valid_from").isNull())
 
@@ -73,6 +144,11 @@ class Engine:
         edges = self.qualified(scope).filter("kind = 'relation'").select(F.col("id").alias("edge"), "src", "dst")
         return graph.bounded_search(edges, seeds, hops, **budgets)
 
+    def graph_view(self, scope: Scope, seeds: DataFrame, hops: int, **budgets: int) -> tuple[DataFrame, DataFrame, bool]:
+        """Nodes, all edges between them, and whether a budget cut them short."""
+        edges = self.qualified(scope).filter("kind = 'relation'").select(F.col("id").alias("edge"), "src", "dst")
+        return graph.neighbourhood(edges, seeds, hops, **budgets)
+
     def duplicates(self, scope: Scope) -> DataFrame:
         named = self.qualified(scope).filter("kind = 'entity'").withColumn("name", F.lower(F.trim("text")))
         return identity.duplicate_groups(named, ["type", "name"], "id")

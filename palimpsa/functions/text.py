@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
@@ -94,3 +95,33 @@ def primitive_datatype(value: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     return F.regexp_replace(text, r"(?i)(api[_-]?key|token|secret|password)(\s*[=:]\s*)\S+", "$1$2***")
+
+
+def nfc_term(names: Column) -> Column:
+    """NFC with white space collapsed; Spark has no normal forms of its own."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: " ".join(unicodedata.normalize("NFC", v).split()), na_action="ignore")
+
+    return run(names)
+
+
+def is_iri(value: Column) -> Column:
+    """Absolute, with a scheme and without white space or the characters that an IRI never has."""
+    return value.rlike(r"^[a-z][a-z0-9+.-]*://[^\s<>\"{}|\\^`]+$")
+
+
+def local_name(iri: Column) -> Column:
+    """What follows the last slash or hash, without a query."""
+    return F.regexp_extract(iri, r"([^/#?]*)(?:[?][^/#]*)?$", 1)
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the matching characters over all characters, by longest matching blocks."""
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return run(a, b)

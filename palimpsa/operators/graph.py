@@ -114,3 +114,32 @@ def chain_ends(links: DataFrame) -> DataFrame:
         F.when(~cyclic & F.col("issue").isNull(), F.col("steps")).alias("steps"),
         F.when(cyclic, "cycle").otherwise(F.col("issue")).alias("issue"),
     )
+
+
+def around(edges: DataFrame, seeds: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Edges with an end in ``seeds`` (``id``), both ends of which are in ``allowed``."""
+    if allowed is not None:
+        for end in ("src", "dst"):
+            edges = edges.join(allowed.select(F.col("id").alias(end)).distinct(), end, "left_semi")
+    ids = seeds.select("id").distinct().withColumn("hit", F.lit(True))
+    for end in ("src", "dst"):
+        edges = edges.join(ids.withColumnsRenamed({"id": end, "hit": f"{end}_hit"}), end, "left")
+    return edges.filter("src_hit or dst_hit").select("edge", "src", "dst").distinct()
+
+
+def neighbourhood(
+    edges: DataFrame, seeds: DataFrame, hops: int, max_nodes: int = 500, max_edges: int = 1000, direction: str = "both"
+) -> tuple[DataFrame, DataFrame, bool]:
+    """Nodes as of ``bounded_search``, all edges between them in the order of their ids, and whether a budget cut either short.
+
+    Edges that led to a node come first, so that what is cut off are edges beside the tree.
+    """
+    nodes, truncated = bounded_search(edges, seeds, hops, max_nodes, max_edges, direction)
+    found = edges.select("edge", "src", "dst")
+    for end in ("src", "dst"):
+        found = found.join(nodes.select(F.col("node").alias(end)).distinct(), end, "left_semi")
+    tree = nodes.filter("via is not null").select(F.col("via").alias("edge"), F.lit(0).alias("place"))
+    found = cut(found.join(tree, "edge", "left").select("edge", "src", "dst", F.coalesce("place", F.lit(1)).alias("place")))
+    if found.count() > max_edges:
+        found, truncated = found.orderBy("place", "edge").limit(max_edges), True
+    return nodes, found.drop("place"), truncated

@@ -50,6 +50,47 @@ def test_reads(engine, spark):
         engine.page(Scope(kinds=("entity",)), 2, cursor)
 
 
+def test_rankings(engine, spark):
+    vectors = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("b", 2, [0.6, 0.8]), ("c", 1, [0.0, -1.0])], "id string, version int, vector array<double>")
+    assert [r.id for r in engine.keyword(Scope(), "two").collect()] == ["b"]
+    # The old version of b is nearer, and out of scope; c is below the least score.
+    found = [(r.id, round(r.score, 3)) for r in engine.semantic(Scope(), vectors, [0.0, 1.0]).collect()]
+    assert found == [("b", 0.8)]
+    assert [(r.id, r.score) for r in engine.semantic(Scope(known_at="2024-01-15"), vectors, [0.0, 1.0]).collect()] == [("b", 1.0)]
+    rows = engine.hybrid(Scope(), "beta", vectors, [1.0, 0.0], 3).collect()
+    assert {r.id for r in rows} == {"a", "b", "c"} and rows[0].backends == 2 and all(r.text for r in rows)
+    typed = engine.hybrid(Scope(), "two", vectors, [1.0, 0.0], 5, types=("T",)).collect()
+    assert {r.id: r.backends for r in typed} == {"a": 2, "b": 3, "c": 1} and typed[0].id == "b"
+
+
+def test_graph_and_governance_reads(engine, spark):
+    assert [r.edge for r in engine.explore(Scope(), "two").collect()] == ["r"]
+    nodes, edges, cut = engine.graph_view(Scope(), spark.createDataFrame([("b",)], "node string"), 2)
+    assert {r.node for r in nodes.collect()} == {"a", "b", "c"} and sorted(r.edge for r in edges.collect()) == ["r", "s"] and not cut
+    assert engine.graph_view(Scope(), spark.createDataFrame([("b",)], "node string"), 2, max_edges=1)[2]
+    found = engine.select(Scope(), [("?x", "R", "?y"), ("?y", "rdf:type", "T")]).collect()
+    assert sorted((r.x, r.y) for r in found) == [("a", "b"), ("a", "c")]
+    with pytest.raises(ValueError):
+        engine.select(Scope(), [("?x", "R", "?y"), ("?z", "R", "?u")])
+    assert [r.id for r in engine.resolve(Scope(), "alpha beta beta").collect()] == ["a", "c"]
+    assert {r.id: r.action for r in engine.merge_preview(Scope(), "a", "b").collect()} == {"b": "tombstone", "r": "tombstone"}
+    assert {r.kind: r.n for r in engine.dashboard(Scope()).collect()} == {"entity": 3, "relation": 2}
+    assert {r.kind: r.total for r in engine.manifest(Scope()).collect()} == {"entity": 3, "relation": 2}
+    assert engine.graph_rows(Scope()).count() == 5
+
+
+def test_conflicts_need_a_common_scope(spark):
+    from datetime import datetime
+
+    from palimpsa.operators import resolve
+
+    at = lambda d: datetime(2024, 1, d)
+    rows = [("o", "1", ["x"], at(1), None), ("o", "2", ["y"], at(1), None), ("p", "1", ["x"], at(1), at(5)), ("p", "2", None, at(4), None), ("q", "1", [], at(1), at(2)), ("q", "2", ["x"], at(2), None)]
+    frame = spark.createDataFrame(rows, "o string, v string, scope array<string>, s timestamp, t timestamp")
+    found = resolve.conflicts_in_contexts(frame, ["o"], "scope", "v", "s", "t").collect()
+    assert [(r.o, r.context, r.at, r["values"]) for r in found] == [("p", "x", at(4), 2)]
+
+
 def test_gated_stream(spark, tmp_path):
     parts = [[(1, "a"), (3, "c")], [(2, "b"), (6, "f")], [(4, "d"), (2, "b")], [(5, "e")]]
     for rows in parts:
