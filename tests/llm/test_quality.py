@@ -38,6 +38,14 @@ def test_cascade_orders_by_rejection_per_cost(spark):
     assert {m.rule.name for m in order} == {"never", *(r.name for r in quality.RULES)} and all(m.seconds > 0 for m in order)
 
 
+def test_costs_tell_a_heavy_rule_from_a_light_one(spark):
+    docs = spark.createDataFrame([(i, f"some words {i} " * 400) for i in range(400)], "doc_id long, text string")
+    light = quality.Rule("light", lambda text, words, n: n < 0)
+    heavy = quality.Rule("heavy", lambda text, words, n: F.size(F.array_distinct(F.transform(words, lambda w: F.sha2(w, 512)))) < 0)
+    seconds = {m.rule.name: m.seconds for m in quality.plan_cascade(docs, rules=(light, heavy))}
+    assert seconds["heavy"] > 3 * seconds["light"] and seconds["heavy"] > 0.05
+
+
 def test_order_is_greedy_on_what_is_left():
     rules = [quality.Rule(n, None) for n in "abc"]
     # b rejects most a second; a only rejects what b does; c adds one that no other has.
