@@ -7,8 +7,10 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -326,6 +328,84 @@ def marked_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def table_parts(lines: list[str], size: int) -> tuple[str, list[tuple[int, int, int, int, str]]]:
+    """A Markdown table as one text, and its parts ``(start, stop, first row, row after the last, chunk)``.
+
+    A table over ``size`` is cut between rows, and every part repeats the header;
+    offsets are those of the part's own rows. A row longer than ``size`` stays whole.
+    """
+    cells = [" | ".join(c.strip() for c in re.split(r"(?<!\\)\|", x.strip().removeprefix("|").removesuffix("|"))) for x in lines]
+    header, rows = cells[0], cells[1:]
+    if rows and re.fullmatch(r"[\s|:-]+", lines[1]):
+        rows = rows[1:]
+    whole = "\n".join([header, *rows])
+    if len(whole) <= size or not rows:
+        return whole, [(0, len(whole), 0, len(rows), whole)]
+    out, first, at = [], 0, len(header) + 1
+    while first < len(rows):
+        last, used = first + 1, len(header) + 1 + len(rows[first])
+        while last < len(rows) and used + 1 + len(rows[last]) <= size:
+            used += 1 + len(rows[last])
+            last += 1
+        body = "\n".join(rows[first:last])
+        out.append((at, at + len(body), first, last, f"{header}\n{body}"))
+        first, at = last, at + len(body) + 1
+    return whole, out
+
+
+def block_parts(text: str, size: int, overlap: int) -> list[tuple[str, int, int, int | None, int | None, str, str]]:
+    """``(kind, start, stop, first row, row after the last, heading path, chunk)`` of a Markdown text.
+
+    Blocks between two tables share paragraph windows; tables have chunks of their
+    own. Offsets are those in all blocks joined by an empty line.
+    """
+    out, at = [], 0
+    for is_table, run in groupby(markdown_blocks(text), key=lambda b: b[0] == "table"):
+        if is_table:
+            for _, _, _, path, body in run:
+                whole, parts = table_parts(body.split("\n"), size)
+                out += [("table", at + a, at + b, i, j, path, chunk) for a, b, i, j, chunk in parts]
+                at += len(whole) + 2
+            continue
+        pieces, begins, paths, held = [], [], [], 0
+        for kind, first, _, path, body in run:
+            line = text.split("\n", first + 1)[first] if kind == "heading" else ""
+            pieces.append(line[: len(line) - len(line.lstrip("#"))] + " " + body if line else body)
+            begins.append(held)
+            paths.append(path)
+            held += len(pieces[-1]) + 2
+        prose = "\n\n".join(pieces)
+        for a, b in cut_points(prose, size, overlap, "paragraph"):
+            out.append(("prose", at + a, at + b, None, None, paths[bisect_right(begins, a) - 1], prose[a:b]))
+        at += len(prose) + 2
+    return out
+
+
+def block_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 200) -> DataFrame:
+    """``id, ordinal, kind, start, stop, first_row, row_stop, path, chunk``: block-aware chunks of Markdown documents.
+
+    Null and empty texts have no chunks.
+    """
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            parts = [block_parts(t or "", size, overlap) for t in batch.column(1).to_pylist()]
+            flat = [(n, *x) for own in parts for n, x in enumerate(own)]
+            rows = pa.array([i for i, own in enumerate(parts) for _ in own], pa.int64())
+            columns = list(zip(*flat, strict=True)) if flat else [[]] * 8
+            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [ids.take(rows), *made], names=["id", "ordinal", "kind", "start", "stop", "first_row", "row_stop", "path", "chunk"]
+            )
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, f"id {kind}, ordinal int, kind string, start int, stop int, first_row int, row_stop int, path string, chunk string"
+    )
+
+
 def located(text: str, evidence: str) -> tuple[int, int, str] | None:
     """Span of an evidence in a text, exactly or apart from white space."""
     at = text.find(evidence)

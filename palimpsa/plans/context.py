@@ -443,6 +443,26 @@ def markdown_blocks(spark, sf):
     return documents.marked_blocks(table(spark, sf, "part").withColumn("body", body), "p_partkey", "body").select("id", "ordinal", "kind", "path", "text")
 
 
+_BLOCK_CHUNKS = """
+WITH lines AS (SELECT p_partkey, p_brand, p_size, length(p_brand) + length(p_name) + 6 AS base, i, (i - 1) // 7 AS piece,
+        lpad(i::VARCHAR, 2, '0') || ' | ' || lpad(p_partkey::VARCHAR, 8, '0') AS line FROM part, unnest(range(1, p_size + 1)) t(i))
+SELECT p_partkey AS id, 0 AS ordinal, 'prose' AS kind, 0 AS start, p_brand AS path, '# ' || p_brand || chr(10) || chr(10) || p_name AS chunk FROM part
+UNION ALL
+SELECT p_partkey, (1 + piece)::INTEGER, 'table', (base + CASE WHEN p_size > 7 THEN 10 + 98 * piece ELSE 0 END)::INTEGER, p_brand,
+    'ln | part' || chr(10) || string_agg(line, chr(10) ORDER BY i) FROM lines GROUP BY p_partkey, p_brand, p_size, base, piece
+"""
+
+
+@query("block_chunks", _BLOCK_CHUNKS)
+def block_chunks(spark, sf):
+    """A table of p_size rows under a paragraph; seven rows fit a chunk beside the header."""
+    row = lambda i: F.concat(F.lit("|"), F.lpad(i.cast("string"), 2, "0"), F.lit("|"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("|"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), row), "\n")
+    body = F.concat(F.lit("# "), "p_brand", F.lit("\n\n"), "p_name", F.lit("\n\n|ln|part|\n|-|-|\n"), lines)
+    rows = documents.block_chunks(table(spark, sf, "part").withColumn("body", body), "p_partkey", "body", 120, 20)
+    return rows.select("id", "ordinal", "kind", "start", "path", "chunk")
+
+
 # ---- outbox ----------------------------------------------------------------
 
 

@@ -139,6 +139,21 @@ def test_chunks(spark):
     assert documents.located("a b  c", "b c") == (2, 6, "whitespace")
 
 
+def test_block_chunks(spark):
+    table = "|a|b|\n|:-|-|\n|1|x\\|y|\n|2|zz|\n|3|z|"
+    text = f"# T\n\none\n\n## U\n\n{table}\n\nend"
+    assert documents.table_parts(table.split("\n"), 100) == ("a | b\n1 | x\\|y\n2 | zz\n3 | z", [(0, 27, 0, 3, "a | b\n1 | x\\|y\n2 | zz\n3 | z")])
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "|h|\n|-|"), (5, "x" * 45)], "doc int, body string")
+    got = [tuple(r) for r in documents.block_chunks(docs, "doc", "body", 22, 2).orderBy("id", "ordinal").collect()]
+    assert got[:4] == [
+        (1, 0, "prose", 0, 14, None, None, "T", "# T\n\none\n\n## U"),
+        (1, 1, "table", 22, 37, 0, 2, "T / U", "a | b\n1 | x\\|y\n2 | zz"),
+        (1, 2, "table", 38, 43, 2, 3, "T / U", "a | b\n3 | z"),
+        (1, 3, "prose", 45, 48, None, None, "T / U", "end"),
+    ]
+    assert [r[:5] for r in got[4:]] == [(4, 0, "table", 0, 1), (5, 0, "prose", 0, 22), (5, 1, "prose", 20, 42), (5, 2, "prose", 40, 45)]
+
+
 def test_text_functions(spark):
     row = spark.createDataFrame([("Ａb  C", "hello hello")], "n string, t string").select(
         text.canonical_name(F.col("n")).alias("n"),
