@@ -28,6 +28,8 @@ from .common import SPACE_CLASS, WORD_CLASS
 SAMPLE_ROWS = 2000
 #: Tasks that measure on it.
 SAMPLE_TASKS = 8
+#: Bits of a window's number that hold its position; the others hold its hash.
+POSITION_BITS = 24
 SYMBOLS = "#*$%&|<>"
 
 
@@ -88,7 +90,7 @@ def _fresh(docs: DataFrame, *names: str) -> list[str]:
 
 def base_facts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict[str, str]]:
     """Adds words and base counts; returns the frame and the names in use."""
-    keys = ["text", "words", "n_words", "windows", "sorted", "repeats", "n_repeat_words", "base_failed"]
+    keys = ["text", "words", "n_words", "windows", "twice", "clash", "sorted", "at", "n_repeat_words", "base_failed"]
     c = dict(zip(keys, _fresh(docs, *[f"quality_{k}" for k in keys]), strict=True))
     q = {k: F.col(v) for k, v in c.items()}
     out = docs.select("*", F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias(c["text"]))
@@ -96,16 +98,32 @@ def base_facts(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict
     out = out.select("*", F.size(q["words"]).alias(c["n_words"]))
     span = F.sequence(F.lit(0), q["n_words"] - 3)
     at = lambda i, k: F.get(q["words"], i + k)
-    hashes = F.transform(span, lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)))
-    out = out.select("*", F.when(q["n_words"] >= 3, hashes).alias(c["windows"]))
-    # Equal hashes only say that windows may repeat; the windows themselves decide.
+    # One number for every window: the upper bits of its hash, and its position. Sorted, equal windows are neighbours.
+    low = (1 << POSITION_BITS) - 1
+    number = lambda i: F.xxhash64(at(i, 0), at(i, 1), at(i, 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long"))
+    fits = (q["n_words"] >= 3) & (q["n_words"] <= low)
+    out = out.select("*", F.when(fits, F.sort_array(F.transform(span, number))).alias(c["windows"]))
+    head = lambda x: F.shiftright(x, POSITION_BITS)
+    like = lambda e, of, j: F.coalesce(head(F.get(q[of], j)) == head(e), F.lit(False))
+    twice = F.filter(q["windows"], lambda e, j: like(e, "windows", j - 1) | like(e, "windows", j + 1))
+    out = out.select("*", twice.alias(c["twice"]))
+    # Equal hashes only say that windows may be equal. Where neighbours are not, the windows themselves are sorted.
+    position = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
+    differs = lambda i, j: (at(i, 0) != at(j, 0)) | (at(i, 1) != at(j, 1)) | (at(i, 2) != at(j, 2))
+    unlike = F.transform(
+        q["twice"],
+        lambda e, j: like(e, "twice", j - 1) & F.coalesce(differs(position(e), position(F.get(q["twice"], j - 1))), F.lit(False)),
+    )
+    out = out.select("*", ((q["n_words"] > low) | F.coalesce(F.array_contains(unlike, True), F.lit(False))).alias(c["clash"]))
     grams = F.transform(span, lambda i: F.struct(F.concat_ws(" ", at(i, 0), at(i, 1), at(i, 2)).alias("g"), i.alias("i")))
-    may = F.size(F.array_distinct(q["windows"])) < F.size(q["windows"])
-    out = out.select("*", F.when(may, F.array_sort(grams)).alias(c["sorted"]))
+    out = out.select("*", F.when(q["clash"], F.array_sort(grams)).alias(c["sorted"]))
     same = lambda e, j: F.get(q["sorted"], j)["g"].eqNullSafe(e["g"])
-    twice = F.filter(q["sorted"], lambda e, j: same(e, j - 1) | same(e, j + 1))
-    covered = F.flatten(F.transform(twice, lambda e: F.array(e["i"], e["i"] + 1, e["i"] + 2)))
-    out = out.select("*", F.when(q["sorted"].isNotNull(), F.size(F.array_distinct(covered))).otherwise(0).alias(c["n_repeat_words"]))
+    found = F.transform(F.filter(q["sorted"], lambda e, j: same(e, j - 1) | same(e, j + 1)), lambda e: e["i"])
+    out = out.select("*", F.sort_array(F.when(q["clash"], found).otherwise(F.transform(q["twice"], position))).alias(c["at"]))
+    # A window covers three words, or those up to the next one.
+    covered = F.transform(q["at"], lambda i, j: F.least(F.coalesce(F.get(q["at"], j + 1) - i, F.lit(3)), F.lit(3)))
+    n_repeat = F.aggregate(covered, F.lit(0), lambda a, x: a + x)
+    out = out.select("*", F.when(F.size(q["at"]) > 0, n_repeat).otherwise(0).alias(c["n_repeat_words"]))
     failed = (q["n_words"] < 50) | (q["n_repeat_words"] * 100 > q["n_words"] * 50)
     return out.select("*", failed.alias(c["base_failed"])), c
 

@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.llm import quality
@@ -30,6 +33,20 @@ def test_odd_texts(spark):
     assert quality.report(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bits", [24, 62, 6])
+def test_repeated_words_are_exact_when_hashes_clash_or_texts_are_long(spark, monkeypatch, bits):
+    """62 position bits leave two of the hash; six hold fewer positions than the texts have."""
+    monkeypatch.setattr(quality, "POSITION_BITS", bits)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefg"[: 1 + i % 7]) for _ in range(rng.randrange(150))) for i in range(120)]
+    _, found = rows_of(spark, texts)
+    for i, t in enumerate(texts):
+        w = t.split()
+        grams = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        hit = {j + k for j, g in enumerate(grams) if grams.count(g) > 1 for k in range(3)}
+        assert found[i].n_repeat_words == len(hit)
+
+
 def test_cascade_orders_by_rejection_per_cost(spark):
     docs = spark.createDataFrame([(i, "### " * 60 if i % 2 else "plain words " * 40) for i in range(40)], "doc_id long, text string")
     never = quality.Rule("never", lambda text, words, n: F.length(text) < 0)
