@@ -11,6 +11,8 @@ kept if no rule rejects it.
 Defined results: a null text counts as empty, has no words and fails the base
 test (under 50 words). Repeated rows, null ids and further columns of any name
 pass through. An empty table stays empty; its rules keep their given order.
+Texts are judged whole: one of more than 2 ** 24 words has its windows compared as
+strings, as has one in which different windows share a hash, with the same counts.
 """
 
 from __future__ import annotations
