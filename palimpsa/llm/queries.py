@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, hmm, packing, quality, records, simhash, suffix, toxicity
+from . import ann, bpe, chat, hmm, linkgraph, packing, periodic, quality, records, simhash, spelling, suffix, toxicity
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scores(table(spark, sf_dir, "documents"))
 
 
+def op11_linkgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.verdicts(table(spark, sf_dir, "pages"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.periodic_runs(table(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_records": op2_records,
@@ -61,5 +73,8 @@ QUERIES = {
     "op8_ann": op8_ann,
     "op9_chat": op9_chat,
     "op10_hmm": op10_hmm,
+    "op11_linkgraph": op11_linkgraph,
+    "op12_spelling": op12_spelling,
+    "op13_periodic": op13_periodic,
 }
-ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL, "op9_chat": chat.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_quality": quality.SQL, "op9_chat": chat.SQL, "op11_linkgraph": linkgraph.SQL, "op12_spelling": spelling.SQL}
