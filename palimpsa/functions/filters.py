@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from datetime import datetime
 from decimal import Decimal
 
@@ -128,12 +129,9 @@ def evaluate(ast: dict, row: dict) -> bool:
     return {"gt": have > wanted, "gte": have >= wanted, "lt": have < wanted, "lte": have <= wanted}[op]
 
 
-def _type(v: Column) -> Column:
-    return F.schema_of_variant(v)
-
-
-def _is_number(v: Column) -> Column:
-    return _type(v).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; a filter would compute it at every mention."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def number_key(text: Column) -> Column:
@@ -143,54 +141,88 @@ def number_key(text: Column) -> Column:
     """
     form = r"^(-?)([0-9]*)\.?([0-9]*)(?:[eE]([+-]?[0-9]+))?$"
     part = lambda i: F.regexp_extract(text, form, i)
-    every = F.concat(part(2), part(3))
-    lead = F.ltrim(every, F.lit("0"))
-    digits = F.rtrim(lead, F.lit("0"))
-    exponent = F.char_length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.char_length(every) + F.char_length(lead)
-    sign = F.when(digits == "", 0).when(part(1) == "-", -1).otherwise(1)
-    key = F.when(sign < 0, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit(":"))).otherwise(digits)
-    return F.struct(sign.alias("sign"), F.when(sign == 0, 0).otherwise(sign * exponent).alias("exponent"), key.alias("digits"))
 
+    def key(p: Column) -> Column:
+        every = F.concat(p["whole"], p["rest"])
+        lead = F.ltrim(every, F.lit("0"))
+        digits = F.rtrim(lead, F.lit("0"))
+        exponent = F.char_length(p["whole"]) + F.coalesce(p["power"].try_cast("int"), F.lit(0)) - F.char_length(every) + F.char_length(lead)
+        sign = F.when(digits == "", 0).when(p["sign"] == "-", -1).otherwise(1)
+        shown = F.when(sign < 0, F.concat(F.translate(digits, "0123456789", "9876543210"), F.lit(":"))).otherwise(digits)
+        return F.struct(sign.alias("sign"), F.when(sign == 0, 0).otherwise(sign * exponent).alias("exponent"), shown.alias("digits"))
+
+    return _bound(F.struct(part(1).alias("sign"), part(2).alias("whole"), part(3).alias("rest"), part(4).alias("power")), key)
+
+
+#: Numbers that this type holds exactly are compared as it; the others by ``number_key``.
+_EXACT, _EXACT_FORM = "decimal(38,18)", r"^-?[0-9]{1,20}([.][0-9]{1,18})?$"
+
+
+def _facts(v: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a struct with a VARIANT ``v``, its ``type``, its ``text`` and, for numbers, ``number`` or ``key``."""
+
+    def numbers(t: Column) -> Column:
+        is_number = t["type"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
+        exact = F.when(is_number & t["text"].rlike(_EXACT_FORM), t["text"].cast(_EXACT))
+        return _bound(
+            F.struct(t["v"].alias("v"), t["type"].alias("type"), t["text"].alias("text"), is_number.alias("is_number"), exact.alias("number")),
+            lambda n: _bound(
+                F.struct(n["v"].alias("v"), n["type"].alias("type"), n["text"].alias("text"), n["number"].alias("number"), F.when(n["is_number"] & n["number"].isNull(), number_key(n["text"])).alias("key")),
+                body,
+            ),
+        )
+
+    return _bound(F.struct(v.alias("v"), F.schema_of_variant(v).alias("type"), F.try_variant_get(v, "$", "string").alias("text")), numbers)
+
+
+def _compared(f: Column, wanted: object, test: Callable[[Column, Column], Column]) -> Column:
+    """A test between a number and the wanted one; null for what is no number."""
+    shown = format(_decimal(wanted), "f") if abs(_decimal(wanted).adjusted()) < 400 else str(_decimal(wanted))
+    by_key = lambda key: test(key, number_key(F.lit(shown)))
+    if re.fullmatch(_EXACT_FORM, shown):
+        return F.when(f["number"].isNotNull(), test(f["number"], F.lit(shown).cast(_EXACT))).otherwise(by_key(f["key"]))
+    return by_key(F.coalesce(f["key"], F.when(f["number"].isNotNull(), number_key(f["text"]))))
 
-def _variant_equals(v: Column, wanted: object) -> Column:
+
+def _variant_equals(f: Column, wanted: object) -> Column:
     if wanted is None:
-        return F.is_variant_null(v)
+        return F.is_variant_null(f["v"])
     if isinstance(wanted, bool):
-        return (_type(v) == "BOOLEAN") & (F.try_variant_get(v, "$", "boolean") == F.lit(wanted))
+        return (f["type"] == "BOOLEAN") & (F.try_variant_get(f["v"], "$", "boolean") == F.lit(wanted))
     if _number(wanted):
-        return _is_number(v) & (number_key(F.try_variant_get(v, "$", "string")) == number_key(F.lit(str(_decimal(wanted)))))
+        return _compared(f, wanted, lambda a, b: a == b)
     if isinstance(wanted, str):
-        return (_type(v) == "STRING") & (F.try_variant_get(v, "$", "string") == F.lit(wanted))
-    return F.to_json(v) == F.to_json(F.parse_json(F.lit(json.dumps(wanted, sort_keys=True))))
+        return (f["type"] == "STRING") & (f["text"] == F.lit(wanted))
+    return F.to_json(f["v"]) == F.to_json(F.parse_json(F.lit(json.dumps(wanted, sort_keys=True))))
+
+
+_TESTS = {"gt": lambda a, b: a > b, "gte": lambda a, b: a >= b, "lt": lambda a, b: a < b, "lte": lambda a, b: a <= b}
 
 
-def _variant_leaf(v: Column, op: str, wanted: object) -> Column:
+def _variant_leaf(f: Column, op: str, wanted: object) -> Column:
     if op == "exists":
-        return v.isNotNull() == F.lit(wanted)
+        return f["v"].isNotNull() == F.lit(wanted)
     if op == "eq":
-        return _variant_equals(v, wanted)
+        return _variant_equals(f, wanted)
     if op == "ne":
-        return v.isNotNull() & ~F.coalesce(_variant_equals(v, wanted), F.lit(False))
+        return f["v"].isNotNull() & ~F.coalesce(_variant_equals(f, wanted), F.lit(False))
     if op == "in":
         out = F.lit(False)
         for w in wanted:
-            out = out | F.coalesce(_variant_equals(v, w), F.lit(False))
+            out = out | F.coalesce(_variant_equals(f, w), F.lit(False))
         return out
     if op == "contains":
-        items = F.try_variant_get(v, "$", "array<variant>")
-        inside = F.exists(items, lambda x: F.coalesce(_variant_equals(x, wanted), F.lit(False)))
+        items = F.try_variant_get(f["v"], "$", "array<variant>")
+        inside = F.exists(items, lambda x: F.coalesce(_facts(x, lambda g: _variant_equals(g, wanted)), F.lit(False)))
         if isinstance(wanted, str):
-            text = F.when(_type(v) == "STRING", F.try_variant_get(v, "$", "string"))
+            text = F.when(f["type"] == "STRING", f["text"])
             inside = F.coalesce(inside, F.lit(False)) | F.coalesce(F.contains(text, F.lit(wanted)), F.lit(False))
         return inside
     if _number(wanted):
-        left = F.when(_is_number(v), number_key(F.try_variant_get(v, "$", "string")))
-        right = number_key(F.lit(str(_decimal(wanted))))
-    elif isinstance(wanted, str):
-        left, right = F.when(_type(v) == "STRING", F.try_variant_get(v, "$", "string")), F.lit(wanted)
-    else:
-        return F.lit(False)
-    return {"gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right}[op]
+        return _compared(f, wanted, _TESTS[op])
+    if isinstance(wanted, str):
+        return _TESTS[op](F.when(f["type"] == "STRING", f["text"]), F.lit(wanted))
+    return F.lit(False)
 
 
 def _plain_leaf(c: Column, op: str, wanted: object) -> Column:
@@ -206,15 +238,41 @@ def _plain_leaf(c: Column, op: str, wanted: object) -> Column:
 
 
 def to_column(ast: dict, metadata: Column, columns: dict[str, Column] | None = None) -> Column:
-    """The filter as a Boolean column; ``metadata`` is a VARIANT, ``columns`` has top-level fields."""
+    """The filter as a Boolean column; ``metadata`` is a VARIANT, ``columns`` has top-level fields.
+
+    The metadata are parsed once a row, and what leaves on one field share is computed once.
+    """
     validate(ast)
-    return _column(ast, metadata, columns or {})
+    columns = columns or {}
+    plain = [c for c in ast.get("and", ()) if not {x["field"] for x in _leaves(c)} - columns.keys()]
+    if plain and len(plain) < len(ast["and"]):
+        # Conjuncts on columns stay outside, where Spark can push them down.
+        rest = [c for c in ast["and"] if c not in plain]
+        return _column({"and": plain}, {}, columns) & to_column({"and": rest}, metadata, columns)
+    fields = sorted({x["field"] for x in _leaves(ast)} - columns.keys())
+    if not fields:
+        return _column(ast, {}, columns)
+
+    def within(bound: dict[str, Column], left: list[str], values: Column) -> Column:
+        if not left:
+            return _column(ast, bound, columns)
+        return _facts(values[f"f{len(bound)}"], lambda f: within(bound | {left[0]: f}, left[1:], values))
+
+    paths = ["$" + "".join(f"['{p}']" for p in f.removeprefix("metadata.").split(".")) for f in fields]
+    # The variant is bound before its fields are taken, so it is parsed once.
+    taken = lambda m: F.struct(*[F.try_variant_get(m, p, "variant").alias(f"f{i}") for i, p in enumerate(paths)])
+    return _bound(metadata, lambda m: _bound(taken(m), lambda values: within({}, fields, values)))
+
+
+def _leaves(ast: dict) -> list[dict]:
+    children = ast.get("and") or ast.get("or")
+    return [leaf for c in children for leaf in _leaves(c)] if children else [ast]
 
 
-def _column(ast: dict, metadata: Column, columns: dict[str, Column]) -> Column:
+def _column(ast: dict, facts: dict[str, Column], columns: dict[str, Column]) -> Column:
     for key in ("and", "or"):
         if key in ast:
-            parts = [_column(c, metadata, columns) for c in ast[key]]
+            parts = [_column(c, facts, columns) for c in ast[key]]
             out = parts[0]
             for p in parts[1:]:
                 out = out & p if key == "and" else out | p
@@ -223,8 +281,7 @@ def _column(ast: dict, metadata: Column, columns: dict[str, Column]) -> Column:
     if field in columns:
         leaf = _plain_leaf(columns[field], ast["op"], ast["value"])
     else:
-        path = "$" + "".join(f"['{p}']" for p in field.removeprefix("metadata.").split("."))
-        leaf = _variant_leaf(F.try_variant_get(metadata, path, "variant"), ast["op"], ast["value"])
+        leaf = _variant_leaf(facts[field], ast["op"], ast["value"])
     return F.coalesce(leaf, F.lit(False))
 
 
