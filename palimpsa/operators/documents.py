@@ -1,11 +1,10 @@
-"""Documents to blocks, chunks and dates."""
+"""Documents to blocks and chunks."""
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
 from html.parser import HTMLParser
 from itertools import groupby
 
@@ -25,29 +24,6 @@ _LINE = r"(?m)^[ \t]*(?:\*\*|__)?"
 MARKDOWN_HEADING = re.compile(r"(?m)^[ \t]*#{1,6}[ \t]+")
 ARTICLE = re.compile(rf"{_LINE}(?:第[{_NUMERALS}\d]+[章节条]|[{_NUMERALS}]+[、．.])")
 POINT = re.compile(rf"{_LINE}(?:[（(][{_NUMERALS}\d]+[）)]|\d+[、．.]\s*)")
-#: Labels of document dates, nouns by which a document names itself, and what its clauses say (fixed values of the language).
-DATE_LABELS = {
-    "发布日期": "published_at", "发布时间": "published_at", "生效日期": "valid_from", "生效时间": "valid_from",
-    "失效日期": "valid_until", "失效时间": "valid_until", "修订日期": "revised_at", "修订时间": "revised_at",
-}
-DATE_FIELDS = ("published_at", "valid_from", "valid_until", "revised_at")
-OWN_NAMES = ("规则", "表", "规范", "办法", "细则", "制度", "公告", "通知", "规定", "指引", "协议", "标准", "说明")
-NOTICE_WORDS, NOTICE_NAMES = ("通知", "公告", "公示"), ("公告", "通知")
-_DAY = r"\d{4}(?:年\d{1,2}月\d{1,2}日|[-/]\d{1,2}[-/]\d{1,2})"
-_CLOCK = r"(?:[T \t]?\d{1,2}[:：]\d{2}(?:[:：]\d{2}(?:\.\d{1,6})?)?(?:Z|[+-]\d{2}:?\d{2})?)?"
-_DATE = f"(?:{_DAY}{_CLOCK})"
-_ZONE = timezone(timedelta(hours=8))
-#: ``(pattern, field, kind, whole day included)`` of the clauses about the document itself.
-CLAUSES = [
-    (re.compile(rf"有效至\s*(?P<d>{_DATE})"), "valid_until", "valid_through", True),
-    (re.compile(rf"有效期[为自]?\s*(?P<d>{_DATE})"), "valid_from", "validity_range", False),
-    (re.compile(rf"[于自]\s*(?P<d>{_DATE})\s*(?:起|开始)?\s*(?P<how>最新修订|最新|首次|正式)?(?:施行|实施|生效|执行|试行)"), "valid_from", "self_effective", False),
-    (re.compile(rf"[于自]\s*(?P<d>{_DATE})\s*起?(?:正式)?(?:失效|废止|终止)"), "valid_until", "self_expiry", False),
-    (re.compile(rf"[于自]\s*(?P<d>{_DATE})\s*(?:进行)?(?:修订|修正)"), "revised_at", "self_revision", False),
-]
-_RANGE_END = re.compile(rf"\s*[至到]\s*(?P<d>{_DATE})")
-
-
 def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 200) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(windows(F.col(text_col), size, overlap)).alias("c")).select(
         id_col, "c.ordinal", "c.start", "c.stop", F.col("c.text").alias("chunk")
@@ -204,116 +180,6 @@ def markdown_blocks(text: str) -> list[tuple[str, int, int, str, str]]:
     return out
 
 
-_MASKED = [
-    re.compile(p, re.M)
-    for p in (
-        r"(```|~~~)[^\n]*\n[\s\S]*?(?:\1|\Z)", r"`[^`\n]*`", r"“[^“”]*”|‘[^‘’]*’|\"[^\"]*\"|'[^']*'",
-        r"^[ \t]*>[^\n]*", r"^(?: {4}|\t)[^\n]*", r"^[^\n]*(?:例如|示例|举例|样例)[^\n]*",
-    )
-]
-
-
-def _masked(text: str) -> str:
-    """Quotes, code and examples as spaces, at the same offsets."""
-    for pattern in _MASKED:
-        text = pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
-    return text
-
-
-def _instant(raw: str, inclusive: bool = False) -> datetime | None:
-    """UTC instant of a date, by the clock of UTC+8 unless it names a zone; a whole day that is included ends with it."""
-    parts = re.fullmatch(r"(\d{4})\D(\d{1,2})\D(\d{1,2})日?[T \t]?(?:(\d{1,2})[:：](\d{2})(?:[:：](\d{2})(?:\.(\d{1,6}))?)?(Z|[+-]\d{2}:?\d{2})?)?", raw)
-    if parts is None:
-        return None
-    *numbers, micro, zone = parts.groups()
-    try:
-        at = datetime(*(int(n or 0) for n in numbers), int((micro or "0").ljust(6, "0")), tzinfo=_ZONE)
-        if zone:
-            at = at.replace(tzinfo=timezone.utc if zone == "Z" else datetime.strptime(zone.replace(":", ""), "%z").tzinfo)
-        return (at + timedelta(days=inclusive and numbers[3] is None)).astimezone(timezone.utc)
-    except (ValueError, OverflowError):
-        return None
-
-
-def date_candidates(text: str, title: str = "") -> dict[str, list[tuple[int, int, str, datetime | None]]]:
-    """``(start, stop, kind, instant)`` of every dated statement of a document about itself, by field.
-
-    Header lines count within the first twenty lines (2000 characters) before a
-    second-level heading, clauses anywhere after the document's own name, up to the
-    end of the sentence or the title of another document.
-    """
-    plain = _masked(text)
-    found: dict[str, dict[tuple[int, int], tuple]] = {name: {} for name in DATE_FIELDS}
-
-    def put(field: str, kind: str, start: int, stop: int, inclusive: bool = False) -> None:
-        found[field].setdefault((start, stop), (start, stop, kind, _instant(text[start:stop], inclusive)))
-
-    head, at = plain[:2000], 0
-    label = re.compile(r"[ \t]*(?:[-*]\s+)?(?:\*\*)?(" + "|".join(DATE_LABELS) + r")(?:\*\*)?\s*[：:]\s*(?:\*\*)?")
-    for line in head.splitlines(keepends=True)[:20]:
-        if re.match(r"\s*##\s", line):
-            break
-        if m := label.match(line):
-            for d in re.finditer(_DATE, line[m.end() :]):
-                put(DATE_LABELS[m[1]], "header", at + m.end() + d.start(), at + m.end() + d.end())
-        at += len(line)
-    own_title = re.search(r"(?m)^#\s+([^\n]+)", head)
-    names = NOTICE_NAMES if any(w in (own_title[1] if own_title else title) for w in NOTICE_WORDS) else OWN_NAMES
-    for own in re.finditer(f"本(?:{'|'.join(names)})" + r"\s*的?\s*[将已]?\s*(?=[于自]|有效)", plain):
-        at, stop = own.end(), own.end() + len(re.match(r"[^。；;\n《]{0,240}", plain[own.end() : own.end() + 240])[0])
-        while hit := next(((m, *rest) for p, *rest in CLAUSES if (m := p.match(plain, at, stop))), None):
-            m, field, kind, inclusive = hit
-            how = m.groupdict().get("how") or ""
-            put(field, {"首次": "first_effective"}.get(how, "latest_effective" if how.startswith("最新") else kind), *m.span("d"), inclusive)
-            at = m.end()
-            if kind == "validity_range" and (end := _RANGE_END.match(plain, at, stop)):
-                put("valid_until", kind, *end.span("d"), True)
-                at = end.end()
-            # The next action of the document follows a comma.
-            at += len(re.match(r"[^，,]*[，,]\s*|", plain[at:stop])[0])
-    if own_title and (mark := re.search(rf"[\[【]({_DATE})\s*已失效[\]】]", own_title[1])):
-        put("valid_until", "title_expiry", own_title.start(1) + mark.start(1), own_title.start(1) + mark.end(1))
-    return {name: sorted(x.values(), key=lambda c: c[:2]) for name, x in found.items()}
-
-
-def document_dates(text: str, title: str = "") -> dict[str, tuple[datetime | None, int, str]]:
-    """``(instant, place of the first evidence, status)`` of the fields that a document dates.
-
-    A first coming into force counts only where no later one is named. The status
-    is extracted, or review (without an instant) where evidence differs, can not
-    be read, or ends before it begins.
-    """
-    out = {}
-    for name, every in date_candidates(text, title).items():
-        used = [c for c in every if c[2] != "first_effective"] or every
-        if used:
-            values = {c[3] for c in used}
-            sure = len(values) == 1 and None not in values
-            out[name] = (values.pop() if sure else None, used[0][0], "extracted" if sure else "review")
-    a, b = out.get("valid_from"), out.get("valid_until")
-    if a and b and a[0] and b[0] and a[0] >= b[0]:
-        out |= {"valid_from": (None, a[1], "review"), "valid_until": (None, b[1], "review")}
-    return out
-
-
-def dated(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, field, value, place, status``: the dates of each document."""
-    kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (i, field, None if at is None else at.replace(tzinfo=None), place, status)
-                for i, text in zip(pdf["id"], pdf["text"], strict=True)
-                for field, (at, place, status) in document_dates(text or "").items()
-            ]
-            yield pd.DataFrame(rows, columns=["id", "field", "value", "place", "status"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {kind}, field string, value timestamp_ntz, place int, status string"
-    )
-
-
 def marked_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, ordinal, kind, first, last, path, text``: Markdown blocks of each document."""
     kind = dict(docs.dtypes)[id_col]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text
-from ..operators import context, documents, extras, governance, graph, qualify, ranking
+from ..operators import context, dates, documents, extras, governance, graph, qualify, ranking
 from . import model
 from .catalogue import KNOWN, VALID, instant, query
 from .model import table
@@ -430,11 +430,25 @@ def triple_diff(spark, sf):
     return governance.triple_diff(pick("c_acctbal >= 0"), pick("c_acctbal <= 9000"))
 
 
-@query("document_dates", "SELECT o_orderkey AS id, 'published_at' AS field, o_orderdate - INTERVAL 8 HOUR AS value, 'extracted' AS status FROM orders UNION ALL SELECT o_orderkey, 'valid_until', o_orderdate + INTERVAL 16 HOUR, 'extracted' FROM orders")
+@query(
+    "document_dates",
+    """SELECT o_orderkey AS id, 'published_at' AS field, o_orderdate - INTERVAL 8 HOUR AS value, 'extracted' AS status FROM orders
+    UNION ALL SELECT o_orderkey, 'valid_until', o_orderdate + INTERVAL 16 HOUR, 'extracted' FROM orders
+    UNION ALL SELECT o_orderkey, 'valid_from', CASE o_orderkey % 3 WHEN 0 THEN o_orderdate - INTERVAL 30 DAY END, CASE o_orderkey % 3 WHEN 0 THEN 'manual' ELSE 'review' END FROM orders WHERE o_orderkey % 3 < 2
+    UNION ALL SELECT o_orderkey, 'revised_at', o_orderdate - INTERVAL 8 HOUR, 'extracted' FROM orders WHERE o_orderkey % 2 = 1""",
+)
 def document_dates(spark, sf):
+    # Lines that begin with a quotation or with code say what follows it; every third document has a date set by hand.
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
-    body = F.concat(F.lit("# 规则\n发布日期："), day, F.lit("\n\n本规则有效至"), day, F.lit("。“本规则自2001年1月1日起失效。”"))
-    return documents.dated(table(spark, sf, "orders").withColumn("body", body), "o_orderkey", "body").select("id", "field", "value", "status")
+    key = F.col("o_orderkey")
+    body = F.concat(
+        F.lit("# 规则\n发布日期："), day, F.lit("\n\n“旧稿”本规则有效至"), day, F.lit("。“本规则自2001年1月1日起失效。”\n"),
+        F.when(key % 3 == 1, F.lit("本规则自2001年1月1日起施行。本规则自2002年1月1日起施行。\n")).otherwise(F.lit("")),
+        F.when(key % 2 == 1, F.concat(F.lit("`v2`本规则于"), day, F.lit("修订。\n"))).otherwise(F.lit("    本规则于2003年1月1日修订。\n")),
+    )
+    by_hand = F.when(key % 3 == 0, F.expr("o_orderdate - INTERVAL 30 DAY"))
+    rows = table(spark, sf, "orders").withColumn("body", body).withColumn("by_hand", by_hand)
+    return dates.dated(rows, "o_orderkey", "body", given={"valid_from": "by_hand"}).select("id", "field", "value", "status")
 
 
 @query("markdown_blocks", "SELECT p_partkey AS id, 0 AS ordinal, 'heading' AS kind, p_brand AS path, p_brand AS text FROM part UNION ALL SELECT p_partkey, 1, 'paragraph', p_brand, p_name FROM part UNION ALL SELECT p_partkey, 2, 'table', p_brand, '|a|' || chr(10) || '|-|' FROM part")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.functions import applicability, temporal, text
-from palimpsa.operators import documents, graph, identity, ranking, versions
+from palimpsa.operators import dates, documents, graph, identity, ranking, versions
 from palimpsa.operators.components import connected_components
 from palimpsa.streaming import outbox
 
@@ -119,10 +119,33 @@ def test_value_conflicts(spark):
         ("# 旧规则【2024年1月1日已失效】\n正文", {"valid_until": utc(2023, 12, 31, 16)}),
         ("本办法与《他办法》自2025年10月1日起失效。\n## 一\n发布日期：2026-01-01", {}),
         ("> 本规则自2025年10月1日起失效。\n“本规范有效至2025年10月1日”", {}),
+        ("`abcdef` 本规则自2024年1月1日起施行。", {"valid_from": utc(2023, 12, 31, 16)}),
+        ("“试行稿”本规则自2024年1月1日起施行。", {"valid_from": utc(2023, 12, 31, 16)}),
+        ("    本规则自2024年1月1日起施行。\n\t本规则有效至2024年1月1日。", {}),
+        ("例如本规则自2024年1月1日起施行。\n```\n本规则有效至2024年1月1日。\n```本规则有效至2025年1月1日。", {"valid_until": utc(2025, 1, 1, 16)}),
+        ("“引\n本规则自2024年1月1日起施行。", {"valid_from": utc(2023, 12, 31, 16)}),
+        ("“外“内”本规则自2024年1月1日起施行。", {"valid_from": utc(2023, 12, 31, 16)}),
     ],
 )
 def test_document_dates(body, expected):
-    assert {k: v[0] for k, v in documents.document_dates(body).items()} == expected
+    assert {k: v[0] for k, v in dates.document_dates(body).items()} == expected
+
+
+def test_date_status_and_given_values(spark):
+    found = dates.resolve("是否生效：已废止\n发布日期：2026-01-01")
+    assert (found.in_force, found.warnings) == ("已废止", ["expired_status_without_date"])
+    found = dates.resolve("# 旧【2024年1月1日已失效】\n**是否生效**：生效中**")
+    assert found.warnings == ["title_status_conflict"]
+    many = "\n".join(f"发布日期：2026-01-{d:02d}、2026-02-{d:02d}、2026-03-{d:02d}" for d in range(1, 20))
+    assert dates.resolve(many).warnings == ["published_at_candidate_limit"]
+    hand = utc(2030, 1, 1)
+    found = dates.resolve("生效日期：2026-01-02\n失效日期：2026-03-01", given={"valid_from": hand})
+    assert found.fields["valid_from"] == (hand, 5, "manual") and found.fields["valid_until"][2] == "review"
+    assert dates.own_words("甲“乙\n丙”丁", [(0, 1)]) == "   \n  丁"
+    rows = spark.createDataFrame([(1, "发布日期：2026-01-01", None), (2, None, hand), (3, "", None)], "id int, body string, at timestamp")
+    got = {r.id: r for r in dates.resolved(rows, "id", "body", given={"valid_from": "at"}).collect()}
+    assert [f.field for f in got[1].fields] == ["published_at"] and got[3].fields == []
+    assert [(f.field, f.status, f.place) for f in got[2].fields] == [("valid_from", "manual", None)]
 
 
 def test_chunks(spark):
