@@ -80,17 +80,6 @@ def labelled(rows: DataFrame, labels: DataFrame, pairs: dict[str, str]) -> DataF
     return rows
 
 
-def source_context(records: DataFrame, assertions: DataFrame, decisions: DataFrame, support: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``record, chunk``: the chunks behind the records, by assertion, accepted decision and valid support.
-
-    ``assertions``: record, assertion; ``decisions``: assertion, status; ``support``: assertion, chunk, invalid_reason.
-    """
-    live = decisions.filter("status = 'accepted'").select("assertion").distinct()
-    bridge = assertions.join(live, "assertion", "left_semi").join(support.filter("invalid_reason is null"), "assertion")
-    bridge = bridge.select("record", "chunk").distinct()
-    return bridge.join(records.select("record").distinct(), "record", "left_semi").join(chunks.select("chunk").distinct(), "chunk", "left_semi")
-
-
 def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
     """``question, id, name, start``: names in each question that no longer name there covers; the longest per id.
 

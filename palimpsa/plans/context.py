@@ -106,21 +106,6 @@ def label_lookups(spark, sf):
     return out.select("edge", "src_label", "dst_label")
 
 
-@query(
-    "source_context",
-    """SELECT DISTINCT o_custkey AS record, l_partkey AS chunk FROM orders JOIN lineitem ON l_orderkey = o_orderkey
-    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F') AND l_returnflag <> 'R' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5)""",
-)
-def source_context(spark, sf):
-    lines = table(spark, sf, "lineitem")
-    assertions = table(spark, sf, "orders").select(F.col("o_custkey").alias("record"), F.col("o_orderkey").alias("assertion"))
-    decisions = lines.select(F.col("l_orderkey").alias("assertion"), F.when(F.col("l_linestatus") == "F", "accepted").otherwise("rejected").alias("status"))
-    support = lines.select(F.col("l_orderkey").alias("assertion"), F.col("l_partkey").alias("chunk"), F.when(F.col("l_returnflag") == "R", "returned").alias("invalid_reason"))
-    records = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("record"))
-    chunks = table(spark, sf, "part").filter("p_size > 5").select(F.col("p_partkey").alias("chunk"))
-    return context.source_context(records, assertions, decisions, support, chunks)
-
-
 _NAMES_SQL = "n AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS id, lower(split_part(p_name, ' ', 1)) AS name FROM part UNION SELECT lower(p_name), lower(p_name) FROM part UNION SELECT 'thing', 'widget' FROM part UNION SELECT 'the', 'the' FROM part)"
 
 
