@@ -93,6 +93,17 @@ def blocks(batches: Iterable[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[
         yield ids, texts
 
 
+def fresh_names(frame: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that ``frame`` does not have."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def training_fold(id_col: str, modulus: int) -> F.Column:
     """True where crc32 of the id as text, modulo ``modulus``, is not 1."""
     return (F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus) != 1

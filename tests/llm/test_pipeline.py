@@ -62,3 +62,19 @@ def test_odd_tables(spark):
             frame = stage(spark, frame.cache(), path)
         assert sorted([r.doc_id for r in frame.collect()], key=str) == ids
         assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, frame, path).collect()} == set(ids)
+
+
+def test_clashing_columns_pass_through(spark):
+    extra = ["text_hash", "first_id", "near_copy_text_hash", "text_mark", "first_hash", "Kept", "score", "predicted", "fp", "component_id", "quality_words", "block", "n", "node", "part"]
+    words = lambda stem: " ".join(f"{stem}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    rows = [(1, words("one"), "en", "s", 9), (2, words("one"), "en", "s", 9), (3, words("two"), "en", "t", 9), (4, words("three") + " " + words("four"), "en", "t", 9)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)
+    docs = spark.createDataFrame([(*r, *(100 * r[0] + k for k in range(len(extra)))) for r in rows], schema)
+    frame = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        frame = stage(spark, frame.cache(), "/root/testdata/sf0.001")
+        assert frame.columns == docs.columns
+        got = {r.doc_id: [r[c] for c in extra] for r in frame.collect()}
+        assert all(v == [100 * i + k for k in range(len(extra))] for i, v in got.items())
+    assert set(got) == {1, 3, 4}
+    assert {r.doc_id for r in corpus_pipeline.packing_stage(spark, frame, "").collect()} == {1, 3, 4}
