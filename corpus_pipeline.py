@@ -8,7 +8,9 @@ the last return the columns of ``documents``.
 
 Rows that share an id, or have none, are told apart by their texts; of rows with
 the same id and text one stays in the near-copy stage. Null texts are rejected by
-quality.
+quality. An empty table passes all stages. Texts of any length are worked on whole.
+Further columns of any name are carried through to the last stage; names of columns
+that a stage adds for itself give way to them.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsa.llm import packing, quality, simhash, suffix, toxicity
+from palimpsa.llm.common import fresh_names
 from palimpsa.operators.recovery import cut, remove_path, scratch_dir
 
 
@@ -30,10 +33,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates_wide(docs, shingle=5, similarity=0.8)
-    first = groups.filter("first").select(F.col("doc_id").alias("first_id"), "text_hash").distinct()
-    mark = "near_copy_text_hash"
+    mark, first_id, first_hash = fresh_names(docs, "text_mark", "first_id", "first_hash")
+    first = groups.filter("first").select(F.col("doc_id").alias(first_id), F.col("text_hash").alias(first_hash)).distinct()
     marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
-    kept = marked.join(first, (F.col(mark) == F.col("text_hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
+    kept = marked.join(first, (F.col(mark) == F.col(first_hash)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first_id)), "left_semi")
     return kept.dropDuplicates(["doc_id", mark]).select(*docs.columns)
 
 
