@@ -53,34 +53,3 @@ def windowed(events: DataFrame, at: str, length: str, slide: str | None = None)
     """Tumbling or sliding counts and sums; the same plan works on streams with a watermark."""
     own = F.window(at, length, slide) if slide else F.window(at, length)
     return events.groupBy(own.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-
-def gated(stream: DataFrame, project: str, seq: str, payload: str) -> DataFrame:
-    """A stream's events in gap-free order: what follows a gap waits in state until it is filled.
-
-    Returns ``project, seq, payload``; events that were passed on before are dropped.
-    """
-    import json
-    from collections.abc import Iterator
-
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        after, held = state.get if state.exists else (0, "{}")
-        waiting = {int(k): v for k, v in json.loads(held).items()}
-        for pdf in batches:
-            for n, p in zip(pdf["seq"], pdf["payload"], strict=True):
-                if n > after:
-                    waiting[int(n)] = p
-        out = []
-        while after + 1 in waiting:
-            after += 1
-            out.append((key[0], after, waiting.pop(after)))
-        state.update((after, json.dumps(waiting)))
-        yield pd.DataFrame(out, columns=["project", "seq", "payload"])
-
-    rows = stream.select(F.col(project).cast("string").alias("project"), F.col(seq).cast("long").alias("seq"), F.col(payload).cast("string").alias("payload"))
-    return rows.groupBy("project").applyInPandasWithState(
-        run, "project string, seq long, payload string", "after long, held string", "append", GroupStateTimeout.NoTimeout
-    )

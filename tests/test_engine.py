@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.engine import Engine, Scope
-from palimpsa.streaming import outbox
 
 
 @pytest.fixture(scope="module")
@@ -89,13 +88,3 @@ def test_conflicts_need_a_common_scope(spark):
     frame = spark.createDataFrame(rows, "o string, v string, scope array<string>, s timestamp, t timestamp")
     found = resolve.conflicts_in_contexts(frame, ["o"], "scope", "v", "s", "t").collect()
     assert [(r.o, r.context, r.at, r["values"]) for r in found] == [("p", "x", at(4), 2)]
-
-
-def test_gated_stream(spark, tmp_path):
-    parts = [[(1, "a"), (3, "c")], [(2, "b"), (6, "f")], [(4, "d"), (2, "b")], [(5, "e")]]
-    for rows in parts:
-        spark.createDataFrame([("p", n, v) for n, v in rows], "project string, n long, v string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-    stream = spark.readStream.schema("project string, n long, v string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = outbox.gated(stream, "project", "n", "v").writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.seq, r.payload) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(enumerate("abcdef", 1))
