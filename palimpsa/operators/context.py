@@ -80,30 +80,6 @@ def labelled(rows: DataFrame, labels: DataFrame, pairs: dict[str, str]) -> DataF
     return rows
 
 
-def mentioned(questions: DataFrame, names: DataFrame) -> DataFrame:
-    """``question, id, name, start``: names in each question that no longer name there covers; the longest per id.
-
-    ``questions``: question, text; ``names``: id, name. Names meet a question by
-    their first two characters (shorter ones by one), never all with all.
-    """
-    low = F.lower("text")
-    at = F.sequence(F.lit(1), F.char_length(low))
-    heads = lambda n: F.transform(at, lambda i: F.struct(F.substring(low, i, F.lit(n)).alias("head"), i.alias("start")))
-    starts = F.flatten(F.array(heads(1), heads(2)))
-    places = questions.filter(F.char_length(low) > 0).select("question", low.alias("low"), F.explode(starts).alias("s")).select("question", "low", "s.*")
-    known = names.select("id", F.lower("name").alias("name")).filter("name <> ''").distinct().withColumn("head", F.left("name", F.lit(2)))
-    size = F.char_length("name")
-    hits = places.join(known, "head").filter(F.substring("low", F.col("start"), size) == F.col("name"))
-    hits = hits.filter((size > 1) | (F.char_length("head") == 1)).select("question", "id", "name", "start", (F.col("start") + size).alias("stop")).distinct()
-    # Covered: an occurrence that begins no later reaches as far and is longer.
-    reach = F.max("stop").over(W.partitionBy("question").orderBy("start").rangeBetween(W.unboundedPreceding, -1))
-    same_start = F.max("stop").over(W.partitionBy("question", "start"))
-    free = hits.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("longest", same_start)
-    free = free.filter((F.col("stop") > F.col("reach")) & (F.col("stop") == F.col("longest")))
-    first = F.row_number().over(W.partitionBy("question", "id").orderBy(F.desc(F.char_length("name")), "name", "start"))
-    return free.withColumn("n", first).filter("n = 1").select("question", "id", "name", "start")
-
-
 def with_contexts(groups: DataFrame, rows: DataFrame, key: str, order: list, shown: str, most: int) -> DataFrame:
     """Each group's members counted, with the first ``most`` of them as a list; groups without members keep zero."""
     own = W.partitionBy(key)

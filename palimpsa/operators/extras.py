@@ -122,20 +122,6 @@ def combined_state(rows: DataFrame, key: str, state: str) -> DataFrame:
     )
 
 
-def expand_queries(queries: DataFrame, id_col: str, text_col: str, terms: DataFrame) -> DataFrame:
-    """Vocabulary terms that occur in each query.
-
-    A term is looked for only in texts that have its first three characters
-    (shorter terms: all of them), by a join, so no side is sent or paired whole.
-    """
-    low = F.lower(F.col(text_col))
-    gram = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
-    grams = F.array_distinct(F.flatten(F.array(*[gram(low, n) for n in (1, 2, 3)])))
-    texts = queries.filter(F.char_length(low) > 0).select(id_col, low.alias("low"), F.explode(grams).alias("gram"))
-    words = terms.select("term", F.lower("term").alias("t")).filter(F.col("t") != "").distinct().withColumn("gram", F.left("t", F.lit(3)))
-    return texts.join(words, "gram").filter(F.contains("low", F.col("t"))).select(id_col, "term").distinct()
-
-
 def max_count_violations(rows: DataFrame, owner: list[str], predicate: str, most: int) -> DataFrame:
     """Owners with predicates that have more values than allowed."""
     each = rows.groupBy(*owner, predicate).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > most)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,32 +89,6 @@ def shape_violations(rows: DataFrame, subject: str, predicate: str, value: str,
     return out
 
 
-def dictionary_matches(docs: DataFrame, id_col: str, text_col: str, terms: list[str]) -> DataFrame:
-    """``id, start, stop, term``: longest matches of a vocabulary that do not overlap.
-
-    Terms that begin or end with an ASCII letter or digit only match at word edges.
-    """
-    kind = dict(docs.dtypes)[id_col]
-    import re
-
-    def bounded(t: str) -> str:
-        edge = "[A-Za-z0-9]"
-        return (f"(?<!{edge})" if re.match(edge, t) else "") + re.escape(t) + (f"(?!{edge})" if re.search(edge + "$", t) else "")
-
-    pattern = re.compile("|".join(bounded(t) for t in sorted(set(terms), key=lambda t: (-len(t), t))), re.I) if terms else None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (i, m.start(), m.end(), m[0])
-                for i, t in zip(pdf["id"], pdf["text"], strict=True)
-                for m in (pattern.finditer(t or "") if pattern else ())
-            ]
-            yield pd.DataFrame(rows, columns=["id", "start", "stop", "term"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {kind}, start int, stop int, term string")
-
-
 def box_duplicates(boxes: DataFrame, group: list[str], least: float = 0.6) -> DataFrame:
     """Pairs of boxes of one group that overlap: intersection over union or containment.
 

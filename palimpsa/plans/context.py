@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import temporal, text
-from ..operators import context, dates, documents, extras, governance, graph, qualify, ranking
+from ..operators import context, dates, documents, extras, governance, graph, patterns, qualify, ranking
 from . import model
 from .catalogue import KNOWN, VALID, instant, query
 from .model import table
@@ -123,7 +123,7 @@ def mentioned_entities(spark, sf):
     names = names.union(part.select(F.lit("thing"), F.lit("widget"))).union(part.select(F.lit("the"), F.lit("the"))).distinct()
     at = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
     questions = part.select(at("p", "p_partkey").alias("question"), F.concat_ws(" ", "p_brand", "p_name").alias("text"))
-    return context.mentioned(questions.union(table(spark, sf, "benchmark").select(at("b", "item_id"), "text")), names)
+    return patterns.mentioned(questions.union(table(spark, sf, "benchmark").select(at("b", "item_id"), "text")), names)
 
 
 @query(
@@ -372,7 +372,7 @@ def shape_violations(spark, sf):
 
 @query("dictionary_matches", "SELECT p_partkey AS id, length(p_name) - length('widget') AS start, length(p_name) AS stop, 'widget' AS term FROM part WHERE ends_with(p_name, ' widget')")
 def dictionary_matches(spark, sf):
-    out = governance.dictionary_matches(table(spark, sf, "part"), "p_partkey", "p_name", ["widget", "wid"])
+    out = patterns.dictionary_matches(table(spark, sf, "part"), "p_partkey", "p_name", spark.createDataFrame([("widget",), ("wid",)], "name string"))
     return out.select("id", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"), "term")
 
 

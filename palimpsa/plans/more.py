@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import aggregates, documents, extras, graph, ranking
+from ..operators import aggregates, documents, extras, graph, patterns, ranking
 from . import model
 from .catalogue import _COS, query
 from .model import table
@@ -218,7 +218,31 @@ def evidence_eligibility(spark, sf):
 )
 def ontology_query_expansion(spark, sf):
     terms = table(spark, sf, "part").select(F.col("p_type").alias("term")).union(table(spark, sf, "nation").select("n_name")).distinct()
-    return extras.expand_queries(table(spark, sf, "benchmark"), "item_id", "text", terms)
+    return patterns.terms_in(table(spark, sf, "benchmark"), "item_id", "text", terms)
+
+
+@query(
+    "query_expansion",
+    """WITH t AS (SELECT DISTINCT p_type AS class FROM part), f AS (SELECT class, class AS form FROM t UNION SELECT 'thing', left(lower(p_brand), 5) FROM part UNION SELECT 'colour', split_part(p_name, ' ', 1) FROM part),
+    anc AS (SELECT class, 'thing' AS ancestor FROM t UNION ALL SELECT 'colour', 'thing' UNION ALL SELECT p_brand || '/' || p_size, 'colour' FROM (SELECT DISTINCT p_brand, p_size FROM part WHERE p_size < 4)),
+    q AS (SELECT p_partkey AS q, lower(trim(p_name || ' of ' || p_brand || ' in ' || p_type)) AS low FROM part),
+    m AS (SELECT DISTINCT q, lower(form) AS form, class FROM q, f WHERE length(form) >= 2 AND contains(low, lower(form))),
+    k AS (SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM m b WHERE b.q = a.q AND length(b.form) > length(a.form) AND contains(b.form, a.form))),
+    s AS (SELECT q, class, max(length(form)) AS size FROM k GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY size DESC, class) AS n FROM s),
+    terms AS (SELECT q, list(class ORDER BY class) AS terms FROM r WHERE n <= 8 GROUP BY q),
+    below AS (SELECT q, list(DISTINCT anc.class ORDER BY anc.class) AS subclasses FROM terms JOIN anc ON list_contains(terms, ancestor) WHERE NOT list_contains(terms, anc.class) GROUP BY q)
+    SELECT q AS p_partkey, array_to_string(terms, ',') AS terms, coalesce(array_to_string(subclasses, ','), '') AS subclasses FROM terms LEFT JOIN below USING (q)""",
+)
+def query_expansion(spark, sf):
+    part = table(spark, sf, "part")
+    types = part.select(F.col("p_type").alias("class")).distinct()
+    forms = types.select(F.col("class").alias("form"), "class")
+    forms = forms.union(part.select(F.left(F.lower("p_brand"), F.lit(5)), F.lit("thing"))).union(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit("colour"))).distinct()
+    lines = part.filter("p_size < 4").select(F.concat_ws("/", "p_brand", "p_size").alias("class"), F.lit("colour").alias("ancestor")).distinct()
+    ancestors = types.select("class", F.lit("thing").alias("ancestor")).union(spark.sql("select 'colour', 'thing'")).union(lines)
+    questions = part.select("p_partkey", F.concat("p_name", F.lit(" of "), "p_brand", F.lit(" in "), "p_type").alias("text"))
+    out = patterns.expanded(questions, "p_partkey", "text", forms, ancestors)
+    return out.select("p_partkey", F.array_join("terms", ",").alias("terms"), F.array_join("subclasses", ",").alias("subclasses"))
 
 
 @query(

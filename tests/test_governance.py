@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.functions import cursors, native
-from palimpsa.operators import governance
+from palimpsa.operators import governance, patterns
 from palimpsa.sources import snapshots
 
 
@@ -77,7 +77,7 @@ def test_shapes_and_diff(spark):
 
 def test_texts_and_boxes(spark):
     docs = spark.createDataFrame([(1, "newer new York NEW york citys"), (2, None)], "id int, t string")
-    found = governance.dictionary_matches(docs, "id", "t", ["new", "new york", "city"]).collect()
+    found = patterns.dictionary_matches(docs, "id", "t", spark.createDataFrame([("new",), ("new york",), ("city",)], "name string")).collect()
     assert [(r.start, r.stop) for r in found] == [(6, 14), (15, 23)]
     boxes = spark.createDataFrame([("p", 1, 0, 0, 300, 10), ("p", 2, 2, 0, 300, 10), ("p", 3, 400, 0, 500, 10), ("q", 4, 0, 0, 300, 10)], "g string, id int, x0 int, y0 int, x1 int, y1 int")
     assert [tuple(r) for r in governance.box_duplicates(boxes, ["g"]).collect()] == [("p", 1, 2)]
