@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .recovery import cut
+from .recovery import cut, scratch_dir
+
+
+#: A frontier up to so many nodes is sent to all tasks; larger ones are joined by a shuffle.
+SMALL_FRONTIER = 100_000
+
+
+def stored_steps(edges: DataFrame, direction: str = "both") -> DataFrame:
+    """``edge, a, b`` of a search's steps from a to b, written once to the shared folder and read from there."""
+    forward = F.struct(F.col("src").alias("a"), F.col("dst").alias("b"))
+    backward = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))
+    ways = {"forward": [forward], "backward": [backward], "both": [forward, backward]}[direction]
+    folder = scratch_dir(edges.sparkSession, "steps")
+    edges.select("edge", F.explode(F.array(*ways)).alias("s")).select("edge", "s.a", "s.b").write.parquet(folder)
+    return edges.sparkSession.read.parquet(folder)
 
 
 def bounded_search(
@@ -15,46 +29,62 @@ def bounded_search(
     max_nodes: int = 10_000,
     max_edges: int = 10_000,
     direction: str = "both",
+    steps: DataFrame | None = None,
 ) -> tuple[DataFrame, bool]:
     """Nodes within ``hops`` of the seeds: ``node, hop, via, parent``, and whether a budget cut it short.
 
-    ``edges``: ``edge, src, dst``; ``seeds``: ``node``. Per level nodes are taken in
-    the order of edge ids, and the first path to a node stays.
+    ``edges``: ``edge, src, dst``; ``seeds``: ``node``; ``steps``: what ``stored_steps``
+    gave for them, to be used by several searches. Per level nodes are taken in
+    the order of edge ids, and the first path to a node stays. Levels are written and
+    read; their sizes decide how the next join is done. In both directions what lies
+    behind the last two levels has no way to the next one, so only these are left out of it.
     """
-    steps = edges.select("edge", F.col("src").alias("a"), F.col("dst").alias("b"))
-    back = edges.select("edge", F.col("dst").alias("a"), F.col("src").alias("b"))
-    steps = {"forward": steps, "backward": back, "both": steps.unionByName(back)}[direction]
+    spark = edges.sparkSession
+    steps = stored_steps(edges, direction) if steps is None else steps
     none = F.lit(None)
     kind = dict(edges.dtypes)
+    folder = scratch_dir(spark, "levels")
+
+    def stored(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        rows.write.parquet(f"{folder}/{name}")
+        rows = spark.read.parquet(f"{folder}/{name}")
+        return rows, rows.count()
+
     start = seeds.select("node").distinct()
     if start.count() > max_nodes:
         start = start.orderBy("node").limit(max_nodes)
-    seen = cut(
-        start.select(
-            "node", F.lit(0).alias("hop"), none.cast(kind["edge"]).alias("via"), none.cast(kind["src"]).alias("parent")
-        )
-    )
-    nodes_left, edges_left = max_nodes - seen.count(), max_edges
+    first = start.select("node", F.lit(0).alias("hop"), none.cast(kind["edge"]).alias("via"), none.cast(kind["src"]).alias("parent"))
+    level, n = stored(first, "0")
+    levels, sizes = [level], [n]
+    nodes_left, edges_left = max_nodes - n, max_edges
     truncated = False
+    sent = lambda rows, n: F.broadcast(rows) if n <= SMALL_FRONTIER else rows
     for hop in range(1, hops + 1):
-        frontier = seen.filter(F.col("hop") == hop - 1).select(F.col("node").alias("a"))
+        before = levels[-2:] if direction == "both" else levels
+        known, n_known = before[0], sum(sizes[-len(before) :])
+        for x in before[1:]:
+            known = known.unionByName(x)
+        frontier = levels[-1].select(F.col("node").alias("a"))
         found = (
-            steps.join(frontier, "a")
-            .join(seen.select(F.col("node").alias("b")), "b", "left_anti")
+            steps.join(sent(frontier, sizes[-1]), "a", "left_semi")
+            .join(sent(known.select(F.col("node").alias("b")), n_known), "b", "left_anti")
             .groupBy("b")
-            .agg(F.min_by(F.struct("edge", "a"), F.struct("edge", "a")).alias("first"))
+            .agg(F.min(F.struct("edge", "a")).alias("first"))
             .select(F.col("b").alias("node"), F.lit(hop).alias("hop"), F.col("first.edge").alias("via"), F.col("first.a").alias("parent"))
         )
         room = max(0, min(nodes_left, edges_left))
-        found = cut(found)
-        n = found.count()
+        found, n = stored(found, str(hop))
         if n > room:
-            truncated, n = True, room
-            found = cut(found.orderBy("via", "node").limit(room))
+            truncated = True
+            found, n = stored(found.orderBy("via", "node").limit(room), f"{hop}-cut")
         if not n:
             break
-        seen = seen.unionByName(found)  # every level is stored, so nothing is computed again
+        levels.append(found)
+        sizes.append(n)
         nodes_left, edges_left = nodes_left - n, edges_left - n
+    seen = levels[0]
+    for x in levels[1:]:
+        seen = seen.unionByName(x)
     return seen, truncated
 
 

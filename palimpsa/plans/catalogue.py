@@ -9,7 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import applicability, filters, temporal, text
-from ..operators import aggregates, documents, graph, identity, qualify, ranking, versions
+from ..operators import aggregates, documents, graph, identity, inverted, qualify, ranking, versions
+from ..operators.recovery import scratch_dir
 from ..streaming import outbox
 from . import model
 from .model import table
@@ -437,9 +438,10 @@ def cosine_min_score(spark, sf):
     SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id)::INTEGER AS rank FROM b QUALIFY rank <= 10""",
 )
 def bm25_topk(spark, sf):
-    found = ranking.bm25(table(spark, sf, "documents"), "doc_id", "text", table(spark, sf, "benchmark"), "item_id", "text")
-    found = found.withColumn("order_score", F.round("score", 9))
-    out = ranking.top(found, "order_score", "id", 10, ["query_id"])
+    folder = scratch_dir(spark, "index")
+    inverted.build(table(spark, sf, "documents"), "doc_id", "text", folder)
+    found = inverted.search(spark.read.parquet(folder), table(spark, sf, "benchmark"), "item_id", "text", 10)
+    out = ranking.top(found.withColumn("order_score", F.round("score", inverted.DIGITS)), "order_score", "id", 10, ["query_id"])
     return out.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
