@@ -48,26 +48,6 @@ def entailed_types(types: DataFrame, subclasses: DataFrame) -> DataFrame:
     return own.union(more).distinct()
 
 
-def ontology_slice(classes: DataFrame, subclasses: DataFrame, contracts: DataFrame, query: str) -> DataFrame:
-    """``term, reason``: classes whose label is in the query or has it, their ancestors, descendants and properties.
-
-    ``classes``: term, label; ``subclasses``: child, parent; ``contracts``: property, domain, range. A term keeps its first reason.
-    """
-    label, text = F.lower("label"), F.lit(query.lower())
-    hits = classes.filter(F.contains(text, label) | F.contains(label, text)).select("term").distinct()
-    closed = closure(subclasses, "child", "parent")
-    above = closed.join(hits.withColumnRenamed("term", "child"), "child", "left_semi").select(F.col("parent").alias("term"))
-    below = closed.join(hits.withColumnRenamed("term", "parent"), "parent", "left_semi").select(F.col("child").alias("term"))
-    taken = hits.union(above).distinct()
-    ends = contracts.select(F.col("property").alias("term"), F.explode(F.array("domain", "range")).alias("end"))
-    owned = ends.join(taken.withColumnRenamed("term", "end"), "end", "left_semi").select("term")
-    every = None
-    for i, (reason, part) in enumerate((("lexical", hits), ("ancestor", above), ("descendant", below), ("property", owned))):
-        part = part.select("term", F.struct(F.lit(i).alias("i"), F.lit(reason).alias("reason")).alias("r"))
-        every = part if every is None else every.union(part)
-    return every.groupBy("term").agg(F.min("r").alias("r")).select("term", "r.reason")
-
-
 def topological(links: DataFrame, before: str, after: str) -> DataFrame:
     """``node, level``: the length of the longest chain that leads to each node; nodes on or behind cycles have none.
 

@@ -30,29 +30,6 @@ def compatible(a: str, b: str) -> F.Column:
     return same("type") & same("scope") & ~F.coalesce(F.col("differing"), F.lit(False)) & joined
 
 
-def three_stages(mentions: DataFrame, entities: DataFrame, scores: DataFrame, review: float = 0.72, merge: float = 0.88) -> DataFrame:
-    """``mention, stage, entity, decision``: exact name, then identity key, then the best score within its band.
-
-    ``mentions``: mention, name, key; ``entities``: id, name, key; ``scores``: mention, id, score.
-    Several exact or key matches are ambiguous and go to review.
-    """
-    fold = lambda c: F.lower(F.trim(c))
-
-    def unique(column: str, on) -> DataFrame:
-        return entities.filter(on(F.col(column)).isNotNull()).groupBy(on(F.col(column)).alias(f"{column}_k")).agg(
-            F.min("id").alias(f"{column}_id"), F.count_distinct("id").alias(f"{column}_n")
-        )
-
-    best = scores.groupBy("mention").agg(F.max_by("id", F.struct("score", F.hash("id"))).alias("s_id"), F.max("score").alias("s"))
-    out = mentions.withColumns({"name_k": fold(F.col("name")), "key_k": F.col("key")})
-    out = out.join(unique("name", fold), "name_k", "left").join(unique("key", lambda c: c), "key_k", "left").join(best, "mention", "left")
-    stage = F.when(F.col("name_n") > 0, "exact").when(F.col("key_n") > 0, "key").when(F.col("s") >= review, "semantic").otherwise("none")
-    n = F.when(stage == "exact", F.col("name_n")).when(stage == "key", F.col("key_n")).otherwise(1)
-    entity = F.when(stage == "exact", F.col("name_id")).when(stage == "key", F.col("key_id")).when(stage == "semantic", F.col("s_id"))
-    decision = F.when(stage == "none", "separate").when(n > 1, "review").when((stage == "semantic") & (F.col("s") < merge), "review").otherwise("aligned")
-    return out.select("mention", stage.alias("stage"), F.when(n == 1, entity).alias("entity"), decision.alias("decision"))
-
-
 def near_names(rows: DataFrame, name: str, text: str, least: float = 0.7, most: int = 12) -> DataFrame:
     """``id, name, score`` of the entities nearest to a text by character pairs, best first."""
     from .extras import trigram_similarity

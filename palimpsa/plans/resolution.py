@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import identity, ontology, resolve
+from ..operators import algebra, entity_resolution, identity, ontology, resolve, slices
 from . import model
 from .catalogue import query
 from .model import table
@@ -39,18 +39,67 @@ def compatible_pairs(spark, sf):
     return both.filter(resolve.compatible("a", "b")).select("left", "right")
 
 
-@query(
-    "three_stage_resolution",
-    """WITH n AS (SELECT lower(trim(p_name)) AS k, min(p_partkey) AS id, count(*) AS c FROM part WHERE p_size < 10 GROUP BY 1), y AS (SELECT p_brand AS k, min(p_partkey) AS id, count(*) AS c FROM part WHERE p_size < 10 GROUP BY 1),
-    x AS (SELECT p.p_partkey AS mention, n.id AS ni, coalesce(n.c, 0) AS nc, y.id AS yi, coalesce(y.c, 0) AS yc, p_retailprice / 2000 AS s FROM part p LEFT JOIN n ON n.k = lower(trim(p_name)) LEFT JOIN y ON y.k = p_brand)
-    SELECT mention, CASE WHEN nc > 0 THEN 'exact' WHEN yc > 0 THEN 'key' WHEN s >= 0.72 THEN 'semantic' ELSE 'none' END AS stage,
-      CASE WHEN nc > 0 THEN CASE WHEN nc = 1 THEN ni END WHEN yc > 0 THEN CASE WHEN yc = 1 THEN yi END WHEN s >= 0.72 THEN mention END AS entity,
-      CASE WHEN nc > 0 THEN CASE WHEN nc > 1 THEN 'review' ELSE 'aligned' END WHEN yc > 0 THEN CASE WHEN yc > 1 THEN 'review' ELSE 'aligned' END WHEN s >= 0.88 THEN 'aligned' WHEN s >= 0.72 THEN 'review' ELSE 'separate' END AS decision FROM x""",
+#: Vectors with odd numbers are mentions, those with even ones entities; names, keys and sources follow from the numbers.
+_RESOLVE_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS vector, (label % 3)::VARCHAR AS type, (vec_id % 4 // 2)::VARCHAR AS scope, 's' || vec_id % 5 AS source, 'name ' || vec_id % 331 AS name,
+         CASE WHEN vec_id % 12 = 0 THEN 'name ' || (vec_id + 1) % 331 END AS alias,
+         CASE WHEN vec_id % 7 < 3 THEN (vec_id % 173)::VARCHAR END AS tax, CASE WHEN vec_id % 11 < 3 THEN (vec_id % 59)::VARCHAR END AS reg,
+         CASE WHEN label % 3 = 1 THEN 'reference' ELSE 'default' END AS mode FROM embeddings
+), m AS (SELECT * FROM v WHERE vec_id % 2 = 1), e AS (SELECT * FROM v WHERE vec_id % 2 = 0), p AS (
+  SELECT m.vec_id AS mention, e.vec_id AS id, m.mode, coalesce(m.tax <> e.tax, false) OR coalesce(m.reg <> e.reg, false) AS clash, coalesce(m.tax = e.tax, false) OR coalesce(m.reg = e.reg, false) AS equal,
+         m.source = e.source AS same, m.name = e.name OR coalesce(m.name = e.alias, false) AS named, round(list_cosine_similarity(m.vector, e.vector), 9) AS score
+  FROM m JOIN e USING (type, scope)
+), c AS (
+  SELECT *, NOT clash AND (mode = 'reference' OR equal OR same) AS fits FROM p
+), g AS (
+  SELECT mention, count(*) FILTER (fits AND equal) AS n_strong, min(id) FILTER (fits AND equal) AS strong, count(*) FILTER (fits AND named) AS n_named, min(id) FILTER (fits AND named) AS name_id,
+         bool_or(named AND clash) AS name_clash, arg_min(id, (-score, id)) FILTER (fits AND same) AS near, max(score) FILTER (fits AND same) AS score FROM c GROUP BY mention
+), r AS (
+  SELECT m.vec_id AS mention, mode, g.* EXCLUDE mention, CASE WHEN n_strong > 1 OR n_strong = 0 AND n_named > 1 THEN 'ambiguous_exact_identity' WHEN n_strong = 1 THEN 'strong_identity_key' WHEN n_named = 1 THEN 'exact_name_or_alias'
+    WHEN name_clash THEN 'conflicting_identity_key' WHEN near IS NULL THEN 'no_compatible_candidate' WHEN mode = 'reference' AND score >= {review} THEN 'reference_similarity_requires_review'
+    WHEN score >= {merge} THEN 'semantic_high_band' WHEN score >= {review} THEN 'semantic_gray_band' ELSE 'semantic_low_band' END AS reason
+  FROM m LEFT JOIN g ON g.mention = m.vec_id
 )
+SELECT mention, reason, CASE WHEN reason IN ('strong_identity_key', 'exact_name_or_alias', 'semantic_high_band') THEN 'aligned'
+    WHEN reason IN ('ambiguous_exact_identity', 'conflicting_identity_key', 'reference_similarity_requires_review', 'semantic_gray_band') THEN 'review' ELSE 'separate' END AS outcome,
+  CASE reason WHEN 'strong_identity_key' THEN strong WHEN 'exact_name_or_alias' THEN name_id ELSE CASE WHEN reason LIKE 'semantic%' OR reason LIKE 'reference%' THEN near END END AS entity,
+  CASE WHEN reason IN ('strong_identity_key', 'exact_name_or_alias') THEN 1.0::DOUBLE WHEN reason LIKE 'semantic%' OR reason LIKE 'reference%' THEN round(score, 6) END AS score FROM r
+"""
+
+
+def _identities(spark, sf):
+    v = F.col("vec_id")
+    key = lambda name, met, value: F.when(met, F.struct(F.lit(name).alias("k"), value.cast("string").alias("v")))
+    pairs = F.filter(F.array(key("tax", v % 7 < 3, v % 173), key("reg", v % 11 < 3, v % 59)), lambda x: x.isNotNull())
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("vector"), (F.col("label") % 3).cast("string").alias("type"), F.floor(v % 4 / 2).cast("string").alias("scope"),
+        F.concat(F.lit("s"), (v % 5).cast("string")).alias("source"), F.concat(F.lit("name "), (v % 331).cast("string")).alias("name"),
+        F.when(v % 12 == 0, F.array(F.concat(F.lit("Name "), ((v + 1) % 331).cast("string")))).alias("aliases"), F.map_from_entries(pairs).alias("keys"),
+        F.when(F.col("label") % 3 == 1, "reference").otherwise("default").alias("mode"),
+    )
+    return rows.filter(v % 2 == 1).withColumnRenamed("vec_id", "mention"), rows.filter(v % 2 == 0).withColumnRenamed("vec_id", "id")
+
+
+#: Vectors of the tables are far apart, so the bands of the query are low.
+_REVIEW, _MERGE = 0.3, 0.4
+
+
+@query("three_stage_resolution", _RESOLVE_SQL.format(review=_REVIEW, merge=_MERGE))
 def three_stage_resolution(spark, sf):
-    part = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("key"), "p_size", (F.col("p_retailprice") / 2000).alias("score"))
-    scores = part.select(F.col("id").alias("mention"), "id", "score")
-    return resolve.three_stages(part.select(F.col("id").alias("mention"), "name", "key"), part.filter("p_size < 10").select("id", "name", "key"), scores)
+    return entity_resolution.resolve(*_identities(spark, sf), _REVIEW, _MERGE).withColumn("score", F.round("score", 6))
+
+
+@query(
+    "identity_conflicts",
+    """WITH RECURSIVE k AS (SELECT vec_id AS id, 'tax' AS scheme, vec_id % 173 AS value FROM embeddings WHERE vec_id % 7 < 3 UNION ALL SELECT vec_id, 'reg', vec_id % 59 FROM embeddings WHERE vec_id % 11 < 3),
+    f AS (SELECT scheme, value, min(id) AS f FROM k GROUP BY 1, 2), l AS (SELECT DISTINCT id AS a, f AS b FROM k JOIN f USING (scheme, value) WHERE id <> f), b AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+    w AS (SELECT a AS id, a AS root FROM b UNION SELECT b.b, w.root FROM w JOIN b ON b.a = w.id), c AS (SELECT id, min(root) AS component FROM w GROUP BY 1)
+    SELECT component, scheme, count(DISTINCT value) AS n_values FROM k JOIN c USING (id) GROUP BY 1, 2 HAVING count(DISTINCT value) > 1""",
+)
+def identity_conflicts(spark, sf):
+    mentions, entities = _identities(spark, sf)
+    return entity_resolution.key_conflicts(mentions.withColumnRenamed("mention", "id").select("id", "keys").union(entities.select("id", "keys")))
 
 
 @query("near_names")
@@ -162,9 +211,60 @@ def pattern_select(spark, sf):
     return out.orderBy("n", "r", "x").limit(1000)
 
 
-@query("pattern_ask", "SELECT true AS answer")
+@query(
+    "pattern_ask",
+    f"""WITH {model.RELATIONS_SQL} SELECT 'supplied part of a supplier in a nation' AS question, EXISTS (SELECT 1 FROM r a JOIN r b ON b.src = a.src WHERE a.type = 'supplies' AND b.type = 'located_in') AS answer
+    UNION ALL SELECT 'region in a nation', EXISTS (SELECT 1 FROM r a JOIN r b ON b.src = a.dst WHERE a.type = 'part_of' AND b.type = 'located_in')
+    UNION ALL SELECT 'supplier of part:0', EXISTS (SELECT 1 FROM r WHERE type = 'supplies' AND dst = 'part:0') UNION ALL SELECT 'supplier of part:-1', EXISTS (SELECT 1 FROM r WHERE type = 'supplies' AND dst = 'part:-1')""",
+)
 def pattern_ask(spark, sf):
-    return ontology.ask_pattern(_triples(spark, sf), [("?x", "supplies", "?p"), ("?x", "located_in", "?n")])
+    asked = {
+        "supplied part of a supplier in a nation": [("?x", "supplies", "?p"), ("?x", "located_in", "?n")], "region in a nation": [("?n", "part_of", "?r"), ("?r", "located_in", "?y")],
+        "supplier of part:0": [("?x", "supplies", "part:0")], "supplier of part:-1": [("?x", "supplies", "part:-1")],
+    }
+    out = None
+    for question, patterns in asked.items():
+        row = algebra.ask(algebra.conjunction(_triples(spark, sf), patterns)).select(F.lit(question).alias("question"), "answer")
+        out = row if out is None else out.union(row)
+    return out
+
+
+@query(
+    "pattern_optional",
+    f"""WITH {model.RELATIONS_SQL}, big AS (SELECT DISTINCT src, dst FROM r JOIN part ON dst = 'part:' || p_partkey WHERE type = 'supplies' AND p_name = 'small ring')
+    SELECT a.src AS x, a.dst AS n, big.dst AS p FROM r a LEFT JOIN big ON big.src = a.src WHERE a.type = 'located_in' AND a.src LIKE 'supplier:%'""",
+)
+def pattern_optional(spark, sf):
+    triples = _triples(spark, sf).union(model.entities(spark, sf).select("id", F.lit("label"), "text"))
+    suppliers = algebra.conjunction(triples, [("?x", "located_in", "?n"), ("?x", "rdf:type", "supplier")])
+    parts = algebra.conjunction(triples, [("?x", "supplies", "?p"), ("?p", "label", "small ring")]).distinct()
+    return algebra.optional(suppliers, parts)
+
+
+@query(
+    "pattern_either_without",
+    f"""WITH {model.RELATIONS_SQL}, u AS (SELECT src AS x, dst AS n, NULL AS r FROM r WHERE type = 'located_in' UNION ALL SELECT src, NULL, dst FROM r WHERE type = 'part_of')
+    SELECT x, n, r FROM u WHERE (n <> 'nation:3' OR r IS NOT NULL) AND x NOT IN (SELECT src FROM r WHERE type = 'supplies' AND dst LIKE 'part:%7')""",
+)
+def pattern_either_without(spark, sf):
+    triples = _triples(spark, sf)
+    both = algebra.either(algebra.match(triples, ("?x", "located_in", "?n")), algebra.match(triples, ("?x", "part_of", "?r")))
+    kept = algebra.keep(both, (F.col("n") != "nation:3") | F.col("r").isNotNull())
+    return algebra.without(kept, algebra.keep(algebra.match(triples, ("?x", "supplies", "?p")), F.col("p").endswith("7")))
+
+
+@query(
+    "property_paths",
+    f"""WITH RECURSIVE {model.RELATIONS_SQL}, step AS (SELECT DISTINCT src AS a, dst AS b FROM r WHERE type IN ('located_in', 'part_of')), back AS (SELECT DISTINCT dst AS a, src AS b FROM r WHERE type = 'part_of'),
+    up AS (SELECT a AS s, b AS o FROM step UNION SELECT up.s, step.b FROM up JOIN step ON step.a = up.o), around AS (SELECT a.a AS s, b.b AS o FROM (SELECT src AS a, dst AS b FROM r WHERE type = 'part_of') a JOIN back b ON b.a = a.b)
+    SELECT DISTINCT 'up' AS way, s, o FROM up UNION ALL SELECT DISTINCT 'neighbour', s, o FROM around""",
+)
+def property_paths(spark, sf):
+    triples = _triples(spark, sf)
+    up = algebra.path(triples, ["located_in", "part_of"])
+    # Nations of one region: up and down again.
+    out = algebra.path(triples, ["part_of"], most=1).withColumnRenamed("o", "r").join(algebra.path(triples, ["^part_of"], most=1).withColumnRenamed("s", "r"), "r")
+    return up.select(F.lit("up").alias("way"), "s", "o").union(out.select(F.lit("neighbour"), "s", "o").distinct())
 
 
 _CLASSES = [("agent", "thing"), ("supplier", "agent"), ("customer", "agent"), ("place", "thing"), ("nation", "place"), ("region", "place"), ("part", "thing")]
@@ -176,15 +276,44 @@ def entailed_types(spark, sf):
     return ontology.entailed_types(model.entities(spark, sf), spark.createDataFrame(_CLASSES, "child string, parent string"))
 
 
+#: An ontology from the tables: nations below regions below the world, nouns of parts below things, properties from nations to nouns.
+_ONTOLOGY_SQL = """
+noun AS (SELECT DISTINCT split_part(p_name, ' ', 2) AS t FROM part), cls AS (SELECT n_name AS t FROM nation UNION SELECT r_name FROM region UNION SELECT 'world' UNION SELECT 'thing' UNION SELECT t FROM noun),
+prop AS (SELECT 'exports ' || n_name AS p, n_name AS d, t AS r FROM nation, noun WHERE n_nationkey % 5 = length(t) % 5),
+trm AS (SELECT t, true AS c FROM cls UNION SELECT p, false FROM prop),
+sub AS (SELECT n_name AS child, r_name AS parent FROM nation JOIN region ON r_regionkey = n_regionkey UNION SELECT r_name, 'world' FROM region UNION SELECT t, 'thing' FROM noun UNION SELECT t, 'unlisted' FROM noun)
+"""
+
+
 @query(
     "ontology_slice",
-    """SELECT * FROM (VALUES ('supplier', 'lexical'), ('agent', 'ancestor'), ('thing', 'ancestor'), ('supplies', 'property'), ('part', 'lexical')) t(term, reason)""",
+    f"""WITH RECURSIVE {_ONTOLOGY_SQL}, q AS (SELECT c_custkey AS question, lower(CASE WHEN c_custkey % 7 = 0 THEN 'nothing' ELSE 'what ' || CASE WHEN c_custkey % 2 = 0 THEN n_name || ' sells' ELSE r_name END || ' and ' || p_name END) AS low
+      FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey JOIN part ON p_partkey = c_custkey % 20),
+    anc AS (SELECT child, parent FROM sub WHERE parent <> 'unlisted' UNION SELECT anc.child, sub.parent FROM anc JOIN sub ON sub.child = anc.parent WHERE sub.parent <> 'unlisted'),
+    lex AS (SELECT question, t, c FROM q JOIN trm ON contains(low, lower(t))),
+    taken AS (SELECT question, t, 'lexical' AS why FROM lex UNION SELECT question, parent, 'ancestor' FROM lex JOIN anc ON child = t WHERE c UNION SELECT question, child, 'child' FROM lex JOIN anc ON parent = t WHERE c),
+    sel AS (SELECT DISTINCT question, t FROM taken), used AS (SELECT DISTINCT question, p, d, r FROM sel JOIN prop ON t = p OR t = d OR t = r),
+    used_all AS (SELECT DISTINCT u.question, prop.p, prop.d, prop.r FROM (SELECT DISTINCT question, p FROM used) u JOIN prop USING (p)),
+    every AS (SELECT * FROM taken UNION SELECT question, p, 'property_contract' FROM used_all UNION SELECT question, d, 'property_domain' FROM used_all UNION SELECT question, r, 'property_range' FROM used_all
+      UNION SELECT question, 'world', 'configured_root' FROM q WHERE question NOT IN (SELECT question FROM sel))
+    SELECT question, t AS term, CASE WHEN bool_or(why = 'lexical') THEN lower(t) END AS surface, string_agg(why, ',' ORDER BY why) AS reasons FROM every GROUP BY question, t""",
 )
 def ontology_slice(spark, sf):
-    labels = sorted({x for pair in _CLASSES for x in pair})
-    classes = spark.createDataFrame([(x, x) for x in labels], "term string, label string")
-    contracts = spark.createDataFrame([("supplies", "supplier", "part"), ("in", "nation", "region")], "property string, domain string, range string")
-    return ontology.ontology_slice(classes, spark.createDataFrame(_CLASSES, "child string, parent string"), contracts, "Which Supplier delivers a part")
+    nation, region, part, customer = (table(spark, sf, t) for t in ("nation", "region", "part", "customer"))
+    noun = part.select(F.split_part("p_name", F.lit(" "), F.lit(2)).alias("t")).distinct()
+    classes = nation.select(F.col("n_name").alias("t")).union(region.select("r_name")).union(spark.sql("select explode(array('world', 'thing'))")).union(noun).distinct()
+    owns = nation.join(noun, F.col("n_nationkey") % 5 == F.length("t") % 5).select(F.concat(F.lit("exports "), "n_name").alias("property"), "n_name", "t")
+    contracts = owns.select("property", F.lit("domain").alias("end"), F.col("n_name").alias("class")).union(owns.select("property", F.lit("range"), "t")).distinct()
+    terms = classes.select(F.col("t").alias("term"), F.lit(True).alias("is_class")).union(owns.select("property", F.lit(False)).distinct())
+    of_region = F.col("n_regionkey") == F.col("r_regionkey")
+    subclasses = nation.join(region, of_region).select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).union(region.select("r_name", F.lit("world")))
+    subclasses = subclasses.union(noun.select("t", F.lit("thing"))).union(noun.select("t", F.lit("unlisted")))
+    who = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, of_region).join(part, F.col("c_custkey") % 20 == F.col("p_partkey"))
+    place = F.when(F.col("c_custkey") % 2 == 0, F.concat("n_name", F.lit(" sells"))).otherwise(F.col("r_name"))
+    text = F.when(F.col("c_custkey") % 7 == 0, "nothing").otherwise(F.concat(F.lit("What "), place, F.lit(" and "), "p_name"))
+    roots = spark.createDataFrame([("world",)], "term string")
+    out = slices.ontology_slices(who.select("c_custkey", text.alias("text")), "c_custkey", "text", terms, terms.select("term", F.col("term").alias("label")), subclasses, contracts, roots)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("topological_levels", "SELECT p_partkey AS node, length(bin(p_partkey)) - 1 AS level FROM part WHERE p_partkey > 0")
