@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from palimpsa.plans import catalogue, context, evidence, more, resolution, stores, streams  # noqa: F401
+from palimpsa.plans import catalogue, context, evidence, governed, more, resolution, stores, streams  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
 
