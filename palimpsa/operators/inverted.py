@@ -90,11 +90,22 @@ class _Shard:
     """The postings of some terms in a shard, with what they add to a score."""
 
     def __init__(self, table: pa.Table, average: float) -> None:
+        table = table.combine_chunks()
         terms = table.column("term").to_pylist()
-        pick = lambda name: table.column(name).combine_chunks()
-        self.ids = pick("ids")[terms.index(None)].values
+        one = lambda name: table.column(name).chunk(0)
+        self.ids = one("ids")[terms.index(None)].values
         self.n, self.average = len(self.ids), average
-        self.lists = {t: tuple(pick(c)[i].values.to_numpy() for c in ("docs", "counts", "lengths", "most", "least")) for i, t in enumerate(terms) if t is not None}
+        self.at = {t: i for i, t in enumerate(terms) if t is not None}
+        lists = {c: one(c) for c in ("docs", "counts", "lengths", "most", "least")}
+        self.offsets = {c: x.offsets.to_numpy() for c, x in lists.items()}
+        self.values = {c: x.values.to_numpy() for c, x in lists.items()}
+
+    def lists(self, term: str) -> tuple[np.ndarray, ...] | None:
+        """Documents, counts, lengths, and the bounds of the blocks of a term."""
+        i = self.at.get(term)
+        if i is None:
+            return None
+        return tuple(self.values[c][self.offsets[c][i] : self.offsets[c][i + 1]] for c in self.values)
 
     def share(self, counts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return counts * (K1 + 1) / (counts + K1 * (1 - B + B * lengths / self.average))
@@ -103,8 +114,8 @@ class _Shard:
         """Documents of the shard and scores of the k best."""
         own = []
         for term, idf in asked:
-            if term in self.lists:
-                docs, counts, lengths, most, least = self.lists[term]
+            if (found := self.lists(term)) is not None:
+                docs, counts, lengths, most, least = found
                 bounds = idf * self.share(most, least)
                 own.append((bounds.max(), idf, docs, counts, lengths, bounds))
         own.sort(key=lambda x: -x[0])
