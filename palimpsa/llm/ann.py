@@ -9,6 +9,7 @@
   distance ratio; a query reads the lists whose centroids are within a ratio of the
   nearest one's distance.
 * Lists longer than LIST_LIMIT are dealt over several tasks, queries with them.
+* ``exact`` leaves lists and pruning out: queries meet all vectors, in blocks of LIST_LIMIT.
 
 The sample only places the centroids: every vector is in the index.
 
@@ -16,6 +17,8 @@ Defined results: rows with a null id or a vector that is null, empty, zero, of
 another length than most, or with a null or non-finite component take no part;
 repeated rows count once; ties go to smaller ids; an empty table gives no rows;
 other columns are ignored.
+
+Past MAX_CLUSTERS lists grow with the table, and so does what a query reads; none of it is left out.
 """
 
 from __future__ import annotations
@@ -212,22 +215,31 @@ def search(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     max_clusters: int = MAX_CLUSTERS,
+    exact: bool = False,
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest other rows of the rows whose id is divisible by ``every``."""
+    """``query_id, rank, vec_id, score``: the k nearest other rows of the rows whose id is divisible by ``every``.
+
+    ``exact``: the true ones, for any size of table, at the cost of reading all of it for each query.
+    """
     spark = vectors.sparkSession
     rows = cut(valid_vectors(vectors, id_col, vector_col))
     entries = cut(entries_of(rows, k))
-    graph = build_graph(entries, max_clusters)
-    if graph is None:
+    graph = None if exact else build_graph(entries, max_clusters)
+    if graph is None and (not exact or entries.isEmpty()):
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    lists = cut(
-        entries.mapInPandas(_chosen(graph, REPLICAS, REPLICA_RATIO), "cluster long, v array<double>, ids array<long>")
-    )
+    one_list = F.lit(0).cast("long").alias("cluster")
+    if exact:
+        lists = entries.select(one_list, "v", "ids").toDF("cluster", "v", "ids")  # the queries have columns of the same table
+    else:
+        lists = cut(entries.mapInPandas(_chosen(graph, REPLICAS, REPLICA_RATIO), "cluster long, v array<double>, ids array<long>"))
     sizes = lists.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LIST_LIMIT).alias("parts"))
     # MAX_CLUSTERS bounds the rows of sizes.
     dealt = lists.join(F.broadcast(sizes), "cluster").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "v")
-    asked = asked.mapInPandas(_chosen(graph, PROBES, PROBE_RATIO, LEAST_PROBES), "cluster long, query_id long, v array<double>")
+    if exact:
+        asked = asked.select(one_list, "query_id", "v")
+    else:
+        asked = asked.mapInPandas(_chosen(graph, PROBES, PROBE_RATIO, LEAST_PROBES), "cluster long, query_id long, v array<double>")
     asked = asked.join(F.broadcast(sizes), "cluster").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     found = (
         dealt.select("cluster", "part", "v", "ids")

@@ -58,3 +58,19 @@ def test_odd_rows(spark, monkeypatch):
     assert ann.search(frame.limit(0)).count() == 0
     one = frame.filter("vec_id = 0").limit(1)
     assert ann.search(one).count() == 0
+
+
+def test_split_and_pruned_lists_and_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST_LIMIT", 15)  # every list is dealt over tasks
+    monkeypatch.setattr(ann, "PROBES", 64)  # of 178 lists
+    path = "/root/testdata/sf0.1/embeddings.parquet"
+    t = ds.dataset(path).to_table()
+    ids, x = t["vec_id"].to_numpy(), np.stack(t["embedding"].to_pylist()).astype(float)
+    expected = brute(ids, x)
+    for exact in (False, True):
+        found = {}
+        for r in sorted(ann.search(spark.read.parquet(path), exact=exact).collect(), key=lambda r: r["rank"]):
+            found.setdefault(r.query_id, []).append(r.vec_id)
+        hits = sum(len(set(found[q]) & {v for v, _ in e}) for q, e in expected.items())
+        assert hits / (10 * len(expected)) >= (1.0 if exact else 0.9)
+    assert ann.search(spark.read.parquet(path).limit(0), exact=True).count() == 0
