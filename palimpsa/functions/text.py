@@ -107,9 +107,14 @@ def nfc_term(names: Column) -> Column:
     return run(names)
 
 
+#: Forms of absolute IRIs that terms may have, and what none of them holds (fixed values).
+HTTP_IRI, URN_IRI = r"^[hH][tT][tT][pP][sS]?://[^/?#]+([/?#].*)?$", r"^[uU][rR][nN]:[A-Za-z0-9][A-Za-z0-9-]{0,30}[A-Za-z0-9]:.+$"
+NOT_IN_IRI = r"[\x00-\x20<>\"{}|\\^`]|#.*#|%([^0-9A-Fa-f]|$|[0-9A-Fa-f]([^0-9A-Fa-f]|$))"
+
+
 def is_iri(value: Column) -> Column:
-    """Absolute, with a scheme and without white space or the characters that an IRI never has."""
-    return value.rlike(r"^[a-z][a-z0-9+.-]*://[^\s<>\"{}|\\^`]+$")
+    """An absolute http, https or urn address with one fragment at most, whole escapes and no character that an IRI never has."""
+    return (value.rlike(HTTP_IRI) | value.rlike(URN_IRI)) & ~value.rlike(NOT_IN_IRI)
 
 
 def local_name(iri: Column) -> Column:

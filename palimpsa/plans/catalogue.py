@@ -415,16 +415,14 @@ _COS = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[]
 )
 def cosine_topk(spark, sf):
     rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    wanted = rows.filter("vec_id = 0").first()["embedding"]
-    out = ranking.top(ranking.cosine_rank(rows, "embedding", list(wanted)), "score", "vec_id", 20)
+    out = ranking.top(ranking.cosine_to(rows, "embedding", rows.filter("vec_id = 0"), "embedding"), "score", "vec_id", 20)
     return out.select("vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("cosine_min_score", f"SELECT vec_id, label FROM embeddings WHERE {_COS} >= 0.2")
 def cosine_min_score(spark, sf):
     rows = table(spark, sf, "embeddings")
-    wanted = rows.filter("vec_id = 0").first()["embedding"]
-    return ranking.cosine_rank(rows, "embedding", list(wanted), 0.2).select("vec_id", "label")
+    return ranking.cosine_to(rows, "embedding", rows.filter("vec_id = 0"), "embedding").filter("score >= 0.2").select("vec_id", "label")
 
 
 @query(

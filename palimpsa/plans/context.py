@@ -18,9 +18,9 @@ def reference_scan(spark, sf):
     return context.reference_scan(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", "p_partkey", "old wid")
 
 
-@query("document_chunks", f"SELECT doc_id, i::INTEGER AS ordinal, i * 1600 AS start FROM documents, {_WINDOWS} WHERE lang = 'de'")
+@query("document_chunks", f"SELECT doc_id, i::INTEGER AS ordinal, i * 1600 AS start FROM documents, {_WINDOWS} WHERE source IS NOT NULL")
 def document_chunks(spark, sf):
-    live = table(spark, sf, "documents").filter("lang = 'de'")
+    live = table(spark, sf, "documents").filter("source is not null")
     return documents.fixed_chunks(live, "doc_id", "text").select("doc_id", "ordinal", F.col("start").cast("long").alias("start"))
 
 
@@ -204,14 +204,23 @@ def linked_record_keys(spark, sf):
     return rows.select(F.explode(F.array("src", "dst", "edge")).alias("key")).distinct()
 
 
-@query("nfc_terms", "SELECT doc_id, nfc_normalize(trim(regexp_replace(left(text, 200), '\\s+', ' ', 'g'))) AS term FROM documents")
+@query("nfc_terms", "SELECT doc_id, nfc_normalize(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS term FROM documents")
 def nfc_terms(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.nfc_term(F.left("text", F.lit(200))).alias("term"))
+    return table(spark, sf, "documents").select("doc_id", text.nfc_term(F.col("text")).alias("term"))
 
 
-@query("local_names", "SELECT page_id, regexp_matches(url, '^[a-z][a-z0-9+.-]*://[^\\s<>\"{}|\\\\^`]+$') AS valid, regexp_extract(url, '([^/#?]*)(?:[?][^/#]*)?$', 1) AS local_name FROM pages")
+_IRI = f"(regexp_matches(iri, '{text.HTTP_IRI}') OR regexp_matches(iri, '{text.URN_IRI}')) AND NOT regexp_matches(iri, '{text.NOT_IN_IRI}')"
+
+
+@query(
+    "local_names",
+    f"""WITH u AS (SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 'urn:page:' || page_id WHEN 1 THEN url WHEN 2 THEN url || '#a#b' ELSE 'mailto:' || url END AS iri FROM pages)
+    SELECT page_id, {_IRI} AS valid, regexp_extract(url, '([^/#?]*)(?:[?][^/#]*)?$', 1) AS local_name FROM u""",
+)
 def local_names(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.is_iri(F.col("url")).alias("valid"), text.local_name(F.col("url")).alias("local_name"))
+    url, k = F.col("url"), F.col("page_id") % 4
+    iri = F.when(k == 0, F.concat(F.lit("urn:page:"), F.col("page_id").cast("string"))).when(k == 1, url).when(k == 2, F.concat(url, F.lit("#a#b"))).otherwise(F.concat(F.lit("mailto:"), url))
+    return table(spark, sf, "pages").select("page_id", text.is_iri(iri).alias("valid"), text.local_name(url).alias("local_name"))
 
 
 @query("epoch_parts", "SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts)::BIGINT AS us FROM events")
