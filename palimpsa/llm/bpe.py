@@ -6,7 +6,8 @@ merges; ranks are taken in order and a merge updates only the two pairs it touch
 
 Defined results: null texts are empty and have no ids; bytes that are not UTF-8
 are read as U+FFFD; texts of any length are encoded whole, in one block if they
-are longer than a block; repeated rows, null ids and empty tables pass through.
+are longer than a block; repeated rows, null ids and empty tables pass through; other
+columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ queue runs dry; then a new phase begins with the weights of the remaining ones.
 
 Defined results: null texts are empty (they hold the end id alone); null sources
 have no weight and share a queue; null ids come first in a queue of one source; repeated rows are packed repeatedly;
-an empty table gives no pieces; other columns are ignored.
+an empty table gives no pieces; other columns, of any name, are ignored. Texts of any length
+are encoded whole; their tokens go to as many sequences as they need.
 """
 
 from __future__ import annotations

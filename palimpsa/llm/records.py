@@ -9,7 +9,8 @@ what commits a file: one that a lost or repeated task left behind is in no index
 
 Defined results: null texts are empty (they hold the end id alone), null ids
 come first, repeated rows are written repeatedly, an empty table has no files,
-and other columns are ignored.
+and other columns, of any name, are ignored. Texts of any length are encoded whole into
+one record each.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ Hamming distance is verified. Two block layouts exist:
 Defined results: a null or empty text, or one without words, has fingerprint
 zero and is linked like any other. Rows with a null id get a fingerprint and
 the component of equal fingerprints but never name a component. Repeated rows
-are kept. An empty table gives an empty result. Other columns are ignored.
+are kept. An empty table gives an empty result. Other columns, of any name, are
+ignored. All shingles of a text of any length count; a task holds one text's hashes.
 """
 
 from __future__ import annotations

@@ -71,6 +71,17 @@ def test_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_very_long_text_and_clashing_columns(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(3000)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:150_000])), (3, " ".join([*words, "end"])), (4, "short")]
+    docs = spark.createDataFrame([(*r, 5, 6, 7) for r in rows], "doc_id long, text string, component_id long, node long, text_hash long")
+    found = {r.doc_id: (r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    fps = {i: brute_fingerprint(t) for i, t in rows}
+    expected = brute_components(fps)
+    assert found == {i: (fps[i], expected[i]) for i in fps} and found[3][1] == 1
+
+
 @pytest.mark.parametrize("limit", [4096, 2])
 def test_wide_fingerprints_find_near_copies(spark, monkeypatch, limit):
     monkeypatch.setattr(simhash, "BUCKET_LIMIT", limit)
