@@ -8,7 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions import applicability, cursors, filters
-from .operators import aggregates, context, graph, identity, ontology, qualify, ranking, resolve, versions
+from .operators import aggregates, context, graph, identity, inverted, ontology, qualify, ranking, resolve, versions
+
+
+def _version_id() -> Column:
+    return F.concat_ws("#", "id", "version")
 
 
 @dataclass(frozen=True)
@@ -60,9 +64,21 @@ class Engine:
         rows = self.qualified(scope).withColumn("score", ranking.lexical_score(F.col("text"), query))
         return ranking.top(rows.filter("score > 0"), "score", "id", k)
 
-    def keyword(self, scope: Scope, query: str, k: int = 10) -> DataFrame:
-        """BM25 over the best text of each record: ``id, score, rank``, scores above zero only."""
+    def index_texts(self, path: str) -> DataFrame:
+        """Stores an inverted index of all versions' texts, for ``keyword`` and ``hybrid``; it stays right for any scope."""
+        inverted.build(self.records.select(_version_id().alias("version_id"), "text"), "version_id", "text", path)
+        return self.records.sparkSession.read.parquet(path)
+
+    def keyword(self, scope: Scope, query: str, k: int = 10, index: DataFrame | None = None) -> DataFrame:
+        """BM25 over the best text of each record: ``id, score, rank``, scores above zero only.
+
+        With an ``index`` no text is read; only versions in scope are ranked, by how rare terms are in the index.
+        """
         asked = self.records.sparkSession.createDataFrame([(0, query)], "query int, query_text string")
+        if index is not None:
+            live = self.qualified(scope).select(_version_id().alias("version_id"), F.col("id").alias("record"))
+            found = inverted.search(index, asked, "query", "query_text", k, live).join(live.withColumnRenamed("version_id", "id"), "id")
+            return ranking.top(found.groupBy(F.col("record").alias("id")).agg(F.max("score").alias("score")), "score", "id", k)
         scored = ranking.bm25(self.qualified(scope), "id", "text", asked, "query", "query_text").filter("score > 0")
         return ranking.top(scored.groupBy("id").agg(F.max("score").alias("score")), "score", "id", k)
 
@@ -74,14 +90,22 @@ class Engine:
         return ranking.top(hits, "score", "id", k)
 
     def hybrid(
-        self, scope: Scope, query: str, vectors: DataFrame, vector: list[float], k: int = 10, types: tuple[str, ...] = (), constant: int = 60
+        self,
+        scope: Scope,
+        query: str,
+        vectors: DataFrame,
+        vector: list[float],
+        k: int = 10,
+        types: tuple[str, ...] = (),
+        constant: int = 60,
+        index: DataFrame | None = None,
     ) -> DataFrame:
         """Fused ranking of the keyword and semantic channels, each to a depth of min(1000, max(50, 5 k)), with the records.
 
         With ``types``, entities of these types are a third channel, in the order of their ids.
         """
         depth = min(1000, max(50, 5 * k))
-        channels = [("keyword", self.keyword(scope, query, depth)), ("semantic", self.semantic(scope, vectors, vector, depth))]
+        channels = [("keyword", self.keyword(scope, query, depth, index)), ("semantic", self.semantic(scope, vectors, vector, depth))]
         if types:
             own = self.qualified(scope).filter(F.col("kind") == "entity").filter(F.col("type").isin(*types)).withColumn("score", F.lit(0.0))
             channels.append(("type", ranking.top(own.select("id", "score").distinct(), "score", "id", depth)))

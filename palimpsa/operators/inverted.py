@@ -95,6 +95,8 @@ class _Shard:
         one = lambda name: table.column(name).chunk(0)
         self.ids = one("ids")[terms.index(None)].values
         self.n, self.average = len(self.ids), average
+        open_ = one("open")[terms.index(None)].values if "open" in table.column_names else None
+        self.open = None if open_ is None else open_.to_numpy(zero_copy_only=False)
         self.at = {t: i for i, t in enumerate(terms) if t is not None}
         lists = {c: one(c) for c in ("docs", "counts", "lengths", "most", "least")}
         self.offsets = {c: x.offsets.to_numpy() for c, x in lists.items()}
@@ -121,13 +123,14 @@ class _Shard:
         own.sort(key=lambda x: -x[0])
         rest = np.append(np.cumsum([x[0] for x in own][::-1])[::-1], 0.0)  # what this term and later ones add at most
         score, reached, i = np.zeros(self.n), -1.0, 0
+        seen = lambda: score if self.open is None else np.where(self.open, score, -1.0)
         while i < len(own) and rest[i] + SLACK >= reached:
             _, idf, docs, counts, lengths, _ = own[i]
             score[docs] += idf * self.share(counts, lengths)
             if self.n > k:
-                reached = np.partition(score, self.n - k)[self.n - k]
+                reached = np.partition(seen(), self.n - k)[self.n - k]
             i += 1
-        left = np.flatnonzero((score > 0) & (score + rest[i] + SLACK >= reached))
+        left = np.flatnonzero((seen() > 0) & (score + rest[i] + SLACK >= reached))
         if i < len(own):
             places = [np.searchsorted(x[2], left) for x in own[i:]]
             bound = score[left].copy()
@@ -144,10 +147,20 @@ class _Shard:
         return left[order], score[left[order]]
 
 
-def search(index: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int) -> DataFrame:
+def _marked(docs: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Rows of shards' documents with ``open``: which of them are allowed."""
+    each = docs.select("shard", F.posexplode("ids").alias("at", "id"))
+    known = allowed.select(F.col(allowed.columns[0]).alias("id")).distinct().withColumn("there", F.lit(True))
+    marks = each.join(known, "id", "left").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("there", F.lit(False)).alias("there")))).alias("m"))
+    return docs.join(marks.select("shard", F.transform("m", lambda x: x["there"]).alias("open")), "shard")
+
+
+def search(index: DataFrame, queries: DataFrame, query_id: str, query_text: str, k: int, allowed: DataFrame | None = None) -> DataFrame:
     """``query_id, id, score``: of each query the k best documents by BM25 that share a term with it.
 
     ``index`` is what ``build`` wrote. Ties (in the first nine digits) go to the smaller id.
+    ``allowed`` (ids in its first column) leaves others out before the best are taken; how
+    rare a term is stays that of the whole index.
     """
     about = index.filter("term is null").select(F.inline(F.arrays_zip("ids", "lengths")))
     n, average = about.agg(F.count(F.lit(1)), F.avg("lengths")).first()
@@ -166,7 +179,11 @@ def search(index: DataFrame, queries: DataFrame, query_id: str, query_text: str,
     own = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("part"))
     weighed = asked.join(found, "term").select("query_id", "term", "part", idf.alias("idf")).join(own, "part")
     weighed = weighed.toDF(*[f"q_{c}" for c in weighed.columns])  # both sides have columns of one table
-    docs = index.filter("term is null").join(own, "shard").select(*lists.columns)
+    docs = index.filter("term is null")
+    if allowed is not None:
+        docs = _marked(docs, allowed)
+        lists = lists.withColumn("open", F.lit(None).cast("array<boolean>"))
+    docs = docs.join(own, "shard").select(*lists.columns)
     out_schema = pa.schema([("query_id", _arrow_type(asked, "query_id")), ("id", _arrow_type(index.select(F.get("ids", F.lit(0)).alias("id")), "id")), ("score", pa.float64())])
 
     def answer(left: pa.Table, right: pa.Table) -> pa.Table:

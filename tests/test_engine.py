@@ -49,13 +49,18 @@ def test_reads(engine, spark):
         engine.page(Scope(kinds=("entity",)), 2, cursor)
 
 
-def test_rankings(engine, spark):
+def test_rankings(engine, spark, tmp_path):
     vectors = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("b", 1, [0.0, 1.0]), ("b", 2, [0.6, 0.8]), ("c", 1, [0.0, -1.0])], "id string, version int, vector array<double>")
     assert [r.id for r in engine.keyword(Scope(), "two").collect()] == ["b"]
     # The old version of b is nearer, and out of scope; c is below the least score.
     found = [(r.id, round(r.score, 3)) for r in engine.semantic(Scope(), vectors, [0.0, 1.0]).collect()]
     assert found == [("b", 0.8)]
     assert [(r.id, r.score) for r in engine.semantic(Scope(known_at="2024-01-15"), vectors, [0.0, 1.0]).collect()] == [("b", 1.0)]
+    index = engine.index_texts(str(tmp_path / "index"))
+    assert [r.id for r in engine.keyword(Scope(), "two", index=index).collect()] == ["b"]
+    assert [r.id for r in engine.keyword(Scope(), "zzz", index=index).collect()] == []
+    with_index = engine.hybrid(Scope(), "beta", vectors, [1.0, 0.0], 3, index=index).collect()
+    assert [r.id for r in with_index] == [r.id for r in engine.hybrid(Scope(), "beta", vectors, [1.0, 0.0], 3).collect()]
     rows = engine.hybrid(Scope(), "beta", vectors, [1.0, 0.0], 3).collect()
     assert {r.id for r in rows} == {"a", "b", "c"} and rows[0].backends == 2 and all(r.text for r in rows)
     typed = engine.hybrid(Scope(), "two", vectors, [1.0, 0.0], 5, types=("T",)).collect()

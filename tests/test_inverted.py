@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from palimpsa.operators import inverted, ranking
 
 
-def brute(docs, queries, k):
+def brute(docs, queries, k, allowed=None):
     split = {i: re.findall(r"[^\W]+", (t or "").lower()) for i, t in docs}
     n, average = len(split), sum(map(len, split.values())) / len(split)
     counts = {i: Counter(t) for i, t in split.items()}
@@ -18,6 +18,8 @@ def brute(docs, queries, k):
     for q, text in queries:
         scores = {}
         for i, c in counts.items():
+            if allowed is not None and i not in allowed:
+                continue
             s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(split[i]) / average)) for t in set(re.findall(r"[^\W]+", (text or "").lower())) if t in c)
             if s:
                 scores[i] = s
@@ -53,6 +55,12 @@ def test_equals_scoring_all(spark, tmp_path, monkeypatch, shard, group, block):
     for x in top.orderBy("query_id", "rank").collect():
         got.setdefault(x.query_id, []).append((x.id, round(x.score, 6)))
     assert got == brute(docs, queries, 10)
+    allowed = {i for i, _ in docs if i % 4 == 0 or i < 0}
+    some = inverted.search(index, spark.createDataFrame(queries, "q int, t string"), "q", "t", 10, spark.createDataFrame([(i,) for i in [*allowed, 10**9]], "d long"))
+    got = {}
+    for x in ranking.top(some.withColumn("s", F.round("score", 9)), "s", "id", 10, ["query_id"]).orderBy("query_id", "rank").collect():
+        got.setdefault(x.query_id, []).append((x.id, round(x.score, 6)))
+    assert got == brute(docs, queries, 10, allowed)
 
 
 def test_few_blocks_are_read(spark, tmp_path):
