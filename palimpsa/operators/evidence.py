@@ -135,3 +135,26 @@ def answer_validity(reads: DataFrame, records: DataFrame, found: DataFrame) -> D
     usage = F.when(F.col("status") == "effective", "effective_basis").otherwise("reference")
     allowed = F.when(F.col("status") == "effective", F.col("n_effective")).when(F.col("status") == "unknown", F.col("n_effective") + F.col("n_unknown")).otherwise(F.col("n"))
     return rows.select("read", "record", "status", usage.alias("usage"), allowed.cast("long").alias("n_allowed"))
+
+
+def conflict_reads(reads: DataFrame, sets: DataFrame, members: DataFrame, events: DataFrame, assertions: DataFrame, documents: DataFrame) -> DataFrame:
+    """``read, set, members, supports, active_supports``: the conflicts that were open when each read was made.
+
+    ``reads``: read, entity, known_at; ``sets``: set, entity, created_at, resolved_at;
+    ``members``: set, record, assertion; ``events``: assertion, decision_version,
+    created_at, to_status; ``assertions``: assertion, document; ``documents``:
+    document, version, recorded_at, superseded_at, deleted. A conflict is open from its
+    making until it is resolved. A support is active if its assertion's last decision by
+    then is ``contradicting`` and its source, if it has one, was there and in force.
+    """
+    known = reads.join(sets.select("set", "entity", "created_at", "resolved_at"), "entity")
+    open_then = (F.col("created_at") <= F.col("known_at")) & F.coalesce(F.col("resolved_at") > F.col("known_at"), F.lit(True))
+    rows = known.filter(open_then).select("read", "set", "known_at").join(members.select("set", "record", "assertion").distinct(), "set")
+    decided = as_of_join(rows, events.select("assertion", "decision_version", "created_at", "to_status"), ["assertion"], "known_at", "created_at", ["decision_version"])
+    decided = decided.withColumn("contradicting", F.coalesce(F.col("found.to_status") == "contradicting", F.lit(False))).drop("found")
+    sourced = decided.join(assertions.select("assertion", "document"), "assertion", "left")
+    versions = documents.select("document", "version", "recorded_at", "superseded_at", "deleted")
+    judged = as_of_join(sourced, versions, ["document"], "known_at", "recorded_at", ["version"])
+    there = F.col("found").isNotNull() & ~F.coalesce(F.col("found.deleted"), F.lit(False)) & F.coalesce(F.col("found.superseded_at") > F.col("known_at"), F.lit(True))
+    active = F.col("contradicting") & (F.col("document").isNull() | there)
+    return judged.groupBy("read", "set").agg(F.count_distinct("record").alias("members"), F.count(F.lit(1)).alias("supports"), F.count_if(active).alias("active_supports"))

@@ -114,3 +114,41 @@ def answer_validity(spark, sf):
     start = F.when(key % 7 != 0, F.lit("1995-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((key % 1500).cast("int")))
     records = table(spark, sf, "customer").select(key.alias("record"), start.alias("valid_from"), F.when(key % 3 == 0, F.lit("1999-01-01 00:00:00").cast("timestamp_ntz")).alias("valid_until"))
     return evidence.answer_validity(reads, records, evidence.occurrences(reads, *rest))
+
+
+@query(
+    "conflict_reads",
+    f"""{_SQL}, parts AS (
+      SELECT l_partkey AS set, min(l_shipdate) + INTERVAL 400 DAY AS created_at FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 20 GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1
+    ), sets AS (
+      SELECT *, CASE WHEN set % 3 = 0 THEN created_at + INTERVAL 500 DAY END AS resolved_at, TIMESTAMP '1996-06-01' + to_days((set * 13 % 1500)::INTEGER) AS known_at FROM parts
+    ), members AS (
+      SELECT DISTINCT l_partkey AS set, l_returnflag AS record, l_orderkey AS assertion FROM lineitem WHERE l_partkey IN (SELECT set FROM sets)
+    ), asked2 AS (
+      SELECT s.set, s.known_at, m.record, m.assertion FROM sets s JOIN members m USING (set) WHERE created_at <= known_at AND (resolved_at IS NULL OR resolved_at > known_at)
+    ), decided AS (
+      SELECT a.*, coalesce(d.to_status = 'accepted', false) AS contradicting FROM asked2 a ASOF LEFT JOIN running s ON s.assertion_id = a.assertion AND a.known_at >= s.created_at
+      LEFT JOIN d ON d.assertion_id = s.assertion_id AND d.decision_version = s.last_version
+    ), sourced AS (
+      SELECT x.*, CASE WHEN o_orderkey % 11 <> 0 THEN o_custkey END AS document FROM decided x JOIN orders ON o_orderkey = assertion
+    ), judged2 AS (
+      SELECT x.*, g.version IS NOT NULL AND NOT g.deleted AND coalesce(g.superseded_at > x.known_at, true) AS there FROM sourced x
+      ASOF LEFT JOIN lasting l ON l.document = x.document AND x.known_at >= l.recorded_at LEFT JOIN docs g ON g.document = l.document AND g.version = l.version
+    )
+    SELECT set AS read, set, count(DISTINCT record) AS members, count(*) AS supports, count(*) FILTER (contradicting AND (document IS NULL OR there)) AS active_supports FROM judged2 GROUP BY set""",
+)
+def conflict_reads(spark, sf):
+    lines = table(spark, sf, "lineitem").join(table(spark, sf, "part").filter("p_size > 20").select(F.col("p_partkey").alias("l_partkey")), "l_partkey")
+    own = lines.groupBy(F.col("l_partkey").alias("set")).agg(F.min("l_shipdate").cast("timestamp_ntz").alias("first"), F.count_distinct("l_returnflag").alias("n")).filter("n > 1")
+    later = lambda c, days: F.col(c) + F.make_dt_interval(F.lit(days))
+    sets = own.select("set", F.col("set").alias("entity"), later("first", 400).alias("created_at"))
+    sets = sets.withColumn("resolved_at", F.when(F.col("set") % 3 == 0, later("created_at", 500)))
+    at = F.lit("1996-06-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval((F.col("set") * 13 % 1500).cast("int"))
+    reads = own.select(F.col("set").alias("read"), F.col("set").alias("entity"), at.alias("known_at"))
+    members = lines.select(F.col("l_partkey").alias("set"), F.col("l_returnflag").alias("record"), F.col("l_orderkey").alias("assertion"))
+    events = model.decisions(spark, sf).select(
+        F.col("assertion_id").alias("assertion"), "decision_version", F.col("created_at").cast("timestamp_ntz").alias("created_at"), F.when(F.col("to_status") == "accepted", "contradicting").otherwise("rejected").alias("to_status")
+    )
+    key = F.col("o_orderkey")
+    assertions = table(spark, sf, "orders").select(key.alias("assertion"), F.when(key % 11 != 0, F.col("o_custkey")).alias("document"))
+    return evidence.conflict_reads(reads, sets, members, events, assertions, _inputs(spark, sf)[-1])

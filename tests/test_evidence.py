@@ -62,3 +62,15 @@ def test_visible(spark):
     at = F.lit(day(5)).cast("timestamp_ntz")
     assert {r.i for r in rows.filter(evidence.visible(at)).collect()} == {1, 5}
     assert {r.i for r in rows.filter(evidence.visible(at, source_artifact=True)).collect()} == {1, 2, 5}
+
+
+def test_conflicts_as_of(spark):
+    _, _, _, _, documents = frames(spark)
+    sets = spark.createDataFrame([("s", "e", day(3), day(20)), ("old", "e", day(1), day(2))], "set string, entity string, created_at timestamp_ntz, resolved_at timestamp_ntz")
+    members = spark.createDataFrame([("s", "r1", 1), ("s", "r1", 2), ("s", "r2", 3), ("s", "r2", 3)], "set string, record string, assertion int")
+    events = spark.createDataFrame([(1, 1, day(1), "contradicting"), (1, 2, day(9), "rejected"), (2, 1, day(1), "contradicting"), (3, 1, day(6), "contradicting")], "assertion int, decision_version int, created_at timestamp_ntz, to_status string")
+    assertions = spark.createDataFrame([(1, "d"), (2, None), (3, "gone")], "assertion int, document string")
+    reads = spark.createDataFrame([(n, "e", day(n)) for n in (1, 4, 7, 12, 25)], "read int, entity string, known_at timestamp_ntz")
+    got = {r.read: (r.set, r.members, r.supports, r.active_supports) for r in evidence.conflict_reads(reads, sets, members, events, assertions, documents).collect()}
+    # Conflicts without members are not listed; the deleted document makes its support inactive.
+    assert got == {4: ("s", 2, 3, 2), 7: ("s", 2, 3, 2), 12: ("s", 2, 3, 1)}
