@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import bigrams
+from .numbering import placed
 
 
 def reference_scan(rows: DataFrame, text: str, order: str, needle: str, limit: int = 1001) -> DataFrame:
@@ -111,9 +112,9 @@ def quality_gate(boxes: DataFrame, key: str, score: str, text: str, least_mean:
 def numbered(log: DataFrame, project: str, order: list[str], last: DataFrame | None = None) -> DataFrame:
     """New changes with the next sequence numbers of their project, without gaps.
 
-    Numbers continue after ``last`` (project, seq); a window holds the changes of one append.
+    Numbers continue after ``last`` (project, seq). A project's changes are spread over tasks.
     """
-    out = log.withColumn("n", F.row_number().over(W.partitionBy(project).orderBy(*order)))
+    out = placed(log, project, order, "n")
     if last is None:
         return out.withColumnRenamed("n", "seq")
     out = out.join(last.select(project, F.col("seq").alias("before")), project, "left")

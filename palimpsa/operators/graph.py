@@ -18,7 +18,9 @@ def stored_steps(edges: DataFrame, direction: str = "both") -> DataFrame:
     backward = F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))
     ways = {"forward": [forward], "backward": [backward], "both": [forward, backward]}[direction]
     folder = scratch_dir(edges.sparkSession, "steps")
-    edges.select("edge", F.explode(F.array(*ways)).alias("s")).select("edge", "s.a", "s.b").write.parquet(folder)
+    # Dealt by edge, every file has its share, whatever the edges were read from and however many one node has.
+    dealt = edges.select("edge", "src", "dst").repartition("edge")
+    dealt.select("edge", F.explode(F.array(*ways)).alias("s")).select("edge", "s.a", "s.b").write.parquet(folder)
     return edges.sparkSession.read.parquet(folder)
 
 

@@ -8,15 +8,15 @@ and whose sink is keyed by batch, so a repeated batch writes the same files.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.numbering import placed
+
 
 def contiguous(events: DataFrame, project: str, seq: str, applied: int = 0) -> DataFrame:
     """Events up to the first gap after ``applied``, in each project."""
-    own = W.partitionBy(project).orderBy(seq)
-    rest = events.filter(F.col(seq) > applied).withColumn("place", F.row_number().over(own))
+    rest = placed(events.filter(F.col(seq) > applied), project, [seq])
     return rest.filter(F.col(seq) == F.col("place") + applied).drop("place")
 
 
