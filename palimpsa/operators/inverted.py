@@ -72,8 +72,10 @@ def build(docs: DataFrame, id_col: str, text_col: str, path: str) -> None:
     """Writes the index of whole texts; ids are unique. Null texts have no terms but count as documents."""
     kind = dict(docs.dtypes)[id_col]
     shards = shard_count(docs.sparkSession, docs.count())
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(tokens(F.col(text_col)), F.array().cast("array<string>")).alias("terms"))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Texts are dealt once, before they become terms; with more partitions than shards few hold two of them.
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(4 * shards, "shard")
+    rows = rows.select("id", F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("terms"), "shard")
     ids = pa.list_(_arrow_type(rows, "id"))
     ints = pa.list_(pa.int32())
     schema = pa.schema([("shard", pa.int32()), ("term", pa.string()), ("ids", ids), ("docs", ints), ("counts", ints), ("lengths", ints), ("most", ints), ("least", ints)])
