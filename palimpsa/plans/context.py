@@ -392,7 +392,7 @@ def dictionary_matches(spark, sf):
     SELECT g, "left", "right" FROM p WHERE i / (80000 - i) >= 0.6 OR i / 40000 >= 0.9""",
 )
 def box_duplicates(spark, sf):
-    x, y = F.round(F.col("o_totalprice") / 100).cast("int"), F.month("o_orderdate") * 10
+    x, y = F.rint(F.col("o_totalprice") / 100).cast("int"), F.month("o_orderdate") * 10
     boxes = table(spark, sf, "orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("id"), x.alias("x0"), (x + 400).alias("x1"), y.alias("y0"), (y + 100).alias("y1"))
     return governance.box_duplicates(boxes, ["g"])
 
@@ -510,8 +510,8 @@ def stable_chunk_ids(spark, sf):
 )
 def focused_locations(spark, sf):
     a = F.lit(10)
-    locations = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), a.alias("start"), (a + F.round(F.col("o_totalprice") / 1000).cast("int")).alias("stop"))
-    q = F.round(F.col("l_quantity") * 4).cast("int")
+    locations = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), a.alias("start"), (a + F.rint(F.col("o_totalprice") / 1000).cast("int")).alias("stop"))
+    q = F.rint(F.col("l_quantity") * 4).cast("int")
     return context.focused(locations, table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k"), q.alias("start"), (q + 20).alias("stop")), "k")
 
 
