@@ -1,8 +1,8 @@
 """Streams by event time: windows and sessions with late rows kept apart, and sequences without gaps.
 
-State is a map with an entry for each open window, session or waiting event, so a
-batch reads and writes only the entries it touches, and timers remove them when the
-watermark has passed. Rows that come after their window was closed are not lost: they
+Open windows are a map with an entry each, the few open sessions of a key one value, and
+waiting events runs of some thousands, so a batch calls its state as few times as it
+can. Timers remove what the watermark has passed. Rows that come after their window was closed are not lost: they
 are passed on as ``late``.
 """
 
@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "kind string, key string, start timestamp, stop timestamp, n long, total double"
@@ -28,6 +29,21 @@ def _long(*names: str) -> StructType:
 
 _SUMS = StructType([StructField("stop", LongType()), StructField("n", LongType()), StructField("total", DoubleType())])
 
+_SESSION_TYPES = (np.int64, np.int64, np.int64, np.float64)
+
+
+def _arrays(*names: str, kind=None) -> list[StructField]:
+    return [StructField(n, ArrayType(kind or LongType())) for n in names]
+
+
+_SESSIONS = StructType([*_arrays("start", "stop", "n"), *_arrays("total", kind=DoubleType())])
+_INDEX = StructType([*_long("after", "number").fields, *_arrays("runs", "firsts")])
+_RUN = StructType([*_arrays("seq", "came"), *_arrays("payload", kind=StringType())])
+
+
+def _sums(kind: str, key: str | None, start: np.ndarray, stop: np.ndarray, n: np.ndarray, total: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"kind": kind, "key": key, "start": start.astype("datetime64[us]"), "stop": stop.astype("datetime64[us]"), "n": n, "total": total})
+
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=_COLUMNS)
@@ -86,73 +102,113 @@ class Windows(StatefulProcessor):
         pass
 
 
-class Sessions(Windows):
-    """Counts and sums of rows that follow one another within ``gap`` (microseconds); a session ends a gap after its last row."""
+class Sessions(StatefulProcessor):
+    """Counts and sums of rows that follow one another within ``gap`` (microseconds); a session ends a gap after its last row.
+
+    Most keys have few sessions open, so a key's are one value, and it has one timer, of the first to end.
+    """
 
     def __init__(self, gap: int) -> None:
-        super().__init__(gap, gap)
+        self.gap = gap
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", _SESSIONS)
+
+    def held(self) -> list[np.ndarray]:
+        found = self.open.get() or ([], [], [], [])
+        return [np.array(c, t) for c, t in zip(found, _SESSION_TYPES, strict=True)]
+
+    def keep(self, sessions: list[np.ndarray]) -> None:
+        if len(sessions[0]):
+            self.open.update(tuple(c.tolist() for c in sessions))
+            self.handle.registerTimer(int(-(-sessions[1].min() // 1000)))
+        else:
+            self.open.clear()
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        gap, late, fresh = self.length, [], []
+        sessions = self.held()
         for pdf in rows:
-            for at, value in zip(pdf["at"], pdf["value"], strict=True):
-                if at + gap <= passed:
-                    late.append(("late", key[0], int(at), int(at) + gap, 1, value))
-                else:
-                    fresh.append((int(at), int(at) + gap, 1, value))
-        if fresh:
-            held = [(s, *v) for (s,), v in self.open.iterator()]
-            known = {s: v for s, *v in held}
-            merged: list[list] = []
-            for start, stop, n, total in sorted([*held, *fresh]):
-                # A row that comes exactly when a session ends begins another.
-                if merged and start < merged[-1][1]:
-                    last = merged[-1]
-                    last[1], last[2], last[3] = max(last[1], stop), last[2] + n, last[3] + total
-                else:
-                    merged.append([start, stop, n, total])
-            for s in known.keys() - {m[0] for m in merged}:
-                self.open.removeKey((s,))
-            for start, stop, n, total in merged:
-                if start not in known or tuple(known[start]) != (stop, n, total):
-                    self.open.updateValue((start,), (stop, n, total))
-                    self.handle.registerTimer(-(-stop // 1000))
-        if late:
-            yield _frame(late)
+            at, value = pdf["at"].to_numpy(np.int64), pdf["value"].to_numpy(np.float64)
+            fresh = at + self.gap > passed
+            if not fresh.all():
+                yield _sums("late", key[0], at[~fresh], at[~fresh] + self.gap, np.ones((~fresh).sum(), np.int64), value[~fresh])
+            new = (at[fresh], at[fresh] + self.gap, np.ones(fresh.sum(), np.int64), value[fresh])
+            sessions = self.merged([np.concatenate(c) for c in zip(sessions, new, strict=True)])
+        self.keep(sessions)
+
+    @staticmethod
+    def merged(sessions: list[np.ndarray]) -> list[np.ndarray]:
+        order = np.argsort(sessions[0], kind="stable")
+        start, stop, n, total = (c[order] for c in sessions)
+        if not len(start):
+            return [start, stop, n, total]
+        reach = np.maximum.accumulate(stop)
+        # A row that comes exactly when a session ends begins another.
+        first = np.flatnonzero(np.concatenate([[True], start[1:] >= reach[:-1]]))
+        return [start[first], reach[np.append(first[1:], len(start)) - 1], np.add.reduceat(n, first), np.add.reduceat(total, first)]
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        sessions = self.held()
+        done = sessions[1] <= timerValues.getCurrentWatermarkInMs() * 1000
+        self.keep([c[~done] for c in sessions])
+        if done.any():
+            yield _sums("window", key[0], *(c[done] for c in sessions))
+
+    def close(self) -> None:
+        pass
 
 
 class Gate(StatefulProcessor):
-    """Events in gap-free order; what follows a gap waits in a map until it is filled."""
+    """Events in gap-free order; what follows a gap waits until it is filled.
+
+    Events wait in runs, sorted by number. A run is read when its first number is
+    reached; what still waits is written as new runs. ``came`` says which of repeated events is the last.
+    """
+
+    RUN = 4096
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.after = handle.getValueState("after", _long("seq"))
-        self.waiting = handle.getMapState("waiting", _long("seq"), StructType([StructField("payload", StringType())]))
+        self.index = handle.getValueState("index", _INDEX)
+        self.waiting = handle.getMapState("waiting", _long("run"), _RUN)
+
+    @staticmethod
+    def newest(seq: np.ndarray, came: np.ndarray, payload: np.ndarray, after: int) -> tuple[np.ndarray, ...]:
+        """Events behind ``after`` in order, the last that came of each number."""
+        order = np.lexsort((came, seq))
+        order = order[seq[order] > after]
+        last = np.append(seq[order][1:] != seq[order][:-1], True) if len(order) else np.zeros(0, bool)
+        return tuple(c[order[last]] for c in (seq, came, payload))
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        after = self.after.get()[0] if self.after.exists() else 0
-        came: dict[int, str] = {}
+        after, number, runs, firsts = self.index.get() or (0, 0, [], [])
+        index = dict(zip(runs, firsts, strict=True))
         for pdf in rows:
-            came |= {int(n): p for n, p in zip(pdf["seq"], pdf["payload"], strict=True) if n > after}
-        out = []
-        while True:
-            n = after + 1
-            if n in came:
-                payload = came.pop(n)
-                if self.waiting.containsKey((n,)):
-                    self.waiting.removeKey((n,))
-            elif self.waiting.containsKey((n,)):
-                payload = self.waiting.getValue((n,))[0]
-                self.waiting.removeKey((n,))
-            else:
-                break
-            out.append((key[0], n, payload))
-            after = n
-        for n, payload in came.items():
-            self.waiting.updateValue((n,), (payload,))
-        if out:
-            self.after.update((after,))
-            yield pd.DataFrame(out, columns=["project", "seq", "payload"])
+            number += 1
+            seq = pdf["seq"].to_numpy(np.int64)
+            held = self.newest(seq, np.full(len(seq), number), pdf["payload"].to_numpy(object), after)
+            while True:
+                gaps = np.flatnonzero(held[0] != after + 1 + np.arange(len(held[0])))
+                ready = int(gaps[0]) if len(gaps) else len(held[0])
+                due = [r for r, first in index.items() if first <= after + ready + 1]
+                if not due:
+                    break
+                for r in due:
+                    old = self.waiting.getValue((r,))
+                    self.waiting.removeKey((r,))
+                    del index[r]
+                    more = (np.array(old[0], np.int64), np.array(old[1], np.int64), np.array(old[2], object))
+                    held = tuple(np.concatenate(c) for c in zip(held, more, strict=True))
+                held = self.newest(*held, after)
+            if ready:
+                yield pd.DataFrame({"project": key[0], "seq": held[0][:ready], "payload": held[2][:ready]})
+                after += ready
+            for i in range(ready, len(held[0]), self.RUN):
+                number += 1
+                index[number] = int(held[0][i])
+                self.waiting.updateValue((number,), tuple(c[i : i + self.RUN].tolist() for c in held))
+        self.index.update((after, number, list(index), list(index.values())))
 
     def close(self) -> None:
         pass
@@ -185,7 +241,7 @@ def sessions(stream: DataFrame, key: str, at: str, value: str, delay: str, gap_s
 
 def gated(stream: DataFrame, project: str, seq: str, payload: str) -> DataFrame:
     """A stream's events in gap-free order of each project, ``project, seq, payload``; repeated ones are dropped."""
-    rows = stream.select(F.col(project).cast("string").alias("project"), F.col(seq).cast("long").alias("seq"), F.col(payload).cast("string").alias("payload"))
+    rows = stream.select(F.col(project).cast("string").alias("project"), F.col(seq).cast("long").alias("seq"), F.col(payload).cast("string").alias("payload")).filter("seq is not null")
     return _stateful(rows, "project", Gate(), "project string, seq long, payload string", "None")
 
 

@@ -79,3 +79,20 @@ def test_gate_holds_back(spark, tmp_path):
     eventtime.run_to_end(lambda s: eventtime.gated(s, "project", "n", "v"), stream, f"{tmp_path}/out", f"{tmp_path}/cp")
     got = sorted((r.project, r.seq, r.payload) for r in spark.read.parquet(f"{tmp_path}/out").collect())
     assert got == [("p", 1, "a"), ("p", 2, "b"), ("p", 3, "again"), ("p", 4, "d"), ("q", 1, "w"), ("q", 2, "x")]
+
+
+def test_state_is_called_a_few_times(spark, tmp_path):
+    """Sessions of a key are one value with one timer, and waiting events are runs, not an entry each."""
+    batches = [[(w, start(k * 1000), 1.0) for k in range(300) for w in "ab"], [("a", start(900_000), 0.0)], [("b", start(900_001), 0.0)]]
+    found, states = streamed(spark, tmp_path, batches, lambda s: eventtime.sessions(s, "who", "at", "v", "5000 seconds", 60))
+    assert sum(r.n for r in found) == 600 and len(found) == 600 and max(states) <= 3 * 4
+    schema = "project string, n long, v string"
+    n = list(range(2, 9001))
+    random.Random(2).shuffle(n)
+    for i, rows in enumerate([[("p", k, str(k)) for k in n[:5000]], [("p", k, str(k)) for k in n[5000:]], [("p", 1, "1")]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/gate/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/gate")
+    query = eventtime.gated(stream, "project", "n", "v").writeStream.format("parquet").option("path", f"{tmp_path}/g").option("checkpointLocation", f"{tmp_path}/gcp").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert max(s.numRowsTotal for p in query.recentProgress for s in p.stateOperators) < 20
+    assert sorted((r.seq, r.payload) for r in spark.read.parquet(f"{tmp_path}/g").collect()) == [(k, str(k)) for k in range(1, 9001)]
