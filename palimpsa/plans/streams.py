@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.numbering import placed
 from ..operators.recovery import scratch_dir
 from ..streaming import eventtime, outbox
 from .catalogue import query
@@ -74,10 +74,10 @@ def sliding_windows(spark, sf):
 def gated_stream(spark, sf):
     # Numbers are given first, as a stream can not; gaps then hold back what follows them.
     folder = scratch_dir(spark, "stream-numbered")
-    seq = F.row_number().over(W.partitionBy("event_type").orderBy("event_id"))
-    rows = table(spark, sf, "events").select("event_type", seq.cast("long").alias("seq"), F.col("event_id").cast("string").alias("event_id"))
+    rows = placed(table(spark, sf, "events").select("event_type", "event_id"), "event_type", ["event_id"], "seq")
+    rows = rows.select("event_type", F.col("seq").cast("long").alias("seq"), F.col("event_id").cast("string").alias("event_id"))
     rows = rows.filter(~((F.col("seq") > 500) & (F.col("seq") % 97 == 0)))
     rows.write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxBytesPerTrigger", 64 << 20).parquet(f"{folder}/in")
     eventtime.run_to_end(lambda s: eventtime.gated(s, "event_type", "seq", "event_id"), stream, f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
