@@ -11,9 +11,11 @@ which sums to one over all texts. Training is Baum-Welch: each round, tasks run
 forward-backward over whole training texts and return expected counts, which Spark
 sums across partitions. Long texts are computed in spans side by side: the exact
 forward and backward vectors at their edges come from each span's transfer matrix.
-The first model comes from a bounded sample, only to break the symmetry of the
-states; the rounds cover all training texts, also where the sample is empty. Scores
-use the scaled forward recursion over whole texts, which is the exact likelihood.
+The first round is stepwise: all training texts are dealt into parts by a hash, and
+the model is maximised after each part, so that it learns from all of them and moves
+from its symmetric start as often as there are parts. The other rounds sum all parts
+before a step. Scores use the scaled forward recursion over whole texts, which is
+the exact likelihood.
 
 Word counts are a table, never held by one process; only the HEAD most frequent
 words are. The rare words of a text meet the table in a join.
@@ -46,10 +48,8 @@ STATES = 8
 OWN, SHARED = 3000, 256
 #: Most frequent words whose counts every worker holds.
 HEAD = 60_000
-#: Full rounds of Baum-Welch, and rounds on the sample that starts them.
-ROUNDS, SAMPLE_ROUNDS = 3, 12
-SAMPLE_ROWS = 1500
-SAMPLE_BYTES = 8 << 20
+#: Full rounds of Baum-Welch, and parts of the stepwise round before them; a step forgets by its number to this power.
+ROUNDS, PARTS, FORGETS = 3, 12, 0.7
 #: Steps of a text that are computed one after the other in training; its spans run side by side.
 SPAN = 512
 END = b""
@@ -268,9 +268,7 @@ def _counts_batch(held: Counter) -> pa.RecordBatch:
     )
 
 
-def train_model(
-    train: DataFrame, vocabulary: list[bytes], symbol_counts: np.ndarray, n_texts: int, rounds: int = ROUNDS
-) -> Model:
+def train_model(train: DataFrame, vocabulary: list[bytes], symbol_counts: np.ndarray, rounds: int = ROUNDS) -> Model:
     """Baum-Welch over all texts of ``train``; their symbols are kept in the shared folder for the rounds."""
     model = fresh_model(symbol_counts)
     spark = train.sparkSession
@@ -284,18 +282,13 @@ def train_model(
             yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(coded, pa.binary())], names=["mark", "symbols"])
 
     coded = cut(train.mapInArrow(encode, "mark long, symbols binary"))
-    # Texts for the start by a hash of theirs: some SAMPLE_ROWS and SAMPLE_BYTES together, none longer than that.
-    size = coded.agg(F.sum(F.octet_length("symbols"))).first()[0] or 0
-    share = min(1.0, SAMPLE_ROWS / max(n_texts, 1), SAMPLE_BYTES / max(size, 1))
-    some = coded.filter((F.col("mark") < int(share * (1 << 30))) & (F.octet_length("symbols") <= SAMPLE_BYTES))
-    seqs = [np.frombuffer(r["symbols"], "<u2") for r in some.select("symbols").toLocalIterator()]
-    for _ in range(SAMPLE_ROUNDS if seqs else 0):
-        model = maximise(*expected_counts(model, seqs)[:3], symbol_counts)
     n_states, n_symbols = model.emits.shape[1], model.emits.shape[0]
-    for _ in range(rounds):
-        current = model
+    names = [f"s{k}" for k in range(n_states)]
+
+    def summed(part: DataFrame, current: Model) -> np.ndarray:
+        """Expected counts over texts: symbols, moves, starts and the likelihood, a row each."""
 
-        def run(batches: Iterable[pa.RecordBatch], current: Model = current) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             claim("hmm")
             sums = None
             for _, texts in blocks(batches, 1 << 20):
@@ -304,18 +297,25 @@ def train_model(
             if sums is not None:
                 rows = np.concatenate([sums[2], sums[1], sums[0][None, :], np.full((1, n_states), sums[3])])
                 used = np.flatnonzero(rows.any(axis=1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(used, pa.int64()), *[pa.array(rows[used, k]) for k in range(n_states)]],
-                    names=["row", *[f"s{k}" for k in range(n_states)]],
-                )
-
-        names = [f"s{k}" for k in range(n_states)]
-        counts = coded.mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names))
-        found = counts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect()  # symbols + states + 2 rows
-        rows = np.zeros((n_symbols + n_states + 2, n_states))
-        for r in found:
-            rows[r["row"]] = [r[n] for n in names]
-        model = maximise(rows[-2], rows[n_symbols : n_symbols + n_states], rows[:n_symbols], symbol_counts)
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *[pa.array(rows[used, k]) for k in range(n_states)]], names=["row", *names])
+
+        counts = part.mapInArrow(run, "row long, " + ", ".join(f"{n} double" for n in names))
+        out = np.zeros((n_symbols + n_states + 2, n_states))
+        for r in counts.groupBy("row").agg(*[F.sum(n).alias(n) for n in names]).collect():  # symbols + states + 2 rows
+            out[r["row"]] = [r[n] for n in names]
+        return out
+
+    step = lambda x: maximise(x[-2], x[n_symbols : n_symbols + n_states], x[:n_symbols], symbol_counts)
+    n_tokens, held = symbol_counts.sum(), None
+    for i in range(PARTS):
+        part = summed(coded.filter(F.col("mark") % PARTS == i), model)
+        if seen := part[:n_symbols].sum():
+            part *= n_tokens / seen  # as if all texts were like those of the part
+            share = 1.0 if held is None else (i + 1) ** -FORGETS
+            held = part if held is None else (1 - share) * held + share * part
+            model = step(held)
+    for _ in range(rounds):
+        model = step(summed(coded, model))
     return model
 
 
@@ -378,7 +378,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             tokens[shared_symbol(w)] -= c
             kinds[shared_symbol(w)] -= 1
     symbol_counts = np.concatenate([head_counts[: voc.own], tokens]).astype(float)
-    model = train_model(train, head, symbol_counts, int(head_counts[0]))
+    model = train_model(train, head, symbol_counts)
     mass = np.log10(tokens + 0.5 * (kinds + 1))  # of the words that share a symbol
     base_mass = float(np.log10(n_train + 0.5 * (v_train + 1)))
     log_head = np.concatenate([np.log10(head_counts + 0.5), np.zeros(SHARED)])

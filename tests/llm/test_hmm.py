@@ -156,3 +156,13 @@ def test_the_end_is_counted_when_its_size_class_does_not_fit(spark, monkeypatch)
     for r in hmm.scores(docs).collect():
         assert r.n_known == r.n_tokens == 7
         assert r.base_score == pytest.approx(7 * math.log10((trained + 0.5) / (n + 0.5 * (v + 1))))
+
+
+def test_the_start_learns_from_all_texts(spark):
+    n = 2500
+    words = [b"w%d" % i for i in range(n)]
+    train = spark.createDataFrame([(i, bytearray(b" ".join([w] * 10))) for i, w in enumerate(words)], "doc_id long, text binary")
+    counts = np.concatenate([[n], np.full(n, 10), np.zeros(hmm.SHARED)]).astype(float)
+    model = hmm.train_model(train, [b"", *words], counts, rounds=0)
+    mass = model.emits[1 : n + 1].sum(axis=1)
+    assert mass.min() > 0.02 * mass.max()  # a word that no step has seen has the share of the prior, some thousandths
