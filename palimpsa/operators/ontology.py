@@ -52,19 +52,20 @@ def topological(links: DataFrame, before: str, after: str) -> DataFrame:
     """``node, level``: the length of the longest chain that leads to each node; nodes on or behind cycles have none.
 
     Rounds remove what has no open predecessor; there are as many as the longest chain.
+    Sides are merged, not broadcast: every round would send one through the driver.
     """
     edges = cut(links.select(F.col(before).alias("a"), F.col(after).alias("b")).filter("a is not null and b is not null").distinct())
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     done, level, left = None, 0, edges
     open_nodes = cut(nodes)
     while True:
-        ready = cut(open_nodes.join(left.select(F.col("b").alias("node")).distinct(), "node", "left_anti"))
+        ready = cut(open_nodes.join(left.select(F.col("b").alias("node")).distinct().hint("merge"), "node", "left_anti"))
         if not ready.limit(1).count():
             break
         part = ready.select("node", F.lit(level).alias("level"))
         done = part if done is None else done.union(part)
-        open_nodes = cut(open_nodes.join(ready, "node", "left_anti"))
-        left = cut(left.join(ready.withColumnRenamed("node", "a"), "a", "left_anti"))
+        open_nodes = cut(open_nodes.join(ready.hint("merge"), "node", "left_anti"))
+        left = cut(left.join(ready.withColumnRenamed("node", "a").hint("merge"), "a", "left_anti"))
         level += 1
     rest = open_nodes.select("node", F.lit(None).cast("int").alias("level"))
     return rest if done is None else done.union(rest)
