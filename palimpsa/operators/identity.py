@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.temporal import overlaps
+from .recovery import dealt
 
 
 def duplicate_groups(entities: DataFrame, keys: list[str], id_col: str, blocked_above: int = 20) -> DataFrame:
@@ -41,7 +42,7 @@ def held_values(rows: DataFrame, owner: list[str], value: str, start: str, end:
     ends (-1) counts them, so the work grows with the intervals, not their pairs.
     Rows without a start, and empty intervals, hold nowhere; without an end they hold on.
     """
-    i = rows.select(*owner, F.col(value).alias("v"), F.col(start).alias("s"), F.col(end).alias("t"))
+    i = dealt(rows.select(*owner, F.col(value).alias("v"), F.col(start).alias("s"), F.col(end).alias("t")), *owner)
     points = i.select(*owner, F.col("s").alias("at"))
     if ends_too:
         points = points.union(i.select(*owner, F.col("t").alias("at")))
