@@ -24,6 +24,10 @@ _LINE = r"(?m)^[ \t]*(?:\*\*|__)?"
 MARKDOWN_HEADING = re.compile(r"(?m)^[ \t]*#{1,6}[ \t]+")
 ARTICLE = re.compile(rf"{_LINE}(?:第[{_NUMERALS}\d]+[章节条]|[{_NUMERALS}]+[、．.])")
 POINT = re.compile(rf"{_LINE}(?:[（(][{_NUMERALS}\d]+[）)]|\d+[、．.]\s*)")
+#: Characters of chunks that a task holds before it passes them on.
+OUTPUT = 2 << 20
+
+
 def fixed_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800, overlap: int = 200) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(windows(F.col(text_col), size, overlap)).alias("c")).select(
         id_col, "c.ordinal", "c.start", "c.stop", F.col("c.text").alias("chunk")
@@ -61,21 +65,34 @@ def cut_points(text: str, size: int, overlap: int, strategy: str) -> list[tuple[
     return out
 
 
+def chunked(batches: Iterator[pa.RecordBatch], strategy: str, size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """``id, ordinal, start, stop, chunk`` of ``id, text``; one text at a time is a string, and chunks leave at OUTPUT characters."""
+    names, types = ["id", "ordinal", "start", "stop", "chunk"], (pa.int32(), pa.int32(), pa.int32(), pa.string())
+
+    def made(ids: pa.Array, rows: list[int], spans: list[tuple]) -> pa.RecordBatch:
+        columns = map(pa.array, zip(*spans, strict=True), types)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *columns], names=names)
+
+    for batch in batches:
+        rows, spans, held = [], [], 0
+        for row, text in enumerate(batch.column(1)):
+            text = text.as_py() or ""
+            for n, (a, b) in enumerate(cut_points(text, size, overlap, strategy)):
+                rows.append(row)
+                spans.append((n, a, b, text[a:b]))
+                held += b - a
+                if held >= OUTPUT:
+                    yield made(batch.column(0), rows, spans)
+                    rows, spans, held = [], [], 0
+        if rows:
+            yield made(batch.column(0), rows, spans)
+
+
 def chunks(docs: DataFrame, id_col: str, text_col: str, strategy: str, size: int = 1800, overlap: int = 200) -> DataFrame:
     """Chunks by ``paragraph`` or ``structural`` boundaries."""
     kind = dict(docs.dtypes)[id_col]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (i, n, a, b, text[a:b])
-                for i, text in zip(pdf["id"], pdf["text"], strict=True)
-                for n, (a, b) in enumerate(cut_points(text or "", size, overlap, strategy))
-            ]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "start", "stop", "chunk"])
-
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(
-        run, f"id {kind}, ordinal int, start int, stop int, chunk string"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        lambda batches: chunked(batches, strategy, size, overlap), f"id {kind}, ordinal int, start int, stop int, chunk string"
     )
 
 
