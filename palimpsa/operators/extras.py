@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import windows
 from .identity import held_values
+from .recovery import dealt
 
 
 def search_projection(docs: DataFrame, id_col: str, text_col: str, size: int = 6000, overlap: int = 400) -> DataFrame:
@@ -35,9 +36,11 @@ def lifecycle(rows: DataFrame, key: str, sets: list[tuple[str, DataFrame]], othe
 
 def evidence_recall(gold: DataFrame, found: DataFrame, question: str, item: str) -> DataFrame:
     """Mean over questions of the share of gold items found."""
-    a = gold.select(question, item).distinct()
-    b = found.select(question, item).distinct().withColumn("hit", F.lit(1))
-    each = a.join(b, [question, item], "left").groupBy(question).agg((F.count("hit") / F.count(F.lit(1))).alias("r"))
+    wanted = gold.select(question, item, F.lit(True).alias("gold"))
+    met = found.select(question, item, F.lit(False).alias("gold")).filter(F.col(question).isNotNull() & F.col(item).isNotNull())
+    # One dealing by question serves both groupings; nothing is joined.
+    items = dealt(wanted.unionByName(met), question).groupBy(question, item).agg(F.bool_or("gold").alias("gold"), F.bool_or(~F.col("gold")).alias("hit"))
+    each = items.filter("gold").groupBy(question).agg((F.count_if("hit") / F.count(F.lit(1))).alias("r"))
     return each.agg(F.round(F.avg("r"), 6).alias("recall"))
 
 
