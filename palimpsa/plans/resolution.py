@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import algebra, entity_resolution, identity, ontology, resolve, slices
+from ..operators.recovery import dealt
 from . import model
 from .catalogue import query
 from .model import table
@@ -119,7 +120,8 @@ def merge_inputs(spark, sf):
     SELECT DISTINCT l_orderkey, 'platforms=' || x || ';businesses=' || y AS context FROM s, unnest(p) t(x), unnest(coalesce(b, ['*'])) u(y)""",
 )
 def applicability_contexts(spark, sf):
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("p"), F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_linestatus"))).alias("b"))
+    lines = dealt(table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity", "l_linestatus"), "l_orderkey")
+    rows = lines.groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("p"), F.collect_set(F.when(F.col("l_quantity") > 25, F.col("l_linestatus"))).alias("b"))
     return resolve.contexts(rows, "l_orderkey", {"platforms": "p", "businesses": "b"})
 
 
