@@ -34,14 +34,14 @@ def as_of_join(
     both = asked.withColumn("r", none.cast(given.schema["r"].dataType)).unionByName(given.withColumn("l", none.cast(asked.schema["l"].dataType)))
     slot = F.date_trunc(slices, F.col("t")).cast("timestamp_ntz") if slices else F.lit(None).cast("timestamp_ntz")
     both = both.withColumn("slot", slot)
-    so_far = F.max("r").over(W.partitionBy("k", "slot").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = both.withColumn("found", so_far).filter("side = 1").select("k", "t", "slot", "l", "found")
     if slices:
+        # What a key's earlier slices end with comes in front of each slice as a row of its own, so ``left`` is dealt once.
         ends = both.groupBy("k", "slot").agg(F.max("r").alias("last"))
         before = F.max("last").over(W.partitionBy("k").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
-        ends = ends.select(F.col("k").alias("k2"), F.col("slot").alias("slot2"), before.alias("before")).filter("before is not null")
-        rows = rows.join(ends, (F.col("k") == F.col("k2")) & F.col("slot").eqNullSafe(F.col("slot2")), "left")
-        rows = rows.withColumn("found", F.greatest("found", "before"))
+        handed = ends.select("k", "slot", F.col("slot").alias("t"), before.alias("r")).filter("r is not null")
+        both = both.unionByName(handed.withColumns({"side": F.lit(-1), "l": none.cast(asked.schema["l"].dataType)}))
+    so_far = F.max("r").over(W.partitionBy("k", "slot").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = both.withColumn("found", so_far).filter("side = 1").select("k", "t", "l", "found")
     known = F.col("t").isNotNull()
     for k in key:
         known = known & F.col(f"k.{k}").isNotNull()
