@@ -181,7 +181,7 @@ def markdown_blocks(text: str) -> list[tuple[str, int, int, str, str]]:
             fence = not fence
         elif fence:
             held.append(line)
-        elif m := re.match(r"(#{1,6})\s+(.*\S)", line):
+        elif line.startswith("#") and (m := re.match(r"(#{1,6})\s+(.*\S)", line)):
             flush(n - 1)
             while path and path[-1][0] >= len(m[1]):
                 path.pop()
@@ -217,7 +217,8 @@ def table_parts(lines: list[str], size: int) -> tuple[str, list[tuple[int, int,
     A table over ``size`` is cut between rows, and every part repeats the header;
     offsets are those of the part's own rows. A row longer than ``size`` stays whole.
     """
-    cells = [" | ".join(c.strip() for c in re.split(r"(?<!\\)\|", x.strip().removeprefix("|").removesuffix("|"))) for x in lines]
+    split = lambda x: re.split(r"(?<!\\)\|", x) if "\\" in x else x.split("|")
+    cells = [" | ".join(c.strip() for c in split(x.strip().removeprefix("|").removesuffix("|"))) for x in lines]
     header, rows = cells[0], cells[1:]
     if rows and re.fullmatch(r"[\s|:-]+", lines[1]):
         rows = rows[1:]
@@ -270,19 +271,26 @@ def block_chunks(docs: DataFrame, id_col: str, text_col: str, size: int = 1800,
     Null and empty texts have no chunks.
     """
     kind = dict(docs.dtypes)[id_col]
+    names = ["id", "ordinal", "kind", "start", "stop", "first_row", "row_stop", "path", "chunk"]
+    types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
+
+    def made(ids: pa.Array, rows: list[int], parts: list[tuple]) -> pa.RecordBatch:
+        columns = map(pa.array, zip(*parts, strict=True), types)
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            parts = [block_parts(t or "", size, overlap) for t in batch.column(1).to_pylist()]
-            flat = [(n, *x) for own in parts for n, x in enumerate(own)]
-            rows = pa.array([i for i, own in enumerate(parts) for _ in own], pa.int64())
-            columns = list(zip(*flat, strict=True)) if flat else [[]] * 8
-            types = (pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string())
-            made = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(rows), *made], names=["id", "ordinal", "kind", "start", "stop", "first_row", "row_stop", "path", "chunk"]
-            )
+            rows, parts, held = [], [], 0
+            for row, text in enumerate(batch.column(1)):
+                for n, part in enumerate(block_parts(text.as_py() or "", size, overlap)):
+                    rows.append(row)
+                    parts.append((n, *part))
+                    held += len(part[-1])
+                    if held >= OUTPUT:
+                        yield made(batch.column(0), rows, parts)
+                        rows, parts, held = [], [], 0
+            if rows:
+                yield made(batch.column(0), rows, parts)
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, f"id {kind}, ordinal int, kind string, start int, stop int, first_row int, row_stop int, path string, chunk string"

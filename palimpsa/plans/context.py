@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal, text
 from ..operators import context, dates, documents, extras, governance, graph, patterns, qualify, ranking
+from ..operators.recovery import dealt
 from . import model
 from .catalogue import KNOWN, VALID, instant, query
 from .model import table
@@ -448,7 +449,8 @@ def document_dates(spark, sf):
 @query("markdown_blocks", "SELECT p_partkey AS id, 0 AS ordinal, 'heading' AS kind, p_brand AS path, p_brand AS text FROM part UNION ALL SELECT p_partkey, 1, 'paragraph', p_brand, p_name FROM part UNION ALL SELECT p_partkey, 2, 'table', p_brand, '|a|' || chr(10) || '|-|' FROM part")
 def markdown_blocks(spark, sf):
     body = F.concat(F.lit("# "), "p_brand", F.lit("\n\n"), "p_name", F.lit("\n\n|a|\n|-|\n"))
-    return documents.marked_blocks(table(spark, sf, "part").withColumn("body", body), "p_partkey", "body").select("id", "ordinal", "kind", "path", "text")
+    parts = dealt(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name"), "p_partkey")
+    return documents.marked_blocks(parts.withColumn("body", body), "p_partkey", "body").select("id", "ordinal", "kind", "path", "text")
 
 
 _BLOCK_CHUNKS = """
@@ -467,7 +469,9 @@ def block_chunks(spark, sf):
     row = lambda i: F.concat(F.lit("|"), F.lpad(i.cast("string"), 2, "0"), F.lit("|"), F.lpad(F.col("p_partkey").cast("string"), 8, "0"), F.lit("|"))
     lines = F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size")), row), "\n")
     body = F.concat(F.lit("# "), "p_brand", F.lit("\n\n"), "p_name", F.lit("\n\n|ln|part|\n|-|-|\n"), lines)
-    rows = documents.block_chunks(table(spark, sf, "part").withColumn("body", body), "p_partkey", "body", 120, 20)
+    # Files are split by their bytes, and a part's bytes are few beside its text: parts are dealt before texts are made.
+    parts = dealt(table(spark, sf, "part").select("p_partkey", "p_brand", "p_name", "p_size"), "p_partkey")
+    rows = documents.block_chunks(parts.withColumn("body", body), "p_partkey", "body", 120, 20)
     return rows.select("id", "ordinal", "kind", "start", "path", "chunk")
 
 

@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from palimpsa.operators import documents, evidence, extras, identity, ontology, shapes
-from palimpsa.plans import catalogue, resolution  # noqa: F401
+from palimpsa.plans import catalogue, context, resolution  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
 
@@ -64,3 +64,8 @@ def test_chunks_leave_before_a_batch_is_done(monkeypatch, strategy):
     parts = list(documents.chunked(iter([batch]), strategy, 300, 30))
     assert len(parts) > 5 and all(sum(map(len, p.column(4).to_pylist())) < 1300 for p in parts)
     assert pa.Table.from_batches(parts).to_pylist() == whole
+
+
+@pytest.mark.parametrize("name", ["block_chunks", "markdown_blocks"])
+def test_parts_are_dealt_before_texts_are_made(spark, name):
+    assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, PATH))
