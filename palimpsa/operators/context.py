@@ -74,8 +74,12 @@ def with_parents(chunks: DataFrame, documents: DataFrame, key: str) -> DataFrame
 
 
 def labelled(rows: DataFrame, labels: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """Adds the label (one per id) of each id column; ids without one keep a null."""
-    one = labels.groupBy("id").agg(F.min("text").alias("label"))
+    """Adds the label (one per id) of each id column; ids without one keep a null.
+
+    Labels have no bound, so they are merged and never broadcast; rows then leave a join in order of its ids, and
+    equal labels, which lie together, are packed well on their way to the next one.
+    """
+    one = labels.groupBy("id").agg(F.min("text").alias("label")).hint("merge")
     for column, name in pairs.items():
         rows = rows.join(one.select(F.col("id").alias(column), F.col("label").alias(name)), column, "left")
     return rows

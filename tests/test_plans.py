@@ -69,3 +69,8 @@ def test_chunks_leave_before_a_batch_is_done(monkeypatch, strategy):
 @pytest.mark.parametrize("name", ["block_chunks", "markdown_blocks"])
 def test_parts_are_dealt_before_texts_are_made(spark, name):
     assert "REPARTITION_BY_NUM" in plan(catalogue.QUERIES[name](spark, PATH))
+
+
+def test_labels_are_not_broadcast(spark):
+    out = catalogue.QUERIES["label_lookups"](spark, PATH)
+    assert "Broadcast" not in plan(out) and "SortMergeJoin" in plan(out)
