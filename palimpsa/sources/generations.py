@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
@@ -30,6 +31,8 @@ from ..shipping import importable
 
 BUCKET = "_bucket"
 POINTERS = "pointers"
+#: Rows of a row group; batches that arrive are smaller.
+GROUP = 1 << 17
 
 
 def _fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -49,7 +52,13 @@ class _Writer(DataSourceArrowWriter):
         """Rows come in order of their bucket; each has one file of this attempt."""
         fs, folder = _fs(self.folder)
         fs.create_dir(folder, recursive=True)
-        files, at, out = [], None, None
+        files, at, out, held = [], None, None, []
+
+        def flush() -> None:
+            if held:
+                out.write_table(pa.Table.from_batches(held), row_group_size=GROUP)
+                held.clear()
+
         for batch in iterator:
             buckets = batch.column(batch.schema.get_field_index(BUCKET)).to_numpy(zero_copy_only=False)
             rows = batch.drop_columns([BUCKET])
@@ -59,14 +68,18 @@ class _Writer(DataSourceArrowWriter):
                 high = int(buckets.searchsorted(bucket, side="right"))
                 if bucket != at:
                     if out is not None:
+                        flush()
                         out.close()
                     at, name = bucket, f"{bucket:05d}-{uuid.uuid4().hex}.parquet"
                     out = pq.ParquetWriter(f"{folder}/{name}", rows.schema, filesystem=fs)
                     files.append([bucket, name, 0])
-                out.write_batch(rows.slice(low, high - low))
+                held.append(rows.slice(low, high - low))
                 files[-1][2] += high - low
                 low = high
+                if sum(map(len, held)) >= GROUP:
+                    flush()
         if out is not None:
+            flush()
             out.close()
         return Written([tuple(f) for f in files])
 
@@ -150,16 +163,22 @@ class Generations:
     def bucket(self, table: str) -> Column:
         return F.pmod(F.xxhash64(*self.keys[table]), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, table: str, generation: str) -> list:
+    def _dealt(self, rows: DataFrame, table: str) -> DataFrame:
+        """Rows with their BUCKET, dealt by it: one bucket a task, if there are as many tasks."""
+        rows = rows.withColumn(BUCKET, self.bucket(table))
+        return rows.repartition(self.tasks, BUCKET) if self.tasks < self.buckets else rows.repartitionById(self.tasks, BUCKET)
+
+    def _write(self, dealt: DataFrame, table: str, generation: str) -> list:
         parts = f"{self.root}/manifests/{generation}-{table}.parts"
-        dealt = rows.withColumn(BUCKET, self.bucket(table)).repartition(self.tasks, BUCKET).sortWithinPartitions(BUCKET)
+        if self.tasks < self.buckets:
+            dealt = dealt.sortWithinPartitions(BUCKET)
         dealt.write.format(GenerationFiles.name()).option("path", f"{self.root}/{table}").option("manifest", parts).mode("append").save()
         return self._json(f"manifests/{generation}-{table}.parts")
 
     def load(self, tables: dict[str, DataFrame]) -> str:
         """A generation of whole tables; nobody reads it yet."""
         generation = uuid.uuid4().hex
-        made = {name: {"schema": json.loads(rows.schema.json()), "files": self._write(rows, name, generation)} for name, rows in tables.items()}
+        made = {name: {"schema": json.loads(rows.schema.json()), "files": self._write(self._dealt(rows, name), name, generation)} for name, rows in tables.items()}
         self._put(f"manifests/{generation}", {"parent": None, "tables": made})
         return generation
 
@@ -177,18 +196,31 @@ class Generations:
             columns = StructType.fromJson(tables[name]["schema"]).names
             last = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns, deleted), seq).alias("r")).select("r.*")
             # As many numbers as there are buckets at most.
-            touched = sorted(r[0] for r in last.select(self.bucket(name)).distinct().collect())
-            old = self.read(name, base, touched)
-            merged = old.join(last.select(*keys), keys, "left_anti").select(*columns).unionByName(last.filter(~F.coalesce(F.col(deleted), F.lit(False))).select(*columns))
+            touched = sorted(r[0] for r in rows.select(self.bucket(name)).distinct().collect())
             kept = [f for f in tables[name]["files"] if f[0] not in set(touched)]
+            merged = self._merged(self.read(name, base, touched).select(*columns), last, name, deleted)
             tables[name] = tables[name] | {"files": sorted(kept + self._write(merged, name, generation))}
         self._put(f"manifests/{generation}", {"parent": base, "tables": tables})
         return generation
 
+    def _merged(self, old: DataFrame, last: DataFrame, table: str, deleted: str) -> DataFrame:
+        """Old rows and the last changes of their keys meet where they are written, in one dealing."""
+        keys = self.keys[table]
+        both = old.withColumn("_gone", F.lit(None).cast("boolean")).unionByName(last.withColumn("_gone", F.coalesce(F.col(deleted), F.lit(False))).drop(deleted))
+        changed = F.count("_gone").over(W.partitionBy(BUCKET, *keys)) > 0
+        for k in keys:
+            changed = changed & F.col(k).isNotNull()  # as in a join, a missing key is no key of another row
+        rows = self._dealt(both, table).withColumn("_changed", changed)
+        return rows.filter(F.when(F.col("_gone").isNull(), ~F.col("_changed")).otherwise(~F.col("_gone"))).drop("_gone", "_changed")
+
     def digests(self, table: str, rows: DataFrame) -> DataFrame:
         """``bucket, n, total``: a multiset digest of the rows of each bucket."""
         columns = sorted(rows.columns)
-        return rows.select(self.bucket(table).alias("bucket"), F.xxhash64(*columns).alias("h")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("total"))
+        h, low = F.col("h"), F.lit((1 << 32) - 1)
+        own = rows.select(self.bucket(table).alias("bucket"), F.xxhash64(*columns).alias("h")).groupBy("bucket")
+        # Halves are summed as whole numbers, which 2^31 rows of a bucket can not exceed.
+        sums = own.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftright(h, 32)).alias("high"), F.sum(h.bitwiseAND(low)).alias("low"))
+        return sums.select("bucket", "n", (F.col("high").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + F.col("low")).cast("decimal(38,0)").alias("total"))
 
     def differences(self, generation: str, expected: dict[str, DataFrame]) -> DataFrame:
         """``table, bucket`` where a generation is not what is expected."""
@@ -206,7 +238,7 @@ class Generations:
         if wrong:
             raise Invalid(f"buckets differ: {[tuple(r) for r in wrong]}")
         for (table, column), (to, key) in (references or {}).items():
-            have = self.read(table, generation).select(F.col(column).alias("x")).filter("x is not null")
+            have = self.read(table, generation).select(F.col(column).alias("x")).filter("x is not null").distinct()
             if not have.join(self.read(to, generation).select(F.col(key).alias("x")), "x", "left_anti").isEmpty():
                 raise Invalid(f"{table}.{column} names rows that {to} does not have")
         if self._json(f"validated/{generation}") is None:

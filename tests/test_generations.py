@@ -1,6 +1,7 @@
 import os
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,32 @@ def test_attempts_have_files_of_their_own(tmp_path):
     writer.commit([done, None, Written([])])
     writer.abort([killed])
     assert set(os.listdir(tmp_path / "t")) == {f[1] for f in done.files}
+
+
+def test_batches_share_a_row_group(tmp_path):
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3], generations.BUCKET: pa.array([0, 0, 5], pa.int32())})
+    done = _Writer({"path": str(tmp_path / "t"), "manifest": str(tmp_path / "m")}).write(iter([batch.slice(0, 2)] * 4 + [batch.slice(2)]))
+    files = [pq.ParquetFile(tmp_path / "t" / name) for _, name, _ in done.files]
+    assert [(f.metadata.num_row_groups, f.read().to_pydict()["id"]) for f in files] == [(1, [1, 2] * 4), (1, [3])]
+
+
+@pytest.mark.parametrize("tasks", [None, 3])
+def test_changes_meet_old_rows_in_one_dealing(spark, tmp_path, tasks):
+    store = Generations(spark, str(tmp_path), {"t": ["a", "b"]}, buckets=8, tasks=tasks)
+    old = spark.createDataFrame([(1, 1, "x"), (1, 1, "y"), (1, 2, "z"), (2, None, "u"), (3, 3, "v")], "a int, b int, v string")
+    changes = spark.createDataFrame([(1, 1, "new", False, 2), (1, 1, "older", True, 1), (2, None, "w", None, 1), (3, 3, None, True, 1), (4, 4, None, True, 1)], "a int, b int, v string, gone boolean, seq int")
+    first = store.load({"t": old})
+    second = store.apply({"t": changes}, "gone", "seq", base=first)
+    want = [(1, 1, "new"), (1, 2, "z"), (2, None, "u"), (2, None, "w")]
+    assert sorted(map(tuple, store.read("t", second).collect()), key=str) == sorted(want, key=str)
+    store.validate(second, {"t": spark.createDataFrame(want, "a int, b int, v string")})
+    last = spark.createDataFrame([(1, 1, "new", False)], "a int, b int, v string, gone boolean")
+    plan = store._merged(old, last, "t", "gone")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_digests_add_whole_hashes(spark, tmp_path):
+    store = Generations(spark, str(tmp_path), {"t": ["a"]}, buckets=2)
+    rows = spark.range(1000).select((F.col("id") % 300).alias("a"), "id")
+    exact = rows.select(store.bucket("t").alias("bucket"), F.xxhash64("a", "id").cast("decimal(38,0)").alias("h")).groupBy("bucket").agg(F.count("h").alias("n"), F.sum("h").alias("total"))
+    assert sorted(map(tuple, store.digests("t", rows).collect())) == sorted(map(tuple, exact.collect()))
