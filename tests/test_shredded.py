@@ -82,3 +82,21 @@ def test_sessions(spark):
     ended = sessions.opened(entities, relations, 4, {}, seconds=0)
     with pytest.raises(ValueError, match="ended"):
         sessions.page(ended, "entities", entities, relations, 4)
+
+
+def test_shredding_finds_each_type_once(spark):
+    plan = shredded.shredded(spark.createDataFrame([(1, "{}")], "i int, props string"), "props", ["a", "b"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("schemaOfVariant") == 2
+
+
+def test_whole_numbers_have_the_same_keys(spark):
+    numbers = [0, 7, -7, 10, -10, 1200, -1200, 10**17, 10**18 - 1, -(10**17) + 1, 10**18, -(10**17), 2**63 - 1, -(2**63), 10**25]
+    rows = spark.createDataFrame([(i, json.dumps({"a": n})) for i, n in enumerate(numbers)], "i int, props string")
+    assert {r.i: r.m_a__key for r in shredded.shredded(rows, "props", ["a"]).collect()} == {i: shredded.sort_key(n) for i, n in enumerate(numbers)}
+
+
+def test_rows_are_dealt_before_they_are_shredded(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(shredded, "shredded", lambda rows, *a: seen.append(rows.rdd.getNumPartitions()) or rows.selectExpr("*", "1 m_a__type", "1 m_a__key", "1 m_a__text"))
+    shredded.store(spark.createDataFrame([(1, "{}")], "i int, props string").coalesce(1), "props", ["a"], f"{tmp_path}/t", order_by="a")
+    assert seen == [4]
