@@ -2,12 +2,17 @@
 
 The joins "what held at that time" are as-of joins of two event streams: both are
 put into one, in order of time, and every question takes the running value of what
-came before it. Nothing is joined by ranges. A key with very many events is spread by
-slices of time: values run within a slice, and slices hand on what they end with.
+came before it. Nothing is compared with all the other rows of its key. Both streams
+are dealt by their key, once: one task sorts the history of a key, on disk if it is
+long. Keys with very many events can be spread by slices of time instead, for three
+more shuffles: values run within a slice, and slices hand on what they end with.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -16,36 +21,54 @@ from ..functions import applicability, filters
 from ..functions.temporal import temporal_status
 
 
+def _all_known(columns: list[str]) -> Column:
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def as_of_join(
-    left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, order: list[str], slices: str | None = "month"
+    left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, order: list[str], slices: str | None = None
 ) -> DataFrame:
     """``left`` with ``found``: of the right rows of its key up to its instant, the one that is last in ``order``.
 
-    ``found`` is a struct of the right columns, null if there is none; right rows of
+    ``found`` is a struct of the right columns without the key, null if there is none; right rows of
     the same instant count. ``order`` decides between right rows, whatever their
     instants are; rows without an instant or key are not found. ``slices`` is a unit of
     time in which a key's rows stay together (None: all of them).
     """
-    rest = [c for c in right.columns if c not in order]
+    rest = [c for c in right.columns if c not in order and c not in key]
     value = F.struct(*[F.col(c).alias(c) for c in [*order, *rest]])
-    asked = left.select(F.struct(*key).alias("k"), F.col(left_at).cast("timestamp_ntz").alias("t"), F.lit(1).alias("side"), F.struct(*left.columns).alias("l"))
-    given = right.filter(F.col(right_at).isNotNull()).select(F.struct(*key).alias("k"), F.col(right_at).cast("timestamp_ntz").alias("t"), F.lit(0).alias("side"), value.alias("r"))
+    keys = [f"k{i}" for i in range(len(key))]
+    named = [F.col(c).alias(k) for c, k in zip(key, keys)]
+    asked = left.select(*named, F.col(left_at).cast("timestamp_ntz").alias("t"), F.lit(1).alias("side"), F.struct(*[c for c in left.columns if c not in key]).alias("l"))
+    given = right.filter(_all_known([*key, right_at])).select(*named, F.col(right_at).cast("timestamp_ntz").alias("t"), F.lit(0).alias("side"), value.alias("r"))
     none = F.lit(None)
     both = asked.withColumn("r", none.cast(given.schema["r"].dataType)).unionByName(given.withColumn("l", none.cast(asked.schema["l"].dataType)))
-    slot = F.date_trunc(slices, F.col("t")).cast("timestamp_ntz") if slices else F.lit(None).cast("timestamp_ntz")
-    both = both.withColumn("slot", slot)
+    together = keys
     if slices:
-        # What a key's earlier slices end with comes in front of each slice as a row of its own, so ``left`` is dealt once.
-        ends = both.groupBy("k", "slot").agg(F.max("r").alias("last"))
-        before = F.max("last").over(W.partitionBy("k").orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
-        handed = ends.select("k", "slot", F.col("slot").alias("t"), before.alias("r")).filter("r is not null")
+        both = both.withColumn("slot", F.date_trunc(slices, F.col("t")).cast("timestamp_ntz"))
+        together = [*keys, "slot"]
+        # What a key's earlier slices end with comes in front of each slice as a row of its own.
+        ends = both.groupBy(*together).agg(F.max("r").alias("last"))
+        before = F.max("last").over(W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
+        handed = ends.select(*together, F.col("slot").alias("t"), before.alias("r")).filter("r is not null")
         both = both.unionByName(handed.withColumns({"side": F.lit(-1), "l": none.cast(asked.schema["l"].dataType)}))
-    so_far = F.max("r").over(W.partitionBy("k", "slot").orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = both.withColumn("found", so_far).filter("side = 1").select("k", "t", "l", "found")
-    known = F.col("t").isNotNull()
-    for k in key:
-        known = known & F.col(f"k.{k}").isNotNull()
-    return rows.select("l.*", F.when(known, F.col("found")).alias("found"))
+    so_far = F.max("r").over(W.partitionBy(*together).orderBy("t", "side").rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = both.withColumn("found", so_far).filter("side = 1")
+    # Keys come from the columns that rows are dealt by, so that what follows by the same key is not dealt again.
+    own = dict(zip(key, keys))
+    columns = [F.col(own[c]).cast(left.schema[c].dataType) if c in own else F.col("l").getField(c) for c in left.columns]
+    return rows.select(*[v.alias(c) for v, c in zip(columns, left.columns)], F.when(_all_known([*keys, "t"]), F.col("found")).alias("found"))
+
+
+def reigns(rows: DataFrame, key: list[str], at: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``since, until``: when ``as_of_join`` would find each, until another of its key that is later in ``order`` comes.
+
+    A null ``until`` is open; rows that are never found are left out. At any instant one row of a key reigns at most.
+    """
+    rest = [c for c in rows.columns if c not in order and c not in key]
+    later = W.partitionBy(*key).orderBy(*[F.col(c).desc() for c in [*order, *rest]]).rowsBetween(W.unboundedPreceding, -1)
+    timed = rows.filter(_all_known([*key, at])).withColumn("since", F.col(at).cast("timestamp_ntz"))
+    return timed.withColumn("until", F.min("since").over(later)).filter("until is null or until > since")
 
 
 def visible(known: Column, source_artifact: bool = False, ast: dict | None = None, metadata: Column | None = None, columns: dict[str, Column] | None = None,
@@ -76,12 +99,14 @@ def standing_mappings(reads: DataFrame, mappings: DataFrame, events: DataFrame)
     withdrawal, acceptance or move to another record closes it, and one that
     is yet to come does not.
     """
-    own = mappings.select("record", "assertion", "event", F.col("created_at").alias("mapped_at"))
-    asked = reads.select("read", "record", "known_at", "valid_at").join(own, "record").filter(F.col("mapped_at") <= F.col("known_at"))
     decided = events.select("assertion", "decision_version", "event", "to_status", F.col("record").alias("for_record"), "created_at")
-    rows = as_of_join(asked, decided, ["assertion"], "known_at", "created_at", ["decision_version"])
-    same = (F.col("found.event") == F.col("event")) & (F.col("found.to_status") == "accepted")
-    return rows.filter(same & F.coalesce(F.col("found.for_record") == F.col("record"), F.lit(True))).drop("found", "mapped_at")
+    # From when until when an event is its assertion's last does not depend on reads, so events need not be dealt together with them.
+    last = reigns(decided, ["assertion"], "created_at", ["decision_version"]).filter("to_status = 'accepted'").select("assertion", "event", "for_record", "since", "until")
+    own = mappings.select("record", "assertion", "event", F.col("created_at").alias("mapped_at")).join(last, ["assertion", "event"])
+    own = own.filter(F.coalesce(F.col("for_record") == F.col("record"), F.lit(True))).drop("for_record")
+    at = F.col("known_at").cast("timestamp_ntz")
+    stood = (F.col("mapped_at") <= F.col("known_at")) & (F.col("since") <= at) & F.coalesce(F.col("until") > at, F.lit(True))
+    return reads.select("read", "record", "known_at", "valid_at").join(own, "record").filter(stood).select("read", "record", "known_at", "valid_at", "assertion", "event")
 
 
 def occurrences(reads: DataFrame, mappings: DataFrame, events: DataFrame, assertions: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 from pyspark.sql import functions as F
@@ -74,3 +75,34 @@ def test_conflicts_as_of(spark):
     got = {r.read: (r.set, r.members, r.supports, r.active_supports) for r in evidence.conflict_reads(reads, sets, members, events, assertions, documents).collect()}
     # Conflicts without members are not listed; the deleted document makes its support inactive.
     assert got == {4: ("s", 2, 3, 2), 7: ("s", 2, 3, 2), 12: ("s", 2, 3, 1)}
+
+
+def test_standing_mappings_against_every_decision(spark):
+    """Equal instants and versions, events that occur twice, late lower versions, other records, nothing said."""
+    dice = random.Random(7)
+    at = lambda: day(dice.randint(1, 9)) if dice.random() > 0.05 else None
+    given = [(f"e{dice.randint(1, 3)}", dice.choice([1, 2, 3, None]), dice.choice([1, 2, 3, None]), at(), dice.choice(["accepted", "accepted", "rejected"]), dice.choice(["r", "s", None, None])) for _ in range(40)]
+    given += given[:9]
+    made = [(dice.choice("rs"), a, f"e{e}", at()) for a in (1, 2, 3, None) for e in (1, 2, 3) for _ in range(6)]
+    read = [(n, r, day(n)) for n in range(1, 10) for r in "rst"] + [(99, "r", None)]
+    events = spark.createDataFrame(given, "event string, assertion int, decision_version int, created_at timestamp_ntz, to_status string, record string")
+    mappings = spark.createDataFrame(made, "record string, assertion int, event string, created_at timestamp_ntz")
+    reads = spark.createDataFrame([(*r, r[2]) for r in read], "read int, record string, known_at timestamp_ntz, valid_at timestamp_ntz")
+    low = lambda v: (v is not None, v) if v is not None else (False,)
+    want = []
+    for n, record, known in read:
+        for own, assertion, event, mapped in made:
+            if own != record or None in (known, mapped, assertion) or mapped > known:
+                continue
+            past = [e for e in given if e[1] == assertion and e[3] is not None and e[3] <= known]
+            last = max(past, key=lambda e: [low(v) for v in (e[2], e[0], e[4], e[5], e[3])], default=None)
+            if last and last[0] == event and last[4] == "accepted" and last[5] in (None, record):
+                want.append((n, record, assertion, event))
+    got = [(r.read, r.record, r.assertion, r.event) for r in evidence.standing_mappings(reads, mappings, events).collect()]
+    assert len(want) > 20 and sorted(got) == sorted(want)
+
+
+def test_one_row_of_a_key_reigns_at_most(spark):
+    rows = spark.createDataFrame([("a", 1, day(2)), ("a", 2, day(5)), ("a", 3, day(4)), ("a", 3, day(4)), ("a", 0, day(9)), ("a", 9, None), ("b", 1, day(1))], "k string, n int, at timestamp_ntz")
+    got = sorted((r.k, r.n, r.since.day, r.until and r.until.day) for r in evidence.reigns(rows, ["k"], "at", ["n"]).collect())
+    assert got == [("a", 1, 2, 4), ("a", 3, 4, None), ("b", 1, 1, None)]

@@ -5,6 +5,7 @@ import pytest
 
 from palimpsa.operators import documents, evidence, extras, identity, ontology, shapes
 from palimpsa.plans import catalogue, context, resolution  # noqa: F401
+from palimpsa.plans import evidence as evidence_plans  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
 
@@ -31,6 +32,23 @@ def test_as_of_join_deals_its_questions_once(spark):
     )
 
 
+def test_both_sides_of_an_as_of_join_are_dealt_once(spark):
+    left = spark.range(9).selectExpr("id", "cast(id % 3 as int) k", "timestamp_ntz'2024-01-05 00:00:00' at")
+    right = spark.range(9).selectExpr("id n", "id % 4 k", "timestamp_ntz'2024-01-02 00:00:00' t")
+    out = evidence.as_of_join(left, right, ["k"], "at", "t", ["n"])
+    same = evidence.as_of_join(left.withColumn("k", left.k.cast("long")), right, ["k"], "at", "t", ["n"])
+    for frame in (out, same, same.groupBy("k").count()):  # what follows by the key is not dealt again
+        assert plan(frame).count("Exchange") == 1
+    assert out.schema["k"].dataType.simpleString() == "int" and {r.found.n for r in out.collect()} == {5, 6, 8}
+
+
+@pytest.mark.parametrize("name", ["evidence_occurrences"])
+def test_decisions_are_not_dealt_with_the_questions(spark, name):
+    """They were read twelve times and dealt anew for each slice of time."""
+    told = plan(catalogue.QUERIES[name](spark, PATH))
+    assert told.count("lineitem.parquet") <= 4 and told.count("- Window [") <= 7
+
+
 def test_values_are_dealt_once_into_all_parts(spark):
     rows = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 3, 9)], "o int, v int, s int, t int")
     assert "REPARTITION_BY_NUM" in plan(identity.held_values(rows, ["o"], "v", "s", "t"))
