@@ -42,7 +42,7 @@ def test_both_sides_of_an_as_of_join_are_dealt_once(spark):
     assert out.schema["k"].dataType.simpleString() == "int" and {r.found.n for r in out.collect()} == {5, 6, 8}
 
 
-@pytest.mark.parametrize("name", ["evidence_occurrences", "answer_validity"])
+@pytest.mark.parametrize("name", ["evidence_occurrences", "answer_validity", "source_context"])
 def test_decisions_are_not_dealt_with_the_questions(spark, name):
     """They were read twelve times and dealt anew for each slice of time."""
     told = plan(catalogue.QUERIES[name](spark, PATH))
