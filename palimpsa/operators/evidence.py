@@ -26,14 +26,15 @@ def _all_known(columns: list[str]) -> Column:
 
 
 def as_of_join(
-    left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, order: list[str], slices: str | None = None
+    left: DataFrame, right: DataFrame, key: list[str], left_at: str, right_at: str, order: list[str], slices: str | None = None, keyless: bool = False
 ) -> DataFrame:
     """``left`` with ``found``: of the right rows of its key up to its instant, the one that is last in ``order``.
 
     ``found`` is a struct of the right columns without the key, null if there is none; right rows of
     the same instant count. ``order`` decides between right rows, whatever their
     instants are; rows without an instant or key are not found. ``slices`` is a unit of
-    time in which a key's rows stay together (None: all of them).
+    time in which a key's rows stay together (None: all of them). ``keyless`` spreads
+    left rows without a key, which else meet in one task; what follows by the key is then dealt again.
     """
     rest = [c for c in right.columns if c not in order and c not in key]
     value = F.struct(*[F.col(c).alias(c) for c in [*order, *rest]])
@@ -43,10 +44,13 @@ def as_of_join(
     given = right.filter(_all_known([*key, right_at])).select(*named, F.col(right_at).cast("timestamp_ntz").alias("t"), F.lit(0).alias("side"), value.alias("r"))
     none = F.lit(None)
     both = asked.withColumn("r", none.cast(given.schema["r"].dataType)).unionByName(given.withColumn("l", none.cast(asked.schema["l"].dataType)))
-    together = keys
+    together = list(keys)
+    if keyless:
+        both = both.withColumn("apart", F.when(~_all_known(keys), F.xxhash64("t", "l")))
+        together.append("apart")
     if slices:
         both = both.withColumn("slot", F.date_trunc(slices, F.col("t")).cast("timestamp_ntz"))
-        together = [*keys, "slot"]
+        together.append("slot")
         # What a key's earlier slices end with comes in front of each slice as a row of its own.
         ends = both.groupBy(*together).agg(F.max("r").alias("last"))
         before = F.max("last").over(W.partitionBy(*keys).orderBy("slot").rowsBetween(W.unboundedPreceding, -1))
@@ -179,7 +183,7 @@ def conflict_reads(reads: DataFrame, sets: DataFrame, members: DataFrame, events
     decided = decided.withColumn("contradicting", F.coalesce(F.col("found.to_status") == "contradicting", F.lit(False))).drop("found")
     sourced = decided.join(assertions.select("assertion", "document"), "assertion", "left")
     versions = documents.select("document", "version", "recorded_at", "superseded_at", "deleted")
-    judged = as_of_join(sourced, versions, ["document"], "known_at", "recorded_at", ["version"])
+    judged = as_of_join(sourced, versions, ["document"], "known_at", "recorded_at", ["version"], keyless=True)
     there = F.col("found").isNotNull() & ~F.coalesce(F.col("found.deleted"), F.lit(False)) & F.coalesce(F.col("found.superseded_at") > F.col("known_at"), F.lit(True))
     active = F.col("contradicting") & (F.col("document").isNull() | there)
     return judged.groupBy("read", "set").agg(F.count_distinct("record").alias("members"), F.count(F.lit(1)).alias("supports"), F.count_if(active).alias("active_supports"))

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from palimpsa.operators import documents, evidence, extras, identity, ontology, shapes
 from palimpsa.plans import catalogue, context, resolution  # noqa: F401
@@ -42,13 +43,26 @@ def test_both_sides_of_an_as_of_join_are_dealt_once(spark):
     assert out.schema["k"].dataType.simpleString() == "int" and {r.found.n for r in out.collect()} == {5, 6, 8}
 
 
-@pytest.mark.parametrize("name", ["evidence_occurrences", "answer_validity", "source_context"])
+@pytest.mark.parametrize("name", ["evidence_occurrences", "answer_validity", "source_context", "conflict_reads"])
 def test_decisions_are_not_dealt_with_the_questions(spark, name):
     """They were read twelve times and dealt anew for each slice of time."""
     told = plan(catalogue.QUERIES[name](spark, PATH))
     assert told.count("lineitem.parquet") <= 4 and told.count("- Window [") <= 7
 
 
+def test_supports_without_a_source_do_not_meet_in_one_task(spark):
+    left = spark.range(400).selectExpr("id", "if(id % 10 = 0, id % 4, null) k", "timestamp_ntz'2024-01-05 00:00:00' at")
+    right = spark.range(9).selectExpr("id n", "if(id < 8, id % 4, null) k", "timestamp_ntz'2024-01-02 00:00:00' t")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = evidence.as_of_join(left, right, ["k"], "at", "t", ["n"], keyless=True).select("*", F.spark_partition_id().alias("part")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(rows) == 400 and all((r.found and r.found.n) == (None if r.k is None else r.k + 4) for r in rows)
+    assert len({r.part for r in rows if r.k is None}) == 4
+    assert "apart" in plan(catalogue.QUERIES["conflict_reads"](spark, PATH))
+
+
 def test_values_are_dealt_once_into_all_parts(spark):
     rows = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 3, 9)], "o int, v int, s int, t int")
     assert "REPARTITION_BY_NUM" in plan(identity.held_values(rows, ["o"], "v", "s", "t"))
