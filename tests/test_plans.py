@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsa.operators import documents, evidence, extras, identity, ontology, shapes
-from palimpsa.plans import catalogue, context, resolution  # noqa: F401
+from palimpsa.plans import catalogue, context, model, resolution  # noqa: F401
 from palimpsa.plans import evidence as evidence_plans  # noqa: F401
 
 PATH = "/root/testdata/sf0.001"
@@ -50,6 +50,12 @@ def test_decisions_are_not_dealt_with_the_questions(spark, name):
     assert told.count("lineitem.parquet") <= 4 and told.count("- Window [") <= 7
 
 
+def test_decisions_are_dealt_once_by_their_assertion(spark):
+    log = model.decisions(spark, PATH)
+    assert plan(log.groupBy("assertion_id").count()).count("Exchange") == 1
+    assert log.columns == ["assertion_id", "decision_version", "created_at", "to_status", "l_partkey", "l_suppkey"]
+
+
 def test_supports_without_a_source_do_not_meet_in_one_task(spark):
     left = spark.range(400).selectExpr("id", "if(id % 10 = 0, id % 4, null) k", "timestamp_ntz'2024-01-05 00:00:00' at")
     right = spark.range(9).selectExpr("id n", "if(id < 8, id % 4, null) k", "timestamp_ntz'2024-01-02 00:00:00' t")
