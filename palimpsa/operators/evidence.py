@@ -179,8 +179,12 @@ def conflict_reads(reads: DataFrame, sets: DataFrame, members: DataFrame, events
     known = reads.join(sets.select("set", "entity", "created_at", "resolved_at"), "entity")
     open_then = (F.col("created_at") <= F.col("known_at")) & F.coalesce(F.col("resolved_at") > F.col("known_at"), F.lit(True))
     rows = known.filter(open_then).select("read", "set", "known_at").join(members.select("set", "record", "assertion").distinct(), "set")
-    decided = as_of_join(rows, events.select("assertion", "decision_version", "created_at", "to_status"), ["assertion"], "known_at", "created_at", ["decision_version"])
-    decided = decided.withColumn("contradicting", F.coalesce(F.col("found.to_status") == "contradicting", F.lit(False))).drop("found")
+    # Only decisions that contradict go to the questions, with the instant at which another follows.
+    spells = reigns(events.select("assertion", "decision_version", "created_at", "to_status"), ["assertion"], "created_at", ["decision_version"])
+    spells = spells.filter("to_status = 'contradicting'").select("assertion", "decision_version", "since", "until")
+    decided = as_of_join(rows, spells, ["assertion"], "known_at", "since", ["decision_version"])
+    lasting = F.coalesce(F.col("found.until") > F.col("known_at").cast("timestamp_ntz"), F.lit(True))
+    decided = decided.withColumn("contradicting", F.col("found").isNotNull() & lasting).drop("found")
     sourced = decided.join(assertions.select("assertion", "document"), "assertion", "left")
     versions = documents.select("document", "version", "recorded_at", "superseded_at", "deleted")
     judged = as_of_join(sourced, versions, ["document"], "known_at", "recorded_at", ["version"], keyless=True)

@@ -106,3 +106,19 @@ def test_one_row_of_a_key_reigns_at_most(spark):
     rows = spark.createDataFrame([("a", 1, day(2)), ("a", 2, day(5)), ("a", 3, day(4)), ("a", 3, day(4)), ("a", 0, day(9)), ("a", 9, None), ("b", 1, day(1))], "k string, n int, at timestamp_ntz")
     got = sorted((r.k, r.n, r.since.day, r.until and r.until.day) for r in evidence.reigns(rows, ["k"], "at", ["n"]).collect())
     assert got == [("a", 1, 2, 4), ("a", 3, 4, None), ("b", 1, 1, None)]
+
+
+def test_only_contradicting_decisions_meet_the_questions(spark, monkeypatch):
+    """A contradiction that ends, one that comes late with a lower version, two at one instant, one said again."""
+    log = [(1, 1, 2, True), (1, 2, 5, False), (1, 3, 8, True), (2, 5, 2, False), (2, 4, 6, True), (3, 1, 3, True), (3, 2, 3, False), (4, 1, 2, True), (4, 2, 6, True), (5, 1, 4, False)]
+    events = spark.createDataFrame([(a, v, day(t), "contradicting" if c else "rejected") for a, v, t, c in log], "assertion int, decision_version int, created_at timestamp_ntz, to_status string")
+    reads = spark.createDataFrame([(n, "e", day(n)) for n in range(1, 11)], "read int, entity string, known_at timestamp_ntz")
+    sets = spark.createDataFrame([(f"s{a}", "e", day(1), None) for a in range(1, 6)], "set string, entity string, created_at timestamp_ntz, resolved_at timestamp_ntz")
+    members = spark.createDataFrame([(f"s{a}", "r", a) for a in range(1, 6)], "set string, record string, assertion int")
+    assertions = spark.createDataFrame([(a, None) for a in range(1, 6)], "assertion int, document string")
+    met, join = [], evidence.as_of_join
+    monkeypatch.setattr(evidence, "as_of_join", lambda left, right, *a, **k: met.append(right) or join(left, right, *a, **k))
+    rows = evidence.conflict_reads(reads, sets, members, events, assertions, frames(spark)[-1]).collect()
+    got = {a: [r.read for r in sorted(rows) if r.set == f"s{a}" and r.active_supports] for a in range(1, 6)}
+    assert len(rows) == 50 and got == {1: [2, 3, 4, 8, 9, 10], 2: [], 3: [], 4: list(range(2, 11)), 5: []}
+    assert sorted((r.assertion, r.decision_version) for r in met[0].collect()) == [(1, 1), (1, 3), (4, 1), (4, 2)]
